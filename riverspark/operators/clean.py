@@ -65,9 +65,8 @@ def clip_by_period_bounds(
 
 def above_global_min(df: DataFrame, column: str, below: float) -> DataFrame:
     """All rows if the smallest value of ``column`` is below a bound, else none."""
-    gate = df.agg(F.min(column).alias("_lowest")).filter(F.col("_lowest") < below)
-    # One row at most, so this is a scalar gate and never multiplies rows.
-    return df.join(gate.select(F.lit(1).alias("_gate")), F.lit(True), "left_semi")
+    lowest = df.agg(F.min(column)).scalar()
+    return df.filter(lowest < below)
 
 
 def override_values(

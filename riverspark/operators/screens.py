@@ -105,6 +105,7 @@ def select_stations(
     value: str,
     *,
     max_share: float = 0.3,
+    max_month_share: float = 0.3,
     max_missing_days: int = 10,
     max_year_step: int = 4,
     max_day_step: int = 70,
@@ -124,7 +125,7 @@ def select_stations(
     monthly = monthly_mean(df, key, date, value, max_missing_days)
     void = monthly.filter(F.col(value).isNull())
     by_day = missing_share(df, key, value, max_share)
-    by_month = missing_share(monthly, [key, "month"], value, max_share)
+    by_month = missing_share(monthly, [key, "month"], value, max_month_share)
     by_year_gap = gap_islands(void, [key, "month"], "year", max_year_step, min_len)
     by_gap = gap_islands(void, key, "date", max_day_step, min_len)
     if gap_before is not None:
