@@ -228,11 +228,11 @@ def gap_islands_days(spark, folder):
 
 @register(
     "select_stations",
-    f"""WITH {ORDERS}, {dense_sql('s_orders')}, {MONTHLY.format(k=22)},
+    f"""WITH {NATION}, {dense_sql('s_nation')}, {MONTHLY.format(k=15)},
 by_day AS (SELECT station FROM dense GROUP BY 1
-  HAVING (COUNT(*) - COUNT(discharge)) / CAST(COUNT(*) AS DOUBLE) > 0.8),
+  HAVING (COUNT(*) - COUNT(discharge)) / CAST(COUNT(*) AS DOUBLE) > 0.5),
 by_month AS (SELECT DISTINCT station FROM (SELECT station, month FROM monthly GROUP BY 1, 2
-  HAVING (COUNT(*) - COUNT(discharge)) / CAST(COUNT(*) AS DOUBLE) > 0.7)),
+  HAVING (COUNT(*) - COUNT(discharge)) / CAST(COUNT(*) AS DOUBLE) > 0.5)),
 y1 AS (SELECT station, month, year,
     CASE WHEN year - LAG(year) OVER w <= 4 THEN 0 ELSE 1 END AS fresh
   FROM monthly WHERE discharge IS NULL WINDOW w AS (PARTITION BY station, month ORDER BY year)),
@@ -255,16 +255,16 @@ FROM dense d WHERE NOT EXISTS (SELECT 1 FROM rejected r WHERE r.station = d.stat
 def select_stations(spark, folder):
     nations = table(spark, folder, "nation").withColumnRenamed("n_name", "station")
     kept = screens.select_stations(
-        dense(order_series(spark, folder)),
+        dense(nation_series(spark, folder)),
         "station",
         "date",
         "discharge",
-        max_share=0.8,
-        max_missing_days=22,
+        max_share=0.5,
+        max_missing_days=15,
         gap_before=DATE(2001, 1, 1),
         pardon_gaps=nations.filter("n_regionkey = 0"),
         reject=[nations.filter("n_regionkey = 4")],
-        max_month_share=0.7,
+        max_month_share=0.5,
     )
     return kept.groupBy("station").agg(
         F.count(F.lit(1)).alias("n_days"),

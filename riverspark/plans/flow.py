@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from riverspark.operators import events, screens, spectral
+from riverspark.session import cut_lineage
 
 
 def flow_regime(
@@ -15,13 +16,18 @@ def flow_regime(
     *,
     reference_peak: DataFrame | None = None,
     max_na: int | None = None,
+    reuse: bool = True,
 ) -> DataFrame:
     """One row of regime metrics per key, from raw daily values.
 
     ``reference_peak`` supplies the seasonal peak days of another period; by
-    default each key's own peak is used.
+    default each key's own peak is used.  The gap-filled daily series feeds four
+    branches; with ``reuse`` it is written once to the checkpoint folder instead of
+    being derived from the raw table for each of them.
     """
     ready = spectral.prepare_flow(daily, key, date, value, max_na)
+    if reuse:
+        ready = cut_lineage(ready)
     signal = spectral.seasonal_signal(ready, key, date)
     peak = spectral.seasonal_peak(signal, key) if reference_peak is None else reference_peak
     floods = events.independent_events(signal, key, date, "resid")
