@@ -18,7 +18,7 @@ from riverspark.plans.flow import flow_regime
 SELECT station, date, t, n AS n_days, years AS n_years, round(y, 8) + 0.0 AS y, observed FROM prep""",
 )
 def fill_linear(spark, folder):
-    return prepared(spark, folder).withColumn("y", F.round("y", 8))
+    return prepared(spark, folder).drop("segment").withColumn("y", F.round("y", 8))
 
 
 @register(

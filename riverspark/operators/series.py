@@ -7,41 +7,61 @@ Keys must be non-NULL and a series has one row per key and day.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Mapping
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riverspark.columns import as_list
 from riverspark.functions import row_count
 
-_SEGMENT = "_segment"
+SEGMENT = "segment"
 
+# Per-key totals to carry along: name -> (aggregate of a segment, how segments combine).
+Totals = Mapping[str, tuple[Column, Callable[[str], Column]]]
 
-def with_next(df: DataFrame, key: str | Iterable[str], date: str, value: str) -> DataFrame:
-    """Add ``next_date`` and ``next_value``: the following row of the same series.
+
+def with_next(
+    df: DataFrame, key: str | Iterable[str], date: str, value: str, totals: Totals | None = None
+) -> DataFrame:
+    """Add ``segment`` (the year), ``next_date`` and ``next_value``, the following row.
 
     Inside a calendar year this is a plain ``lead``.  The last row of a year takes
-    the first row of the next year that has any.
+    the first row of the next year that has any.  ``totals`` adds per-key results;
+    they travel with the segment summaries, so the rows are joined on (key, year)
+    and never gathered by key.
     """
     keys = as_list(key)
-    rows = df.withColumn(_SEGMENT, F.year(date))
-    inside = Window.partitionBy(*keys, _SEGMENT).orderBy(date)
-    across = Window.partitionBy(*keys).orderBy(_SEGMENT)
-    heads = (
-        rows.groupBy(*keys, _SEGMENT)
-        .agg(F.min(date).alias("_d"), F.min_by(value, date).alias("_v"))
+    totals = totals or {}
+    # Said once for both branches below, so that they share one scan and exchange.
+    present = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in [*keys, date, SEGMENT]))
+    rows = df.withColumn(SEGMENT, F.year(date)).filter(present)
+    inside = Window.partitionBy(*keys, SEGMENT).orderBy(date)
+    whole = Window.partitionBy(*keys)
+    across = whole.orderBy(SEGMENT)
+    segments = (
+        rows.groupBy(*keys, SEGMENT)
+        .agg(
+            F.min(date).alias("_d"),
+            F.min_by(value, date).alias("_v"),
+            *(part.alias(f"_t_{name}") for name, (part, _) in totals.items()),
+        )
         .select(
             *keys,
-            _SEGMENT,
+            SEGMENT,
             F.lead("_d").over(across).alias("_head_date"),
             F.lead("_v").over(across).alias("_head_value"),
+            *(
+                combine(f"_t_{name}").over(whole).alias(name)
+                for name, (_, combine) in totals.items()
+            ),
         )
     )
     return (
         rows.withColumn("_lead_date", F.lead(date).over(inside))
         .withColumn("_lead_value", F.lead(value).over(inside))
-        .join(heads, [*keys, _SEGMENT], "left")
+        .join(segments, [*keys, SEGMENT], "left")
         .withColumn("next_date", F.coalesce("_lead_date", "_head_date"))
         .withColumn(
             "next_value",
@@ -49,20 +69,24 @@ def with_next(df: DataFrame, key: str | Iterable[str], date: str, value: str) ->
                 F.col("_head_value")
             ),
         )
-        .drop(_SEGMENT, "_lead_date", "_lead_value", "_head_date", "_head_value")
+        .drop("_lead_date", "_lead_value", "_head_date", "_head_value")
     )
 
 
-def _one_row_per_day(observed: DataFrame, keys: list[str], date: str, value: str) -> DataFrame:
+def _one_row_per_day(
+    observed: DataFrame, keys: list[str], date: str, value: str, totals: Totals | None = None
+) -> DataFrame:
     """Repeat each observation for the days up to the next one; ``_step`` counts them."""
-    linked = with_next(observed, keys, date, value)
+    linked = with_next(observed, keys, date, value, totals)
     gap = F.coalesce(F.datediff("next_date", date), F.lit(1))
     return linked.select(
         *keys,
+        SEGMENT,
         F.col(date).alias("_from"),
         F.col(value).alias("_value"),
         F.col("next_value").alias("_next"),
         gap.alias("_gap"),
+        *(totals or {}),
         F.explode(F.sequence(F.lit(0), gap - 1)).alias("_step"),
     )
 
@@ -84,20 +108,26 @@ def densify_daily(df: DataFrame, key: str | Iterable[str], date: str, value: str
     )
 
 
-def fill_linear(df: DataFrame, key: str | Iterable[str], date: str, value: str) -> DataFrame:
-    """One row per day like :func:`densify_daily`, gaps filled on a straight line."""
+def fill_linear(
+    df: DataFrame, key: str | Iterable[str], date: str, value: str, totals: Totals | None = None
+) -> DataFrame:
+    """One row per day like :func:`densify_daily`, gaps filled on a straight line.
+
+    Adds ``observed``, ``segment`` (year of the observation a day goes back to) and
+    the given per-key totals of the observed rows.
+    """
     keys = as_list(key)
-    observed = df.filter(F.col(value).isNotNull() & F.col(date).isNotNull()).select(
-        *keys, date, value
-    )
+    observed = df.filter(F.col(value).isNotNull() & F.col(date).isNotNull())
     slope = (F.col("_next") - F.col("_value")) / F.col("_gap")
-    return _one_row_per_day(observed, keys, date, value).select(
+    return _one_row_per_day(observed, keys, date, value, totals).select(
         *keys,
         F.date_add("_from", F.col("_step")).alias(date),
         F.when(F.col("_step") == 0, F.col("_value"))
         .otherwise(F.col("_value") + slope * F.col("_step"))
         .alias(value),
         (F.col("_step") == 0).alias("observed"),
+        SEGMENT,
+        *(totals or {}),
     )
 
 
@@ -112,14 +142,14 @@ def runs_of_days(
     another year, and only those are stitched per key.
     """
     keys = as_list(key)
-    inside = Window.partitionBy(*keys, _SEGMENT).orderBy(date)
+    inside = Window.partitionBy(*keys, SEGMENT).orderBy(date)
     sign = 1 if highest else -1
     pick = F.struct((F.col(value) * sign).alias("v"), F.datediff(F.lit("1970-01-01"), date))
     parts = (
         df.select(*keys, date, value)
-        .withColumn(_SEGMENT, F.year(date))
+        .withColumn(SEGMENT, F.year(date))
         .withColumn("_run", F.date_sub(date, F.row_number().over(inside)))
-        .groupBy(*keys, _SEGMENT, "_run")
+        .groupBy(*keys, SEGMENT, "_run")
         .agg(
             F.min(date).alias("start"),
             F.max(date).alias("end"),
@@ -128,7 +158,7 @@ def runs_of_days(
             F.max_by(date, pick).alias("extreme_date"),
         )
     )
-    year = F.col(_SEGMENT)
+    year = F.col(SEGMENT)
     at_edge = (F.col("start") == F.make_date(year, F.lit(1), F.lit(1))) | (
         F.col("end") == F.make_date(year, F.lit(12), F.lit(31))
     )

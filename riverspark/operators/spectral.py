@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from riverspark.columns import as_list
 from riverspark.functions import row_count
-from riverspark.operators.series import fill_linear
+from riverspark.operators.series import SEGMENT, fill_linear
 
 HARMONICS = 3
 DAYS_PER_YEAR = 365.25
@@ -36,38 +36,34 @@ def prepare_flow(
     ``max_na`` missing days or less than one whole year are dropped.
     """
     keys = as_list(key)
-    observed = df.filter(F.col(value) > 0).select(*keys, date, value)
-    stats = (
-        observed.groupBy(*keys)
-        .agg(
-            F.min(date).alias("_start"),
-            F.max(date).alias("_end"),
-            row_count().alias("_n"),
-            F.avg(value).alias("_mean"),
-        )
+    observed = df.filter(F.col(value) > 0).select(
+        *keys, date, F.col(value).alias("_q"), F.log10(value).alias("_log")
+    )
+    totals = {
+        "_start": (F.min(date), F.min),
+        "_end": (F.max(date), F.max),
+        "_n": (row_count(), F.sum),
+        "_total": (F.sum("_q"), F.sum),
+    }
+    filled = (
+        fill_linear(observed, keys, date, "_log", totals)
         .withColumn("_span", F.datediff("_end", "_start") + 1)
         .withColumn("n_years", F.floor(F.col("_span") / DAYS_PER_YEAR).cast("int"))
         .withColumn("n_days", F.floor(F.col("n_years") * DAYS_PER_YEAR).cast("int"))
-        .filter("n_years >= 1")
-    )
-    if max_na is not None:
-        stats = stats.filter(F.col("_span") - F.col("_n") <= max_na)
-    stats = stats.select(*keys, "_start", "_mean", "n_days", "n_years")
-    logged = observed.select(*keys, date, F.log10(value).alias("_log"))
-    filled = fill_linear(logged, keys, date, "_log")
-    return (
-        filled.join(stats, keys, "inner")
         .withColumn("t", F.datediff(date, "_start"))
         .filter(F.col("t") < F.col("n_days"))
-        .select(
-            *keys,
-            date,
-            "t",
-            "n_days",
-            "n_years",
-            (F.col("_log") - F.log10("_mean")).alias("y"),
-            "observed",
-        )
+    )
+    if max_na is not None:
+        filled = filled.filter(F.col("_span") - F.col("_n") <= max_na)
+    return filled.select(
+        *keys,
+        date,
+        "t",
+        "n_days",
+        "n_years",
+        (F.col("_log") - F.log10(F.col("_total") / F.col("_n"))).alias("y"),
+        "observed",
+        SEGMENT,
     )
 
 
@@ -75,32 +71,49 @@ def _angle(k: int):
     return F.lit(2.0 * math.pi * k) * F.col("n_years") * F.col("t") / F.col("n_days")
 
 
-def fourier_terms(prepared: DataFrame, key: str | Iterable[str], harmonics: int = HARMONICS) -> DataFrame:
-    """Coefficients ``a1, c1, a2, ...``, mean and population variance of ``y`` per key."""
-    parts = []
-    for k in range(1, harmonics + 1):
-        parts.append(F.sum(F.col("y") * F.cos(_angle(k))).alias(f"_a{k}"))
-        parts.append(F.sum(F.col("y") * F.sin(_angle(k))).alias(f"_c{k}"))
-    sums = prepared.groupBy(*as_list(key)).agg(
-        F.max("n_days").alias("n_days"),
-        F.max("n_years").alias("n_years"),
-        F.avg("y").alias("mean_y"),
-        F.var_pop("y").alias("var_y"),
-        *parts,
-    )
+def fourier_terms(
+    prepared: DataFrame,
+    key: str | Iterable[str],
+    harmonics: int = HARMONICS,
+    per_segment: bool = False,
+) -> DataFrame:
+    """Coefficients ``a1, c1, a2, ...``, mean and population variance of ``y`` per key.
+
+    ``per_segment`` repeats a key's row for each segment of its record, for joins
+    that must not gather a whole key.
+    """
+    keys = as_list(key)
+    waves = {
+        f"{c}{k}": F.sum(F.col("y") * wave(_angle(k)))
+        for k in range(1, harmonics + 1)
+        for c, wave in (("a", F.cos), ("c", F.sin))
+    }
+    if per_segment:
+        whole = Window.partitionBy(*keys)
+        parts = prepared.groupBy(*keys, SEGMENT).agg(
+            F.max("n_days").alias("n_days"),
+            F.sum("y").alias("mean_y"),
+            *(e.alias(name) for name, e in waves.items()),
+        )
+        sums = parts.select(
+            *keys,
+            SEGMENT,
+            "n_days",
+            (F.sum("mean_y").over(whole) / F.col("n_days")).alias("mean_y"),
+            *(F.sum(name).over(whole).alias(name) for name in waves),
+        )
+        kept = [*keys, SEGMENT, "mean_y"]
+    else:
+        sums = prepared.groupBy(*keys).agg(
+            F.max("n_days").alias("n_days"),
+            F.max("n_years").alias("n_years"),
+            F.avg("y").alias("mean_y"),
+            F.var_pop("y").alias("var_y"),
+            *(e.alias(name) for name, e in waves.items()),
+        )
+        kept = [*keys, "n_days", "n_years", "mean_y", "var_y"]
     two_over_n = F.lit(2.0) / F.col("n_days")
-    return sums.select(
-        *as_list(key),
-        "n_days",
-        "n_years",
-        "mean_y",
-        "var_y",
-        *(
-            (two_over_n * F.col(f"_{c}{k}")).alias(f"{c}{k}")
-            for k in range(1, harmonics + 1)
-            for c in "ac"
-        ),
-    )
+    return sums.select(*kept, *((two_over_n * F.col(name)).alias(name) for name in waves))
 
 
 def seasonal_signal(
@@ -108,12 +121,12 @@ def seasonal_signal(
 ) -> DataFrame:
     """Fitted seasonal value ``pred`` and anomaly ``resid`` per day."""
     keys = as_list(key)
-    terms = fourier_terms(prepared, keys, harmonics).drop("n_days", "n_years", "var_y")
+    terms = fourier_terms(prepared, keys, harmonics, per_segment=True)
     fit = F.col("mean_y")
     for k in range(1, harmonics + 1):
         fit = fit + F.col(f"a{k}") * F.cos(_angle(k)) + F.col(f"c{k}") * F.sin(_angle(k))
     return (
-        prepared.join(terms, keys, "inner")
+        prepared.join(terms, [*keys, SEGMENT], "inner")
         .withColumn("pred", fit)
         .select(
             *keys,

@@ -21,14 +21,14 @@ def flow_regime(
     """One row of regime metrics per key, from raw daily values.
 
     ``reference_peak`` supplies the seasonal peak days of another period; by
-    default each key's own peak is used.  The gap-filled daily series feeds four
-    branches; with ``reuse`` it is written once to the checkpoint folder instead of
-    being derived from the raw table for each of them.
+    default each key's own peak is used.  Several branches read the gap-filled
+    series and its signal; with ``reuse`` both daily tables are written once to the
+    checkpoint folder instead of being derived from the raw table for each branch.
     """
     ready = spectral.prepare_flow(daily, key, date, value, max_na)
-    if reuse:
-        ready = cut_lineage(ready)
+    ready = cut_lineage(ready) if reuse else ready
     signal = spectral.seasonal_signal(ready, key, date)
+    signal = cut_lineage(signal) if reuse else signal
     peak = spectral.seasonal_peak(signal, key) if reference_peak is None else reference_peak
     floods = events.independent_events(signal, key, date, "resid")
     duration = events.mean_of_means(floods, [key, "year"], [key], "duration")

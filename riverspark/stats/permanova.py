@@ -2,10 +2,10 @@
 
 For Euclidean distances the pseudo-F statistic needs only group sums, so no
 distance matrix is built.  A permutation deals the factor levels, in fixed
-numbers, to the rows in the order of a hash of (seed, permutation, row id).  That
-order is never built as a whole: rows are counted in hash buckets, buckets that
-lie inside one level are summed as they are, and only the few buckets that a
-level boundary cuts are ranked row by row.
+numbers, to the rows in the order of a hash of (seed, permutation, row id).  A group
+with many rows is never put in that order as a whole: its rows are counted in hash
+buckets, buckets inside one level are summed as they are, and only the few buckets
+that a level boundary cuts are ranked row by row.
 """
 
 from __future__ import annotations
@@ -19,13 +19,15 @@ from pyspark.sql import functions as F
 from riverspark.columns import as_list
 from riverspark.functions import row_count
 from riverspark.operators.clean import unordered_pairs
+from riverspark.session import cut_lineage
 from riverspark.stats.attach import attach
 from riverspark.stats.holm import holm
 
 # Permuted statistics this close below the observed one count as equal.
 TOLERANCE = 1.5e-8
 _PREFIX_SPACE = 4096  # three hexadecimal digits
-RESULT = ["df_factor", "df_residual", "df_total", "f_stat"]
+# A list of cut buckets is broadcast only when counting it shows at most this many.
+BROADCAST_ROWS = 200_000
 
 
 def _numbered(responses: Sequence[str]) -> list[str]:
@@ -105,58 +107,62 @@ def permanova_f(
     )
 
 
-def _dealt_levels(
-    rows: DataFrame, units: DataFrame, by: Sequence[str], unit: Sequence[str], xs: Sequence[str],
-    n_perm: int, seed: str,
+def _deal(
+    rows: DataFrame, units: DataFrame, unit: Sequence[str], n_perm: int, seed: str
 ) -> DataFrame:
-    """Level sums per family and permutation after dealing the levels anew."""
+    """Every row once per permutation, with its place in the hash order as text."""
     order = F.md5(F.concat_ws(":", F.lit(seed), F.col("_perm").cast("string"), "_id"))
-    prefix = F.conv(F.left("_order", F.lit(3)), 16, 10).cast("int")
-    bucket = F.floor(prefix * F.col("_buckets") / _PREFIX_SPACE).cast("int")
-    dealt = (
-        attach(rows.drop("_level"), units.select(*unit, "_buckets"), unit)
+    return (
+        attach(rows.drop("_level"), units, unit)
         .withColumn("_perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
         .withColumn("_order", order)
-        .withColumn("_bucket", bucket)
-        .drop("_buckets")
     )
+
+
+def _level_at(lo: Column, hi: Column) -> Column:
+    """Level whose rank range holds the ranks above ``lo`` up to ``hi``, else NULL."""
+    fits = F.filter("_levels", lambda r: (r["lo"] <= lo) & (hi <= r["hi"]))
+    return F.get(fits, F.lit(0))["level"]
+
+
+def _sums_ranked(dealt: DataFrame, cell: Sequence[str], by: Sequence[str], xs: Sequence[str]) -> DataFrame:
+    """Level sums when rows are ranked inside cells; ``_lo`` is the rank before a cell."""
+    rank = F.row_number().over(Window.partitionBy(*cell).orderBy("_order", "_id"))
+    placed = dealt.withColumn("_place", rank + F.col("_lo"))
+    named = placed.withColumn("_level", _level_at(F.col("_place") - 1, F.col("_place")))
+    return _level_sums(named, [*by, "_perm"], xs)
+
+
+def _sums_bucketed(
+    dealt: DataFrame, by: Sequence[str], unit: Sequence[str], xs: Sequence[str]
+) -> DataFrame:
+    """Level sums by counting hash buckets first and ranking only the cut ones."""
     cell = [*unit, "_perm", "_bucket"]
-    counted = dealt.groupBy(*cell).agg(row_count().alias("_k"), *(F.sum(x).alias(x) for x in xs))
-    # At most 4096 buckets per unit and permutation.
+    prefix = F.conv(F.left("_order", F.lit(3)), 16, 10).cast("int")
+    dealt = dealt.withColumn(
+        "_bucket", F.floor(prefix * F.col("_buckets") / _PREFIX_SPACE).cast("int")
+    )
+    # At most 4096 buckets per unit and permutation are windowed.
     along = Window.partitionBy(*unit, "_perm").orderBy("_bucket")
-    counted = attach(
-        counted.withColumn("_hi", F.sum("_k").over(along)).withColumn(
-            "_lo", F.col("_hi") - F.col("_k")
-        ),
-        units.select(*unit, "_levels"),
-        unit,
-    ).withColumn(
-        "_level",
-        F.get(
-            F.filter(
-                "_levels", lambda l: (l["lo"] <= F.col("_lo")) & (F.col("_hi") <= l["hi"])
-            ),
-            F.lit(0),
-        )["level"],
+    counted = (
+        dealt.groupBy(*cell)
+        .agg(
+            row_count().alias("_k"),
+            F.first("_levels").alias("_levels"),
+            *(F.sum(x).alias(x) for x in xs),
+        )
+        .withColumn("_hi", F.sum("_k").over(along))
+        .withColumn("_lo", F.col("_hi") - F.col("_k"))
+        .withColumn("_level", _level_at(F.col("_lo"), F.col("_hi")))
     )
+    counted = cut_lineage(counted.drop("_levels", "_hi"))
     inside = counted.filter(F.col("_level").isNotNull()).select(
         *by, "_perm", "_level", F.col("_k").alias("_n_level"), *xs
     )
-    cut = counted.filter(F.col("_level").isNull()).select(*cell, "_lo", "_levels")
-    place = F.row_number().over(Window.partitionBy(*cell).orderBy("_order", "_id")) + F.col("_lo")
-    ranked = dealt.join(cut, cell, "inner").withColumn("_place", place)
-    ranked = ranked.withColumn(
-        "_level",
-        F.get(
-            F.filter(
-                "_levels", lambda l: (l["lo"] < F.col("_place")) & (F.col("_place") <= l["hi"])
-            ),
-            F.lit(0),
-        )["level"],
-    )
-    split = _level_sums(ranked, [*by, "_perm"], xs).select(
-        *by, "_perm", "_level", "_n_level", *xs
-    )
+    cut = counted.filter(F.col("_level").isNull()).select(*cell, "_lo")
+    if cut.count() <= BROADCAST_ROWS:
+        cut = F.broadcast(cut)
+    split = _sums_ranked(dealt.join(cut, cell, "inner"), cell, by, xs)
     return (
         inside.unionByName(split)
         .groupBy(*by, "_perm", "_level")
@@ -164,6 +170,12 @@ def _dealt_levels(
     )
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Enough partitions to keep all cores busy once rows are repeated per permutation."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _units(rows: DataFrame, unit: Sequence[str], rows_per_bucket: int) -> DataFrame:
     """Per permutation unit: rank range of each level and number of hash buckets."""
     levels = rows.groupBy(*unit, "_level").agg(row_count().alias("_k"))
@@ -205,7 +217,8 @@ def permanova(
 
     ``by`` splits the rows into independent tests.  ``strata`` restricts the
     permutation to rows of the same stratum.  ``ident`` identifies a row within its
-    family.  Rows with a NULL are left out.
+    family.  Rows with a NULL are left out.  The test reads its rows several times,
+    so their narrow table is written once to the checkpoint folder.
     """
     families_by = as_list(by)
     unit = [*families_by, *(["_stratum"] if strata else [])]
@@ -214,12 +227,21 @@ def permanova(
     if strata:
         keep["_stratum"] = strata
     rows = _standard(df, factor, responses, keep).withColumn("_id", F.col("_id").cast("string"))
+    rows = cut_lineage(rows)
     families = _families(rows, families_by, xs)
-    rows = _centred(rows, families, families_by, xs)
     units = _units(rows, unit, rows_per_bucket)
-    observed = _level_sums(rows, families_by, xs).withColumn("_perm", F.lit(0))
-    sums = _dealt_levels(rows, units, families_by, unit, xs, n_perm, seed).unionByName(observed)
-    between = sums.groupBy(*families_by, "_perm").agg(_between(xs).alias("_ssb"))
+    centred = _centred(_spread(rows), families, families_by, xs)
+    dealt = _deal(centred, units, unit, n_perm, seed)
+    if units.filter("_buckets > 1").isEmpty():
+        sums = _sums_ranked(dealt.withColumn("_lo", F.lit(0)), [*unit, "_perm"], families_by, xs)
+    else:
+        sums = _sums_bucketed(dealt, families_by, unit, xs)
+    observed = _level_sums(
+        _centred(rows, families, families_by, xs), families_by, xs
+    ).withColumn("_perm", F.lit(0))
+    between = (
+        sums.unionByName(observed).groupBy(*families_by, "_perm").agg(_between(xs).alias("_ssb"))
+    )
     statistics = attach(between, families, families_by).withColumn("_f", _statistic())
     return _summary(statistics, families_by)
 
@@ -273,6 +295,9 @@ def permanova_strata(
     """
     families_by = as_list(by)
     xs = _numbered(responses)
+    df = cut_lineage(
+        df.select(*dict.fromkeys([*families_by, strata, factor, *as_list(ident), *responses]))
+    )
     keep = {c: c for c in families_by} | {"_stratum": strata}
     rows = _standard(df, factor, responses, keep)
     pairs = _pairs_wide(rows, families_by, xs)
