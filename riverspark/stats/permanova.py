@@ -108,12 +108,23 @@ def permanova_f(
 
 
 def _deal(
-    rows: DataFrame, units: DataFrame, unit: Sequence[str], n_perm: int, seed: str
+    rows: DataFrame,
+    units: DataFrame,
+    by: Sequence[str],
+    unit: Sequence[str],
+    partitions: int,
+    n_perm: int,
+    seed: str,
 ) -> DataFrame:
-    """Every row once per permutation, with its place in the hash order as text."""
+    """Every row once per permutation, with its place in the hash order as text.
+
+    Rows are spread by their id before they are repeated: neither the cores nor the
+    later shuffle on (unit, permutation) then depend on how rows fall into families.
+    """
     order = F.md5(F.concat_ws(":", F.lit(seed), F.col("_perm").cast("string"), "_id"))
     return (
         attach(rows.drop("_level"), units, unit)
+        .repartition(partitions, *by, "_id")
         .withColumn("_perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
         .withColumn("_order", order)
     )
@@ -170,12 +181,6 @@ def _sums_bucketed(
     )
 
 
-def _spread(rows: DataFrame) -> DataFrame:
-    """Enough partitions to keep all cores busy once rows are repeated per permutation."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-
-
 def _units(rows: DataFrame, unit: Sequence[str], rows_per_bucket: int) -> DataFrame:
     """Per permutation unit: rank range of each level and number of hash buckets."""
     levels = rows.groupBy(*unit, "_level").agg(row_count().alias("_k"))
@@ -230,15 +235,16 @@ def permanova(
     rows = cut_lineage(rows)
     families = _families(rows, families_by, xs)
     units = _units(rows, unit, rows_per_bucket)
-    centred = _centred(_spread(rows), families, families_by, xs)
-    dealt = _deal(centred, units, unit, n_perm, seed)
+    centred = _centred(rows, families, families_by, xs)
+    partitions = max(
+        df.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()
+    )
+    dealt = _deal(centred, units, families_by, unit, partitions, n_perm, seed)
     if units.filter("_buckets > 1").isEmpty():
         sums = _sums_ranked(dealt.withColumn("_lo", F.lit(0)), [*unit, "_perm"], families_by, xs)
     else:
         sums = _sums_bucketed(dealt, families_by, unit, xs)
-    observed = _level_sums(
-        _centred(rows, families, families_by, xs), families_by, xs
-    ).withColumn("_perm", F.lit(0))
+    observed = _level_sums(centred, families_by, xs).withColumn("_perm", F.lit(0))
     between = (
         sums.unionByName(observed).groupBy(*families_by, "_perm").agg(_between(xs).alias("_ssb"))
     )
