@@ -244,17 +244,23 @@ def top_by(
 ) -> DataFrame:
     """Rows that hold the largest value of their group.
 
-    ``ties=True`` keeps every row with the largest value; otherwise ``order``
-    breaks ties.  The rank filter is applied before the shuffle as well.
+    ``ties=True`` keeps every row with the largest value: the maxima are aggregated
+    and joined back, as there may be too many such rows for one task.  Otherwise
+    ``order`` breaks ties, and the rank filter is applied before the shuffle as well.
     """
-    by_value = F.col(value).desc_nulls_last()
     names = as_list(keys)
-    if ties:
-        rank = F.rank().over(Window.partitionBy(*names).orderBy(by_value))
-    else:
-        rank = F.row_number().over(Window.partitionBy(*names).orderBy(by_value, *order))
-    ranked = df.filter(F.col(value).isNotNull()).withColumn("_rank", rank)
-    return ranked.filter("_rank = 1").drop("_rank")
+    present = df.filter(F.col(value).isNotNull())
+    if not ties:
+        ranked = Window.partitionBy(*names).orderBy(F.col(value).desc(), *order)
+        first = present.withColumn("_rank", F.row_number().over(ranked)).filter("_rank = 1")
+        return first.drop("_rank")
+    best = present.groupBy(*(F.col(c).alias(f"_best_{c}") for c in names)).agg(
+        F.max(value).alias("_best")
+    )
+    same = [F.col(c).eqNullSafe(F.col(f"_best_{c}")) for c in names]
+    return present.join(
+        best, reduce(lambda a, b: a & b, same, F.col(value) == F.col("_best")), "left_semi"
+    )
 
 
 def unordered_pairs(df: DataFrame, column: str) -> DataFrame:

@@ -20,34 +20,31 @@ def exact_quantiles(
     group: str | Iterable[str],
     value: str,
     probs: Sequence[float],
-    cuts: int = 100,
-    accuracy: int = 2000,
+    accuracy: int = 10_000,
 ) -> DataFrame:
     """Exact interpolated quantiles per group, as an array column ``quantiles``.
 
-    Works for groups of any size.  Approximate quantiles cut each group into value
-    ranges; counting the ranges tells which of them hold the wanted ranks; only the
-    distinct values of those ranges are ordered.  NULL and NaN are left out.
+    Works for groups of any size.  Approximate quantiles bracket each wanted rank;
+    counting the value ranges between the brackets tells which ranges hold the
+    ranks; only those ranges, each about 4 / ``accuracy`` of a group, are ordered.
+    NULL and NaN are left out.
     """
     keys = as_list(group)
-    steps = [i / cuts for i in range(1, cuts)]
+    margin = 2.0 / accuracy
+    steps = sorted({min(max(p + side * margin, 0.0), 1.0) for p in probs for side in (-1, 1)})
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(
         F.col("_v").isNotNull() & ~F.isnan("_v")
     )
     # One row per group, with arrays whose length the arguments fix.
-    ranges = rows.groupBy(*keys).agg(
+    brackets = rows.groupBy(*keys).agg(
         row_count().alias("_n"),
         F.array_distinct(F.percentile_approx("_v", steps, accuracy)).alias("_cuts"),
     )
-    below = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
-    counted = (
-        rows.join(ranges, keys, "inner")
-        .withColumn("_range", below)
-        .groupBy(*keys, "_n", "_range", "_v")
-        .agg(row_count().alias("_k"))
+    ranged = rows.join(brackets, keys, "inner").select(
+        *keys, "_n", "_v", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_range")
     )
-    sizes = counted.groupBy(*keys, "_n", "_range").agg(F.sum("_k").alias("_size"))
-    # At most `cuts` rows per group.
+    sizes = ranged.groupBy(*keys, "_n", "_range").agg(row_count().alias("_size"))
+    # At most one row per bracket and group.
     along = Window.partitionBy(*keys).orderBy("_range")
     ranks = F.array(
         *(
@@ -68,6 +65,12 @@ def exact_quantiles(
         .filter(F.size("_wanted") > 0)
         .select(*keys, "_range", "_lo", "_wanted")
     )
+    # Equal values are counted together, so ties never pile up in the window.
+    counted = (
+        ranged.join(located.select(*keys, "_range"), [*keys, "_range"], "left_semi")
+        .groupBy(*keys, "_n", "_range", "_v")
+        .agg(row_count().alias("_k"))
+    )
     inside = Window.partitionBy(*keys, "_range").orderBy("_v")
     found = (
         counted.join(located, [*keys, "_range"], "inner")
@@ -173,9 +176,23 @@ def density_grid(
     )
 
 
+_COMPASS = np.array([[1, 0], [1, 1], [0, 1], [-1, 1], [-1, 0], [-1, -1], [0, -1], [1, -1]])
+
+
+def _drop_inner(points: np.ndarray) -> np.ndarray:
+    """Leave out points well inside the polygon of the outermost points in eight directions."""
+    corners = points[(points @ _COMPASS.T).argmax(axis=0)]
+    sides = np.roll(corners, -1, axis=0) - corners
+    real = (sides != 0).any(axis=1)
+    inner = np.full(len(points), real.sum() >= 3)
+    for corner, side in zip(corners[real], sides[real]):
+        inner &= side[0] * (points[:, 1] - corner[1]) - side[1] * (points[:, 0] - corner[0]) > 0
+    return points[~inner]
+
+
 def _hull(points: np.ndarray) -> np.ndarray:
     """Vertices of the convex hull, counter-clockwise, collinear points left out."""
-    points = np.unique(points, axis=0)
+    points = np.unique(_drop_inner(points), axis=0)
     if len(points) < 3:
         return points
 

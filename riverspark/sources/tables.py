@@ -57,16 +57,23 @@ def read_csv_skip(
     def skip_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, seen = None, 0
         for batch in batches:
-            files = batch.column(1).to_pylist()
+            if batch.num_rows == 0:
+                continue
             starts = batch.column(2).to_numpy()
+            files = batch.column(1).dictionary_encode()
+            codes = files.indices.to_numpy()
+            moved = (codes[1:] != codes[:-1]) | (starts[1:] != starts[:-1])
+            edges = [0, *(np.flatnonzero(moved) + 1), len(codes)]
             keep = np.ones(batch.num_rows, dtype=bool)
-            for i, file in enumerate(files):
-                if (file, starts[i]) != current:
-                    current, seen = (file, starts[i]), 0
-                if starts[i] != 0 or seen >= drop:
-                    continue
-                keep[i] = False
-                seen += 1
+            # One turn per file split that the batch touches, not per line.
+            for lo, hi in zip(edges, edges[1:]):
+                split = (files.dictionary[int(codes[lo])].as_py(), int(starts[lo]))
+                if split != current:
+                    current, seen = split, 0
+                if split[1] == 0 and seen < drop:
+                    cut = min(hi - lo, drop - seen)
+                    keep[lo : lo + cut] = False
+                    seen += cut
             yield batch.select([0]).filter(pa.array(keep))
 
     parsed = F.from_csv("value", schema.simpleString()[len("struct<") : -1].replace(":", " "))

@@ -16,7 +16,7 @@ def test_quantiles_equal_numpy_with_ties_and_a_hot_group(spark):
     rows = [(g, float(v)) for g, vs in data.items() for v in vs] + [("hot", None), ("hot", float("nan"))]
     df = spark.createDataFrame(rows, "g string, v double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
-    for r in summaries.exact_quantiles(df, "g", "v", probs, cuts=20, accuracy=50).collect():
+    for r in summaries.exact_quantiles(df, "g", "v", probs, accuracy=50).collect():
         assert r.n == len(data[r.g])
         assert r.quantiles == pytest.approx(np.quantile(data[r.g], probs))
 
