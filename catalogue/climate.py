@@ -15,6 +15,7 @@ from riverspark.functions import (
     variable_from_source,
 )
 from riverspark.operators import clean, climate, reshape, screens
+from riverspark.plans.climate import local_rollups, monthly_table
 from riverspark.sources import append
 
 TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -492,3 +493,33 @@ def label_polygons(spark, folder):
     return climate.label_polygons(zones, ids, "id").select(
         "station", F.round("value", 6).alias("value")
     )
+
+
+NAMES = {"ppt": "view", "snowfall": "purchase", "snowmelt": "signup", "temp": "click"}
+
+
+@register(
+    "monthly_climate_table",
+    f"""WITH {HOURLY}, {LOCAL},
+m AS (SELECT station, CAST(year(local_ts) AS INT) AS year, CAST(month(local_ts) AS INT) AS month, variable,
+  CASE WHEN variable = 'click' THEN AVG(value) ELSE SUM(value) END AS value
+  FROM local GROUP BY 1, 2, 3, 4 HAVING COUNT(*) > 100),
+w AS (SELECT station, year, month, MAX(CASE WHEN variable = 'view' THEN value END) AS p,
+  MAX(CASE WHEN variable = 'purchase' THEN value END) AS s,
+  MAX(CASE WHEN variable = 'signup' THEN value END) AS snowmelt,
+  MAX(CASE WHEN variable = 'click' THEN value END) AS temp FROM m GROUP BY 1, 2, 3)
+SELECT station, year, month, round(p, 6) AS ppt,
+  round(CASE WHEN s > p THEN p ELSE s END, 6) AS snowfall, round(snowmelt, 6) AS snowmelt,
+  round(p - CASE WHEN s > p THEN p ELSE s END, 6) + 0.0 AS rain, round(temp - 273.15, 6) AS temp,
+  make_date(year, month, 15) AS date FROM w""",
+)
+def monthly_climate_table(spark, folder):
+    region = F.element_at(F.array(*map(F.lit, REGIONS)), (F.col("station") % 6 + 1).cast("int"))
+    hours = hourly(spark, folder).withColumn("utc_ts", utc_timestamp("date_utc", "hour_utc"))
+    offsets = hours.select("station").distinct().withColumn("hours_behind", utc_minus(region))
+    monthly, _ = local_rollups(
+        hours, offsets, "station", "utc_ts", "variable", "value", ["click"], month_hours=100
+    )
+    wide = monthly_table(monthly, "station", names=NAMES)
+    rounded = ("ppt", "snowfall", "snowmelt", "rain", "temp")
+    return wide.withColumns({c: F.round(c, 6) for c in rounded})

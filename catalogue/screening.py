@@ -20,6 +20,7 @@ from catalogue.views import (
 )
 from riverspark.functions import CFS_TO_M3S, convert
 from riverspark.operators import clean, screens
+from riverspark.plans.flow import screened_flow
 from riverspark.sources import append, daily_values, stack_tables
 
 DATE = dt.date
@@ -474,3 +475,59 @@ def dedupe_keep_first(spark, folder):
         F.to_date("o_orderdate").alias("day"),
         F.round("o_totalprice", 2).alias("price"),
     )
+
+
+@register(
+    "screened_flow",
+    f"""WITH s_raw AS (
+  SELECT n_name AS station, CAST(l_shipdate AS DATE) AS date, SUM(l_extendedprice) AS discharge,
+    MIN(l_returnflag) AS flag
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+  GROUP BY 1, 2),
+s_ok AS (SELECT station, date, discharge FROM s_raw WHERE flag IN ('A', 'N')),
+{dense_sql('s_ok', 'filled')},
+eligible AS (SELECT station FROM filled GROUP BY 1
+  HAVING MIN(date) < DATE '1996-01-01' AND MAX(date) > DATE '2001-01-01'),
+dense AS (SELECT * FROM filled WHERE station IN (SELECT station FROM eligible)
+  AND date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'),
+{MONTHLY.format(k=20)},
+bad AS (SELECT station FROM dense GROUP BY 1
+    HAVING (COUNT(*) - COUNT(discharge)) / CAST(COUNT(*) AS DOUBLE) > 0.7
+  UNION SELECT station FROM monthly GROUP BY station, month
+    HAVING (COUNT(*) - COUNT(discharge)) / CAST(COUNT(*) AS DOUBLE) > 0.6)
+SELECT station, CAST(COUNT(*) AS BIGINT) AS n_days, CAST(COUNT(discharge) AS BIGINT) AS n_values,
+  round(SUM(discharge), 2) AS total FROM dense WHERE station NOT IN (SELECT station FROM bad) GROUP BY 1""",
+)
+def screened_flow_query(spark, folder):
+    lines = table(spark, folder, "lineitem")
+    places = (
+        table(spark, folder, "supplier")
+        .join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+        .select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_name").alias("station"))
+    )
+    raw = (
+        lines.join(places, "l_suppkey")
+        .groupBy("station", F.to_date("l_shipdate").alias("date"))
+        .agg(F.sum("l_extendedprice").alias("discharge"), F.min("l_returnflag").alias("flag"))
+    )
+    # Gap islands are out of reach here: their SQL is checked by select_stations.
+    kept = screened_flow(
+        raw,
+        "station",
+        "date",
+        "discharge",
+        flag="flag",
+        allowed=["A", "N"],
+        period=(DATE(1996, 1, 1), DATE(2000, 12, 31)),
+        start_before=DATE(1996, 1, 1),
+        end_after=DATE(2001, 1, 1),
+        max_share=0.7,
+        max_month_share=0.6,
+        max_missing_days=20,
+        min_len=10_000,
+    )
+    return kept.groupBy("station").agg(
+        F.count(F.lit(1)).alias("n_days"),
+        F.count("discharge").alias("n_values"),
+        F.round(F.sum("discharge"), 2).alias("total"),
+    )

@@ -10,6 +10,7 @@ from catalogue import register
 from catalogue.views import BRAND, brand_series, table
 from riverspark.functions import split_composite
 from riverspark.operators import clean, reshape
+from riverspark.plans import statistics as plans
 from riverspark.stats import moments, ols, paired, pca, permanova
 from riverspark.stats.holm import holm
 
@@ -266,35 +267,40 @@ M_MEANS = ", ".join(f"AVG({x}) AS m_{x}" for x in MEASURES)
 M_CENTRED = ", ".join(f"{x} - m_{x} AS {x}" for x in MEASURES)
 
 
-@register(
-    "permanova_strata",
-    f"""WITH {STATION_PERIODS},
-fam AS (SELECT class, COUNT(*) AS n, COUNT(DISTINCT period) AS a, COUNT(*) * ({M_SS}) AS ss, {M_MEANS},
-  COUNT(DISTINCT station) AS strata FROM station_periods GROUP BY 1),
-c AS (SELECT class, station, station || '|' || period AS id, period AS g, strata, {M_CENTRED}
-  FROM station_periods JOIN fam USING (class)),
-{_level_sums_sql('obs', 'c', 'class', MEASURES)}, {_between_sql('obs_b', 'obs', 'class', MEASURES)},
-f0 AS (SELECT class, strata, {F_SQL} AS f_stat, {DF_SQL} FROM obs_b JOIN fam USING (class)),
+def _strata_sql(source: str, by: str) -> str:
+    """CTEs that end in ``tested``: permutation within stations, few pairs enumerated."""
+    return f"""fam AS (SELECT {by}, COUNT(*) AS n, COUNT(DISTINCT period) AS a, COUNT(*) * ({M_SS}) AS ss, {M_MEANS},
+  COUNT(DISTINCT station) AS strata FROM {source} GROUP BY {by}),
+c AS (SELECT {by}, station, station || '|' || period AS id, period AS g, strata, {M_CENTRED}
+  FROM {source} JOIN fam USING ({by})),
+{_level_sums_sql('obs', 'c', by, MEASURES)}, {_between_sql('obs_b', 'obs', by, MEASURES)},
+f0 AS (SELECT {by}, strata, {F_SQL} AS f_stat, {DF_SQL} FROM obs_b JOIN fam USING ({by})),
 perms AS (SELECT UNNEST(range(0, {N_PERM + 1})) AS perm),
-num AS (SELECT class, station, row_number() OVER (PARTITION BY class ORDER BY station) - 1 AS i
-  FROM (SELECT DISTINCT class, station FROM c)),
-exact_named AS (SELECT c.class, perm, {', '.join(MEASURES)},
+num AS (SELECT {by}, station, row_number() OVER (PARTITION BY {by} ORDER BY station) - 1 AS i
+  FROM (SELECT DISTINCT {by}, station FROM c)),
+exact_named AS (SELECT {by}, perm, {', '.join(MEASURES)},
     CASE WHEN (perm >> i) & 1 = 1 THEN CASE g WHEN 'recent' THEN 'historical' ELSE 'recent' END ELSE g END AS g
-  FROM c JOIN num USING (class, station) JOIN perms ON perm < pow(2, strata) WHERE strata <= 7),
-drawn_place AS (SELECT class, station, perm, {', '.join(MEASURES)},
-    row_number() OVER (PARTITION BY class, station, perm ORDER BY md5('0:' || CAST(perm AS VARCHAR) || ':' || id), id) AS place
+  FROM c JOIN num USING ({by}, station) JOIN perms ON perm < pow(2, strata) WHERE strata <= 7),
+drawn_place AS (SELECT {by}, station, perm, {', '.join(MEASURES)},
+    row_number() OVER (PARTITION BY {by}, station, perm ORDER BY md5('0:' || CAST(perm AS VARCHAR) || ':' || id), id) AS place
   FROM c JOIN perms ON perm > 0 WHERE strata > 7),
-drawn_named AS (SELECT class, perm, {', '.join(MEASURES)}, CASE place WHEN 1 THEN 'historical' ELSE 'recent' END AS g
+drawn_named AS (SELECT {by}, perm, {', '.join(MEASURES)}, CASE place WHEN 1 THEN 'historical' ELSE 'recent' END AS g
   FROM drawn_place),
 named AS (SELECT * FROM exact_named WHERE perm > 0 UNION ALL SELECT * FROM drawn_named),
-{_level_sums_sql('per', 'named', 'class, perm', MEASURES)}, {_between_sql('per_b', 'per', 'class, perm', MEASURES)},
-fs AS (SELECT class, perm, {F_SQL} AS f FROM per_b JOIN fam USING (class)),
-counts AS (SELECT f0.class, COUNT(CASE WHEN f >= f_stat - 1.5e-8 THEN 1 END) AS hits, COUNT(*) AS m
-  FROM f0 JOIN fs ON fs.class = f0.class GROUP BY 1)
-SELECT class, df_factor, df_residual, df_total, round(f_stat, 6) AS f_stat,
+{_level_sums_sql('per', 'named', f'{by}, perm', MEASURES)}, {_between_sql('per_b', 'per', f'{by}, perm', MEASURES)},
+fs AS (SELECT {by}, perm, {F_SQL} AS f FROM per_b JOIN fam USING ({by})),
+counts AS (SELECT {by}, COUNT(CASE WHEN f >= f_stat - 1.5e-8 THEN 1 END) AS hits, COUNT(*) AS m
+  FROM f0 JOIN fs USING ({by}) GROUP BY {by}),
+tested AS (SELECT {by}, df_factor, df_residual, df_total, f_stat,
   CASE WHEN f_stat IS NOT NULL THEN (1 + hits) / CAST(m + 1 AS DOUBLE) END AS p_value,
   CAST(m AS INT) AS n_perm
-FROM f0 JOIN counts USING (class)""",
+FROM f0 JOIN counts USING ({by}))"""
+
+
+@register(
+    "permanova_strata",
+    f"""WITH {STATION_PERIODS}, {_strata_sql('station_periods', 'class')}
+SELECT class, df_factor, df_residual, df_total, round(f_stat, 6) AS f_stat, p_value, n_perm FROM tested""",
 )
 def permanova_strata(spark, folder):
     found = permanova.permanova_strata(
@@ -562,3 +568,47 @@ def grouped_means(spark, folder):
     return means.select(
         "o_orderstatus", "o_orderpriority", "year", F.round("price", 4).alias("price")
     )
+
+
+@register("component_scores")
+def component_scores(spark, folder):
+    scores, _ = plans.component_scores(vectors(spark, folder), XS)
+    return scores.select("vec_id", "label", "dim1", "dim2", "dim3")
+
+
+@register(
+    "factor_tests",
+    PERMANOVA_P.replace("SELECT df_factor", "SELECT 'label' AS factor, df_factor"),
+)
+def factor_tests(spark, folder):
+    found = plans.factor_tests(vectors(spark, folder), "vec_id", ["label"], RESPONSES, N_PERM)
+    return found.withColumn("f_stat", F.round("f_stat", 6))
+
+
+@register(
+    "period_tests",
+    f"""WITH {STATION_PERIODS},
+members AS (SELECT 'all' AS family, 'all' AS member, * FROM station_periods
+  UNION ALL SELECT 'class', class, * FROM station_periods WHERE class IN
+    (SELECT class FROM station_periods GROUP BY 1 HAVING COUNT(DISTINCT station) >= 2)),
+{_strata_sql('members', 'family, member')}
+SELECT family, member, df_factor, df_residual, df_total, round(f_stat, 6) AS f_stat, p_value, n_perm,
+  CASE WHEN family <> 'all' THEN round(MAX(step) OVER (PARTITION BY family ORDER BY p_value, k), 9) END AS p_adjusted
+FROM (SELECT *, least(1.0, (COUNT(*) OVER (PARTITION BY family) - k + 1) * p_value) AS step FROM
+  (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p_value) AS k FROM tested))""",
+)
+def period_tests(spark, folder):
+    found = plans.period_tests(
+        station_periods(spark, folder), "station", "period", MEASURES, ["class"], N_PERM
+    )
+    return found.withColumns(
+        {"f_stat": F.round("f_stat", 6), "p_adjusted": F.round("p_adjusted", 9)}
+    )
+
+
+@register("climate_effects")
+def climate_effects(spark, folder):
+    lines = moments.zscore(table(spark, folder, "lineitem"), COVARIATES)
+    return plans.climate_effects(
+        lines, ["l_extendedprice"], [f"{c}_z" for c in COVARIATES], "l_linestatus", ["F", "O"]
+    )

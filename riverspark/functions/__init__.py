@@ -17,6 +17,7 @@ from riverspark.functions.scalars import (
     local_timestamp,
     mid_month,
     pad_hour,
+    pattern_class,
     percent_change,
     recode,
     repair_exponent,
@@ -41,6 +42,7 @@ __all__ = [
     "mid_month",
     "missing_count",
     "pad_hour",
+    "pattern_class",
     "percent_change",
     "recode",
     "repair_exponent",

@@ -52,6 +52,11 @@ def threshold_class(c: Column | str, cut: float, below: str, at_or_above: str) -
     return F.when(_col(c) < cut, F.lit(below)).when(_col(c) >= cut, F.lit(at_or_above))
 
 
+def pattern_class(c: Column | str, pattern: str, hit: str, miss: str) -> Column:
+    """Label by whether the text holds a pattern."""
+    return F.when(_col(c).rlike(pattern), F.lit(hit)).otherwise(F.lit(miss))
+
+
 def sentence_case(c: Column | str) -> Column:
     """First letter kept, all others lower case."""
     return F.concat(F.left(_col(c), F.lit(1)), F.lower(F.substr(_col(c), F.lit(2))))

@@ -1,13 +1,49 @@
-"""Daily flow to regime metrics."""
+"""Daily flow: from raw values to screened series and regime metrics."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 
-from riverspark.operators import events, screens, spectral
+from riverspark.operators import clean, events, screens, series, spectral
 from riverspark.session import cut_lineage
 
 
+def screened_flow(
+    raw: DataFrame,
+    key: str,
+    date: str,
+    value: str,
+    *,
+    flag: str | None = None,
+    allowed: Sequence[str] = (),
+    period: tuple = (None, None),
+    start_before=None,
+    end_after=None,
+    trim_rules: DataFrame | None = None,
+    reuse: bool = True,
+    **screen_limits,
+) -> DataFrame:
+    """Daily series, one row per day, of the stations fit for analysis.
+
+    Masks values by quality flag, fills the calendar with NULL days, keeps stations
+    whose record starts and ends in time, clips to the period, trims bad starts and
+    applies the completeness screens (see ``select_stations`` for their limits).
+    The screens read the daily table several times, so ``reuse`` writes it once.
+    """
+    masked = clean.mask_by_flag(raw, value, flag, allowed) if flag else raw
+    daily = series.densify_daily(masked, key, date, value)
+    if start_before is not None or end_after is not None:
+        eligible = screens.eligible_by_range(daily, key, date, start_before, end_after)
+        daily = clean.keep_keys(daily, eligible, key)
+    daily = clean.clip_period(daily, date, *period)
+    if trim_rules is not None:
+        daily = clean.apply_trim_rules(daily, trim_rules, key, date)
+    daily = cut_lineage(daily) if reuse else daily
+    return screens.select_stations(daily, key, date, value, **screen_limits)
+
+
 def flow_regime(
     daily: DataFrame,
     key: str,

@@ -34,17 +34,13 @@ def design(
 
     ``levels`` lists the factor's levels; the first one is the reference.
     """
-    columns: dict[str, Column] = {INTERCEPT: F.lit(1.0)}
-    dummies = {}
-    for level in levels[1:]:
-        hit = F.when(F.col(factor) == level, 1.0).when(F.col(factor).isin(*levels), 0.0)
-        dummies[f"{factor}[{level}]"] = hit
-    columns |= dummies
-    for c in covariates:
-        columns[c] = F.col(c).cast("double")
+    dummies = {
+        f"{factor}[{level}]": (F.col(factor) == level).cast("double") for level in levels[1:]
+    }
+    columns: dict[str, Column] = {INTERCEPT: F.lit(1.0)} | dummies
+    columns |= {c: F.col(c) for c in covariates}
     for name, dummy in dummies.items():
-        for c in covariates:
-            columns[f"{c}:{name}"] = dummy * F.col(c).cast("double")
+        columns |= {f"{c}:{name}": dummy * F.col(c) for c in covariates}
     return columns
 
 
@@ -57,11 +53,19 @@ def normal_equations(
 ) -> DataFrame:
     """All sums of products as (row, column, value), from one pass.
 
-    The response appears as row and column ``y``.  Rows with a NULL are left out.
+    The response appears as row and column ``y``.  Rows with a NULL or with a level
+    not listed are left out.
     """
-    columns = design(covariates, factor, levels) | {"y": F.col(y).cast("double")}
+    columns = design(covariates, factor, levels) | {"y": F.col("_y")}
     names = list(columns)
-    wide = df.select(*(c.alias(f"_{i}") for i, c in enumerate(columns.values()))).dropna()
+    inputs = df.select(
+        *as_list(factor),
+        *(F.col(c).cast("double").alias(c) for c in covariates),
+        F.col(y).cast("double").alias("_y"),
+    ).dropna()
+    if factor:
+        inputs = inputs.filter(F.col(factor).isin(*levels))
+    wide = inputs.select(*(c.alias(f"_{i}") for i, c in enumerate(columns.values())))
     pairs = [(i, j) for i in range(len(names)) for j in range(i + 1)]
     sums = wide.agg(*(F.sum(F.col(f"_{i}") * F.col(f"_{j}")).alias(f"s{i}_{j}") for i, j in pairs))
     entries = [
