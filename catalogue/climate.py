@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from catalogue import register
 from catalogue.views import BRAND, NATION, brand_series, dense, dense_sql, nation_series, table
 from riverspark.functions import (
+    epoch_to_timestamp,
+    glue_label,
     jday_to_date,
+    mid_month,
     pad_hour,
     repair_exponent,
     utc_minus,
@@ -127,7 +130,7 @@ def rollup_climate_daily(spark, folder):
 
 @register(
     "variable_from_source",
-    """WITH named AS (SELECT 'Era5-' || event_type || '-' || CAST(year(ts) AS VARCHAR) || '.nc.csv' AS source,
+    """WITH named AS (SELECT 'clim-' || event_type || '-' || CAST(year(ts) AS VARCHAR) || '.nc.csv' AS source,
   value FROM events)
 SELECT regexp_replace(regexp_replace(substr(source, 6), '.[0-9]+', ''), '\\.nc\\.csv', '') AS variable,
   replace(CAST(1 AS VARCHAR) || 'e.09', 'e.', 'e+') AS repaired, CAST(COUNT(*) AS BIGINT) AS n
@@ -135,7 +138,7 @@ FROM named GROUP BY 1, 2""",
 )
 def variable_from_source_query(spark, folder):
     source = F.concat(
-        F.lit("Era5-"), "event_type", F.lit("-"), F.year("ts").cast("string"), F.lit(".nc.csv")
+        F.lit("clim-"), "event_type", F.lit("-"), F.year("ts").cast("string"), F.lit(".nc.csv")
     )
     named = table(spark, folder, "events").withColumn("source", source)
     return named.groupBy(
@@ -523,3 +526,29 @@ def monthly_climate_table(spark, folder):
     wide = monthly_table(monthly, "station", names=NAMES)
     rounded = ("ppt", "snowfall", "snowmelt", "rain", "temp")
     return wide.withColumns({c: F.round(c, 6) for c in rounded})
+
+
+@register(
+    "calendar_functions",
+    """WITH o AS (SELECT CAST(o_orderdate AS DATE) AS day, CAST(year(o_orderdate) AS INT) AS y,
+  CAST(month(o_orderdate) AS INT) AS m, CAST(dayofyear(o_orderdate) AS INT) AS j FROM orders)
+SELECT y AS year, m AS month, make_date(y, m, 15) AS middle, MIN(day) AS first_day, MAX(day) AS last_day,
+  CAST(y AS VARCHAR) || '-' || CAST(m AS VARCHAR) AS label, CAST(COUNT(DISTINCT j) AS BIGINT) AS n_days
+FROM o GROUP BY 1, 2""",
+)
+def calendar_functions(spark, folder):
+    """Dates rebuilt from the day of the year and from epoch seconds."""
+    day = F.to_date("o_orderdate")
+    orders = table(spark, folder, "orders").select(
+        F.year("o_orderdate").alias("year"),
+        F.month("o_orderdate").alias("month"),
+        F.dayofyear("o_orderdate").alias("jday"),
+        (F.datediff(day, F.lit("1970-01-01").cast("date")).cast("long") * 86400).alias("seconds"),
+    )
+    return orders.groupBy("year", "month").agg(
+        F.max(mid_month("year", "month")).alias("middle"),
+        F.min(jday_to_date("year", "jday")).alias("first_day"),
+        F.to_date(F.max(epoch_to_timestamp("seconds"))).alias("last_day"),
+        F.max(glue_label("year", "month")).alias("label"),
+        F.count_distinct("jday").alias("n_days"),
+    )

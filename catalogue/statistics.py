@@ -164,7 +164,7 @@ SELECT df_factor, df_residual, df_total, round(f_stat, 6) AS f_stat,
 @register("permanova_p", PERMANOVA_P)
 def permanova_p(spark, folder):
     found = permanova.permanova(
-        vectors(spark, folder), "vec_id", "label", RESPONSES, n_perm=N_PERM
+        vectors(spark, folder), "vec_id", "label", RESPONSES, n_perm=N_PERM, draw="md5"
     )
     return found.withColumn("f_stat", F.round("f_stat", 6))
 
@@ -173,7 +173,7 @@ def permanova_p(spark, folder):
 def permanova_p_bucketed(spark, folder):
     """Same result by the path for large groups, with buckets small enough to test it."""
     found = permanova.permanova(
-        vectors(spark, folder), "vec_id", "label", RESPONSES, n_perm=N_PERM, rows_per_bucket=16
+        vectors(spark, folder), "vec_id", "label", RESPONSES, n_perm=N_PERM, rows_per_bucket=16, draw="md5"
     )
     return found.withColumn("f_stat", F.round("f_stat", 6))
 
@@ -215,7 +215,7 @@ SELECT var1, var2, df_factor, df_residual, df_total, round(f_stat, 6) AS f_stat,
 )
 def permanova_pairwise(spark, folder):
     found = permanova.pairwise_permanova(
-        vectors(spark, folder), "vec_id", "label", RESPONSES, n_perm=PAIR_PERM
+        vectors(spark, folder), "vec_id", "label", RESPONSES, n_perm=PAIR_PERM, draw="md5"
     )
     return found.withColumns({"f_stat": F.round("f_stat", 6), "p_adjusted": F.round("p_adjusted", 9)})
 
@@ -304,7 +304,7 @@ SELECT class, df_factor, df_residual, df_total, round(f_stat, 6) AS f_stat, p_va
 )
 def permanova_strata(spark, folder):
     found = permanova.permanova_strata(
-        station_periods(spark, folder), "period", MEASURES, "station", by="class", n_perm=N_PERM
+        station_periods(spark, folder), "period", MEASURES, "station", by="class", n_perm=N_PERM, draw="md5"
     )
     return found.withColumn("f_stat", F.round("f_stat", 6))
 
@@ -438,8 +438,8 @@ def ols_interactions_full(spark, folder):
     return ols.ols_table(spark, model)
 
 
-def differences(spark, folder):
-    wide = (
+def wide_periods(spark, folder):
+    return (
         station_periods(spark, folder)
         .groupBy("station", "class")
         .agg(
@@ -450,6 +450,10 @@ def differences(spark, folder):
             )
         )
     )
+
+
+def differences(spark, folder):
+    wide = wide_periods(spark, folder)
     long = reshape.to_long(
         wide, ["station", "class"], [f"{m}_{p}" for m in MEASURES for p in PERIODS], "name", "value"
     )
@@ -508,9 +512,7 @@ T_P = """CASE WHEN df % 2 = 0 THEN 1 - sin(th) * list_sum(list_transform(range(0
     lambda j: exp(lgamma(j + 1) + lgamma(1.5) - lgamma(j + 1.5)) * pow(cos(th), 2 * j + 1))), 0)) END"""
 
 
-@register(
-    "paired_contrast",
-    f"""WITH {DIFFERENCES},
+PAIRED = f"""WITH {DIFFERENCES},
 grp AS (SELECT variable, class, COUNT(*) AS n, AVG(recent - historical) AS estimate,
   COALESCE(VAR_SAMP(recent - historical), 0) AS v FROM differences GROUP BY 1, 2),
 pool AS (SELECT *, SUM(n - 1) OVER w AS df, SUM((n - 1) * v) OVER w / SUM(n - 1) OVER w AS s2
@@ -518,8 +520,21 @@ pool AS (SELECT *, SUM(n - 1) OVER w AS df, SUM((n - 1) * v) OVER w / SUM(n - 1)
 t AS (SELECT *, sqrt(s2 / n) AS se, estimate / sqrt(s2 / n) AS t,
   atan(abs(estimate / sqrt(s2 / n)) / sqrt(df)) AS th FROM pool)
 SELECT variable, class, CAST(n AS BIGINT) AS n, CAST(df AS BIGINT) AS df, round(estimate, 6) + 0.0 AS estimate,
-  round(se, 6) AS se, round(t, 6) + 0.0 AS t, round({T_P}, 6) AS p FROM t""",
-)
+  round(se, 6) AS se, round(t, 6) + 0.0 AS t, round({T_P}, 6) AS p FROM t"""
+
+
+@register("period_contrasts", PAIRED)
+def period_contrasts(spark, folder):
+    columns = {m: (f"{m}_recent", f"{m}_historical") for m in MEASURES}
+    contrasts, _ = plans.period_contrasts(
+        wide_periods(spark, folder), ["station"], "class", columns
+    )
+    return contrasts.select(
+        "variable", "class", "n", "df", *(F.round(c, 6).alias(c) for c in ("estimate", "se", "t", "p"))
+    )
+
+
+@register("paired_contrast", PAIRED)
 def paired_contrast(spark, folder):
     found = paired.paired_contrast(differences(spark, folder), "class", by="variable")
     return found.select(
@@ -581,7 +596,7 @@ def component_scores(spark, folder):
     PERMANOVA_P.replace("SELECT df_factor", "SELECT 'label' AS factor, df_factor"),
 )
 def factor_tests(spark, folder):
-    found = plans.factor_tests(vectors(spark, folder), "vec_id", ["label"], RESPONSES, N_PERM)
+    found = plans.factor_tests(vectors(spark, folder), "vec_id", ["label"], RESPONSES, N_PERM, "md5")
     return found.withColumn("f_stat", F.round("f_stat", 6))
 
 
@@ -599,7 +614,7 @@ FROM (SELECT *, least(1.0, (COUNT(*) OVER (PARTITION BY family) - k + 1) * p_val
 )
 def period_tests(spark, folder):
     found = plans.period_tests(
-        station_periods(spark, folder), "station", "period", MEASURES, ["class"], N_PERM
+        station_periods(spark, folder), "station", "period", MEASURES, ["class"], N_PERM, draw="md5"
     )
     return found.withColumns(
         {"f_stat": F.round("f_stat", 6), "p_adjusted": F.round("p_adjusted", 9)}

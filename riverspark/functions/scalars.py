@@ -63,7 +63,7 @@ def sentence_case(c: Column | str) -> Column:
 
 
 def variable_from_source(c: Column | str, prefix: int = 5) -> Column:
-    """A4: variable tag of a file name such as ``Era5-temp-2001.nc.csv``.
+    """A4: variable tag of a file name such as ``clim-temp-2001.nc.csv``.
 
     Drops ``prefix`` leading characters, the separator with the year, and the
     file suffix.

@@ -24,12 +24,19 @@ def component_scores(
 
 
 def factor_tests(
-    df: DataFrame, ident: str, factors: Sequence[str], responses: Sequence[str], n_perm: int = 999
+    df: DataFrame,
+    ident: str,
+    factors: Sequence[str],
+    responses: Sequence[str],
+    n_perm: int = 999,
+    draw: str = "xxhash64",
 ) -> DataFrame:
     """One overall test per factor, stacked."""
     return append(
         *(
-            permanova(df, ident, f, responses, n_perm=n_perm).select(F.lit(f).alias("factor"), "*")
+            permanova(df, ident, f, responses, n_perm=n_perm, draw=draw).select(
+                F.lit(f).alias("factor"), "*"
+            )
             for f in factors
         )
     )
@@ -43,6 +50,7 @@ def period_tests(
     classes: Sequence[str],
     n_perm: int = 999,
     least_subjects: int = 2,
+    draw: str = "xxhash64",
 ) -> DataFrame:
     """Period tests within subjects, overall and per level of each class.
 
@@ -66,7 +74,7 @@ def period_tests(
         members, sizes.filter(F.col("_n") >= least_subjects), ["family", "member"]
     )
     tests = permanova_strata(
-        members, period, responses, subject, by=["family", "member"], n_perm=n_perm
+        members, period, responses, subject, by=["family", "member"], n_perm=n_perm, draw=draw
     )
     adjusted = holm(tests, "p_value", "family")
     return adjusted.withColumn(

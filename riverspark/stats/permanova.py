@@ -107,26 +107,33 @@ def permanova_f(
     )
 
 
+# How rows are put in a random order: hash of (seed, permutation, id), and the first
+# 12 bits of that order as a number.
+_DRAWS = {
+    "xxhash64": (
+        lambda seed, perm, ident: F.xxhash64(F.lit(seed), perm, ident),
+        lambda order: F.shiftright(order, 52).cast("int") + _PREFIX_SPACE // 2,
+    ),
+    "md5": (
+        lambda seed, perm, ident: F.md5(F.concat_ws(":", F.lit(seed), perm.cast("string"), ident)),
+        lambda order: F.conv(F.left(order, F.lit(3)), 16, 10).cast("int"),
+    ),
+}
+
+
 def _deal(
-    rows: DataFrame,
-    units: DataFrame,
-    by: Sequence[str],
-    unit: Sequence[str],
-    partitions: int,
-    n_perm: int,
-    seed: str,
+    rows: DataFrame, by: Sequence[str], partitions: int, n_perm: int, seed: str, draw: str
 ) -> DataFrame:
-    """Every row once per permutation, with its place in the hash order as text.
+    """Every row once per permutation, with its place in the hash order.
 
     Rows are spread by their id before they are repeated: neither the cores nor the
     later shuffle on (unit, permutation) then depend on how rows fall into families.
     """
-    order = F.md5(F.concat_ws(":", F.lit(seed), F.col("_perm").cast("string"), "_id"))
+    order, _ = _DRAWS[draw]
     return (
-        attach(rows.drop("_level"), units, unit)
-        .repartition(partitions, *by, "_id")
+        rows.repartition(partitions, *by, "_id")
         .withColumn("_perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
-        .withColumn("_order", order)
+        .withColumn("_order", order(seed, F.col("_perm"), F.col("_id")))
     )
 
 
@@ -145,26 +152,29 @@ def _sums_ranked(dealt: DataFrame, cell: Sequence[str], by: Sequence[str], xs: S
 
 
 def _sums_bucketed(
-    dealt: DataFrame, by: Sequence[str], unit: Sequence[str], xs: Sequence[str]
+    dealt: DataFrame,
+    units: DataFrame,
+    by: Sequence[str],
+    unit: Sequence[str],
+    xs: Sequence[str],
+    draw: str,
 ) -> DataFrame:
     """Level sums by counting hash buckets first and ranking only the cut ones."""
     cell = [*unit, "_perm", "_bucket"]
-    prefix = F.conv(F.left("_order", F.lit(3)), 16, 10).cast("int")
-    dealt = dealt.withColumn(
-        "_bucket", F.floor(prefix * F.col("_buckets") / _PREFIX_SPACE).cast("int")
-    )
+    _, prefix = _DRAWS[draw]
+    bucket = F.floor(prefix(F.col("_order")) * F.col("_buckets") / _PREFIX_SPACE)
+    dealt = dealt.withColumn("_bucket", bucket.cast("int")).drop("_buckets")
     # At most 4096 buckets per unit and permutation are windowed.
     along = Window.partitionBy(*unit, "_perm").orderBy("_bucket")
     counted = (
         dealt.groupBy(*cell)
-        .agg(
-            row_count().alias("_k"),
-            F.first("_levels").alias("_levels"),
-            *(F.sum(x).alias(x) for x in xs),
-        )
+        .agg(row_count().alias("_k"), *(F.sum(x).alias(x) for x in xs))
         .withColumn("_hi", F.sum("_k").over(along))
         .withColumn("_lo", F.col("_hi") - F.col("_k"))
-        .withColumn("_level", _level_at(F.col("_lo"), F.col("_hi")))
+    )
+    levels = units.select(*unit, "_levels")
+    counted = attach(counted, levels, unit).withColumn(
+        "_level", _level_at(F.col("_lo"), F.col("_hi"))
     )
     counted = cut_lineage(counted.drop("_levels", "_hi"))
     inside = counted.filter(F.col("_level").isNotNull()).select(
@@ -173,7 +183,7 @@ def _sums_bucketed(
     cut = counted.filter(F.col("_level").isNull()).select(*cell, "_lo")
     if cut.count() <= BROADCAST_ROWS:
         cut = F.broadcast(cut)
-    split = _sums_ranked(dealt.join(cut, cell, "inner"), cell, by, xs)
+    split = _sums_ranked(attach(dealt.join(cut, cell, "inner"), levels, unit), cell, by, xs)
     return (
         inside.unionByName(split)
         .groupBy(*by, "_perm", "_level")
@@ -217,13 +227,16 @@ def permanova(
     n_perm: int = 999,
     seed: str = "0",
     rows_per_bucket: int = 4096,
+    draw: str = "xxhash64",
 ) -> DataFrame:
     """K6, K7: pseudo-F with a permutation p-value, for one or many families at once.
 
     ``by`` splits the rows into independent tests.  ``strata`` restricts the
     permutation to rows of the same stratum.  ``ident`` identifies a row within its
     family.  Rows with a NULL are left out.  The test reads its rows several times,
-    so their narrow table is written once to the checkpoint folder.
+    so their narrow table is written once to the checkpoint folder.  ``draw`` names
+    the hash that orders the rows: ``xxhash64`` is fast, ``md5`` can be repeated
+    outside Spark.
     """
     families_by = as_list(by)
     unit = [*families_by, *(["_stratum"] if strata else [])]
@@ -239,11 +252,15 @@ def permanova(
     partitions = max(
         df.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()
     )
-    dealt = _deal(centred, units, families_by, unit, partitions, n_perm, seed)
+    bare = centred.drop("_level")
     if units.filter("_buckets > 1").isEmpty():
-        sums = _sums_ranked(dealt.withColumn("_lo", F.lit(0)), [*unit, "_perm"], families_by, xs)
+        ready = attach(bare, units.select(*unit, "_levels"), unit).withColumn("_lo", F.lit(0))
+        dealt = _deal(ready, families_by, partitions, n_perm, seed, draw)
+        sums = _sums_ranked(dealt, [*unit, "_perm"], families_by, xs)
     else:
-        sums = _sums_bucketed(dealt, families_by, unit, xs)
+        ready = attach(bare, units.select(*unit, "_buckets"), unit)
+        dealt = _deal(ready, families_by, partitions, n_perm, seed, draw)
+        sums = _sums_bucketed(dealt, units, families_by, unit, xs, draw)
     observed = _level_sums(centred, families_by, xs).withColumn("_perm", F.lit(0))
     between = (
         sums.unionByName(observed).groupBy(*families_by, "_perm").agg(_between(xs).alias("_ssb"))
@@ -292,6 +309,7 @@ def permanova_strata(
     ident: str | None = None,
     n_perm: int = 999,
     seed: str = "0",
+    draw: str = "xxhash64",
 ) -> DataFrame:
     """K7: permutation within strata, with all permutations where they are few.
 
@@ -349,7 +367,8 @@ def permanova_strata(
     if ident is None:
         drawn = drawn.withColumn(row_id, F.concat_ws("|", F.col(strata), F.col(factor)))
     random = permanova(
-        drawn, row_id, factor, responses, by=families_by, strata=strata, n_perm=n_perm, seed=seed
+        drawn, row_id, factor, responses, by=families_by, strata=strata, n_perm=n_perm,
+        seed=seed, draw=draw,
     )
     return exact.unionByName(random)
 
@@ -362,6 +381,7 @@ def pairwise_permanova(
     *,
     n_perm: int = 999,
     seed: str = "0",
+    draw: str = "xxhash64",
 ) -> DataFrame:
     """K9: one test per pair of levels, all in one job, with adjusted p-values."""
     rows = df.select(ident, factor, *responses).dropna()
@@ -377,5 +397,6 @@ def pairwise_permanova(
         by=["var1", "var2"],
         n_perm=n_perm,
         seed=seed,
+        draw=draw,
     )
     return holm(tests, "p_value")

@@ -118,7 +118,7 @@ def test_catchment_table_defaults_and_classes(spark):
 
 
 def test_scalar_functions(spark):
-    one = spark.createDataFrame([("TUNDRA plain", "Era5-snowmelt-1999.nc.csv", "9.4e.08", 5)], "a string, f string, e string, h int")
+    one = spark.createDataFrame([("TUNDRA plain", "clim-snowmelt-1999.nc.csv", "9.4e.08", 5)], "a string, f string, e string, h int")
     row = one.select(
         fn.sentence_case("a").alias("a"),
         fn.variable_from_source("f").alias("f"),

@@ -59,9 +59,9 @@ def test_preamble_skip_survives_split_files(spark, tmp_path):
 
 def test_glob_keeps_the_file_name(spark, tmp_path):
     for v in ("temp", "rain"):
-        (tmp_path / f"Era5-{v}-2001.csv").write_text("station,date,value\na,2001-01-01,1\n")
-    rows = read_many(spark, f"{tmp_path}/Era5-*.csv", SCHEMA).collect()
-    assert {r.source for r in rows} == {"Era5-temp-2001.csv", "Era5-rain-2001.csv"}
+        (tmp_path / f"clim-{v}-2001.csv").write_text("station,date,value\na,2001-01-01,1\n")
+    rows = read_many(spark, f"{tmp_path}/clim-*.csv", SCHEMA).collect()
+    assert {r.source for r in rows} == {"clim-temp-2001.csv", "clim-rain-2001.csv"}
 
 
 def test_written_partitions_are_read_back(spark, tmp_path):
