@@ -65,13 +65,13 @@ local AS (
     "daily_mean",
     f"""WITH {HOURLY}
 SELECT station, date_utc AS date,
-  round(CASE WHEN COUNT(v) = COUNT(*) THEN AVG(v) END, 6) AS value
+  round(CASE WHEN COUNT(v) = COUNT(*) THEN AVG(v) END, 8) AS value
 FROM (SELECT *, CASE WHEN value < 250 THEN value END AS v FROM hourly) GROUP BY 1, 2""",
 )
 def daily_mean(spark, folder):
     masked = hourly(spark, folder).withColumn("value", F.when(F.col("value") < 250, F.col("value")))
     means = climate.daily_mean(masked, "ts", "station", "value")
-    return means.withColumn("value", F.round("value", 6))
+    return means.withColumn("value", F.round("value", 8))
 
 
 @register(
@@ -98,7 +98,7 @@ def _rollup_sql(grain: str, having: str) -> str:
     return f"""WITH {HOURLY}, {LOCAL},
 l AS (SELECT station, CAST(year(local_ts) AS INT) AS year, CAST(month(local_ts) AS INT) AS month,
   CAST(dayofyear(local_ts) AS INT) AS jday, variable, value FROM local)
-SELECT {grain}, variable, round(CASE WHEN variable IN ('click') THEN AVG(value) ELSE SUM(value) END, 6) AS value
+SELECT {grain}, variable, round(CASE WHEN variable IN ('click') THEN AVG(value) ELSE SUM(value) END, 8) AS value
 FROM l GROUP BY {grain}, variable HAVING {having}"""
 
 
@@ -112,7 +112,7 @@ def rollup_climate_monthly(spark, folder):
         ["click"],
         min_obs=150,
     )
-    return rolled.withColumn("value", F.round("value", 6))
+    return rolled.withColumn("value", F.round("value", 8))
 
 
 @register("rollup_climate_daily", _rollup_sql("station, year, month, jday", "COUNT(*) = 7"))
@@ -125,7 +125,7 @@ def rollup_climate_daily(spark, folder):
         ["click"],
         exact_obs=7,
     )
-    return rolled.withColumn("value", F.round("value", 6))
+    return rolled.withColumn("value", F.round("value", 8))
 
 
 @register(
@@ -324,7 +324,9 @@ monthly AS (SELECT station, CAST(year(date) AS INT) AS year, CAST(month(date) AS
   FROM dense GROUP BY station, year(date), month(date)),
 p AS (SELECT m.*, {PERIOD_SQL} AS period FROM monthly m JOIN ranges r
   ON r.station = m.station AND m.date BETWEEN r.start AND r."end"),
-annual AS (SELECT station, period, year, SUM(discharge) * 1000 AS total, AVG(discharge) AS mean
+annual AS (SELECT station, period, year,
+  CASE WHEN COUNT(discharge) = 12 THEN SUM(discharge) * 1000 END AS total,
+  CASE WHEN COUNT(discharge) = 12 THEN AVG(discharge) END AS mean
   FROM p WHERE period IS NOT NULL GROUP BY 1, 2, 3 HAVING COUNT(*) = 12)
 SELECT station, period, CAST(COUNT(*) AS BIGINT) AS n_years, round(AVG(total), 1) AS total,
   round(AVG(mean), 4) AS mean FROM annual GROUP BY 1, 2""",
@@ -511,9 +513,9 @@ w AS (SELECT station, year, month, MAX(CASE WHEN variable = 'view' THEN value EN
   MAX(CASE WHEN variable = 'purchase' THEN value END) AS s,
   MAX(CASE WHEN variable = 'signup' THEN value END) AS snowmelt,
   MAX(CASE WHEN variable = 'click' THEN value END) AS temp FROM m GROUP BY 1, 2, 3)
-SELECT station, year, month, round(p, 6) AS ppt,
-  round(CASE WHEN s > p THEN p ELSE s END, 6) AS snowfall, round(snowmelt, 6) AS snowmelt,
-  round(p - CASE WHEN s > p THEN p ELSE s END, 6) + 0.0 AS rain, round(temp - 273.15, 6) AS temp,
+SELECT station, year, month, round(p, 8) AS ppt,
+  round(CASE WHEN s > p THEN p ELSE s END, 8) AS snowfall, round(snowmelt, 8) AS snowmelt,
+  round(p - CASE WHEN s > p THEN p ELSE s END, 8) + 0.0 AS rain, round(temp - 273.15, 8) AS temp,
   make_date(year, month, 15) AS date FROM w""",
 )
 def monthly_climate_table(spark, folder):
@@ -525,7 +527,7 @@ def monthly_climate_table(spark, folder):
     )
     wide = monthly_table(monthly, "station", names=NAMES)
     rounded = ("ppt", "snowfall", "snowmelt", "rain", "temp")
-    return wide.withColumns({c: F.round(c, 6) for c in rounded})
+    return wide.withColumns({c: F.round(c, 8) for c in rounded})
 
 
 @register(

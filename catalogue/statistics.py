@@ -570,7 +570,7 @@ def paired_anova(spark, folder):
 @register(
     "grouped_means",
     """SELECT o_orderstatus, o_orderpriority, CAST(year(o_orderdate) AS INT) AS year,
-  round(AVG(o_totalprice), 4) AS price FROM orders
+  round(AVG(o_totalprice), 7) AS price FROM orders
 GROUP BY GROUPING SETS ((o_orderstatus, year(o_orderdate)), (o_orderpriority, year(o_orderdate)))""",
 )
 def grouped_means(spark, folder):
@@ -581,7 +581,7 @@ def grouped_means(spark, folder):
         {"o_totalprice": "price"},
     )
     return means.select(
-        "o_orderstatus", "o_orderpriority", "year", F.round("price", 4).alias("price")
+        "o_orderstatus", "o_orderpriority", "year", F.round("price", 7).alias("price")
     )
 
 
