@@ -325,11 +325,11 @@ monthly AS (SELECT station, CAST(year(date) AS INT) AS year, CAST(month(date) AS
 p AS (SELECT m.*, {PERIOD_SQL} AS period FROM monthly m JOIN ranges r
   ON r.station = m.station AND m.date BETWEEN r.start AND r."end"),
 annual AS (SELECT station, period, year,
-  CASE WHEN COUNT(discharge) = 12 THEN SUM(discharge) * 1000 END AS total,
+  CASE WHEN COUNT(discharge) = 12 THEN SUM(discharge) * 0.001 END AS total,
   CASE WHEN COUNT(discharge) = 12 THEN AVG(discharge) END AS mean
   FROM p WHERE period IS NOT NULL GROUP BY 1, 2, 3 HAVING COUNT(*) = 12)
-SELECT station, period, CAST(COUNT(*) AS BIGINT) AS n_years, round(AVG(total), 1) AS total,
-  round(AVG(mean), 4) AS mean FROM annual GROUP BY 1, 2""",
+SELECT station, period, CAST(COUNT(*) AS BIGINT) AS n_years, round(AVG(total), 6) AS total,
+  round(AVG(mean), 6) AS mean FROM annual GROUP BY 1, 2""",
 )
 def period_climatology(spark, folder):
     monthly = screens.monthly_mean(
@@ -344,11 +344,11 @@ def period_climatology(spark, folder):
         in_period.withColumnRenamed("discharge", "total"),
         ranges,
         "station",
-        {"total": 1000.0},
+        {"total": 0.001},
         ["mean"],
         by=["period"],
     )
-    return climatology.withColumns({"total": F.round("total", 1), "mean": F.round("mean", 4)})
+    return climatology.withColumns({"total": F.round("total", 6), "mean": F.round("mean", 6)})
 
 
 @register(
