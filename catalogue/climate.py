@@ -328,8 +328,8 @@ annual AS (SELECT station, period, year,
   CASE WHEN COUNT(discharge) = 12 THEN SUM(discharge) * 0.001 END AS total,
   CASE WHEN COUNT(discharge) = 12 THEN AVG(discharge) END AS mean
   FROM p WHERE period IS NOT NULL GROUP BY 1, 2, 3 HAVING COUNT(*) = 12)
-SELECT station, period, CAST(COUNT(*) AS BIGINT) AS n_years, round(AVG(total), 6) AS total,
-  round(AVG(mean), 6) AS mean FROM annual GROUP BY 1, 2""",
+SELECT station, period, CAST(COUNT(*) AS BIGINT) AS n_years, round(log10(AVG(total)), 8) AS log_total,
+  round(log10(AVG(mean)), 8) AS log_mean FROM annual GROUP BY 1, 2""",
 )
 def period_climatology(spark, folder):
     monthly = screens.monthly_mean(
@@ -348,7 +348,14 @@ def period_climatology(spark, folder):
         ["mean"],
         by=["period"],
     )
-    return climatology.withColumns({"total": F.round("total", 6), "mean": F.round("mean", 6)})
+    # Logarithms, as plain means of a few prices often end exactly half-way.
+    return climatology.select(
+        "station",
+        "period",
+        "n_years",
+        F.round(F.log10("total"), 8).alias("log_total"),
+        F.round(F.log10("mean"), 8).alias("log_mean"),
+    )
 
 
 @register(
