@@ -36,19 +36,28 @@ def build_session(
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and continue from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which the driver and all executors share.
 
-    Uses the shared folder of ``spark.checkpoint.dir`` so that the data outlives
-    lost executors.  Only a local master may fall back to a temporary folder.
+    Only a local master may fall back to a temporary folder.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
+    folder = context.getCheckpointDir()
+    if folder is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="riverspark-checkpoint-")
         context.setCheckpointDir(folder)
+        folder = context.getCheckpointDir()
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and continue from there.
+
+    The data outlives lost executors; the next operators read the files.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
