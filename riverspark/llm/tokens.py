@@ -18,33 +18,54 @@ from riverspark.llm.common import column, slices, texts
 _RUN = re.compile(r"[^ \t\n\r]+")
 
 
+#: A run that is one token wherever it stands alone, and part of no other token.
+_MARK = "\x00"
+
+
 class RunCoder:
     """Encodes a text run by run between white space and remembers runs.
 
     The tokenizer drops white space before it looks for tokens, so the ids of a
-    text are the ids of its runs one after the other.  At most ``room`` runs of
-    up to 64 characters are remembered; what is not is encoded again.
+    text are the ids of its runs one after the other.  New runs are encoded many
+    at a time, with a mark between them.  At most ``room`` runs are remembered,
+    and none over 64 characters; what is not is encoded again.
     """
 
-    def __init__(self, path: str, room: int = 300_000):
+    def __init__(self, path: str, room: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        (self.mark,) = self._ids(_MARK)
         self.room = room
         self.known: dict[str, bytes] = {}
 
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, runs: list[str]) -> None:
+        marked = [run for run in runs if _MARK in run]
+        self.known.update((run, self._ids(run).tobytes()) for run in marked)
+        runs = [run for run in runs if _MARK not in run] if marked else runs
+        for at in range(0, len(runs), 1000):
+            part = runs[at : at + 1000]
+            ids = self._ids(f" {_MARK} ".join(part))
+            cuts = (4 * np.flatnonzero(ids == self.mark)).tolist()
+            data = ids.tobytes()
+            self.known.update(
+                (run, data[i:j]) for run, i, j in zip(part, [0, *(c + 4 for c in cuts)], [*cuts, len(data)], strict=True)
+            )
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, as one byte string."""
         split = [_RUN.findall(t or "") for t in texts]
-        new = list({run for runs in split for run in runs} - self.known.keys())
+        all_runs = set().union(*split)
+        new = all_runs - self.known.keys()
         if len(new) + len(self.known) > self.room:
             self.known.clear()
-            new = list({run for runs in split for run in runs})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for run, code in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[run] = np.array(code.ids, "<u4").tobytes()
+            new = all_runs
+        new = list(new)
+        self._learn(new)
         ids = [b"".join(map(self.known.__getitem__, runs)) for runs in split]
         for run in new:
             if len(run) > 64 or len(self.known) > self.room:
