@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riverspark.llm import contamination, packing, simhash, substrings, suffixes, tokens
+from riverspark.llm import contamination, language, packing, simhash, substrings, suffixes, tokens
+from riverspark.llm.common import fold_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +81,21 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
+
+
+@register("op9_language")
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs.select("doc_id", "text"), learned_languages(docs)).select(
+        "doc_id",
+        F.coalesce(fold_of(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"),
+        "lang_pred",
+        "score",
+        "rejected",
+    )
+
+
+def learned_languages(docs: DataFrame) -> language.Identifier:
+    """Learn from the rows of ``documents`` outside fold 2 of 4."""
+    learned = docs.filter(fold_of(F.col("doc_id"), 4) != 2)
+    return language.train(learned.select("text", F.col("lang").alias("label")))
