@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riverspark.llm import contamination, language, packing, simhash, substrings, suffixes, tokens
+from riverspark.llm import (
+    contamination,
+    language,
+    nearest,
+    packing,
+    personal,
+    simhash,
+    substrings,
+    suffixes,
+    tokens,
+    toxicity,
+)
 from riverspark.llm.common import fold_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +69,17 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@register("op3_personal_data")
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [
+        F.expr(f"cast(size(filter(spans, s -> s.kind = '{kind}')) as long)").alias(f"n_{kind}")
+        for kind in personal.BASE
+    ]
+    base = F.sha2(personal.span_list("spans", personal.BASE), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, base, personal.span_list("spans").alias("spans"))
+
+
 @register("op4_substring_dedup")
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.remove_repeated_windows(table(spark, sf_dir, "documents"))
@@ -83,6 +105,17 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = fold_of(F.col("doc_id"), 5)
+    known = toxicity.labelled_texts(docs.filter(fold != 0), table(spark, sf_dir, "labels"))
+    scorer = toxicity.train(known.filter(fold != 4), known.filter(fold == 4))
+    scored = toxicity.score_texts(docs.select("doc_id", "text"), scorer)
+    held_out = F.coalesce(fold == 0, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "score", "predicted")
+
+
 @register("op9_language")
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -99,3 +132,9 @@ def learned_languages(docs: DataFrame) -> language.Identifier:
     """Learn from the rows of ``documents`` outside fold 2 of 4."""
     learned = docs.filter(fold_of(F.col("doc_id"), 4) != 2)
     return language.train(learned.select("text", F.col("lang").alias("label")))
+
+
+@register("op10_nearest")
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest.nearest(vectors, vectors.filter("vec_id % 100 = 0"))
