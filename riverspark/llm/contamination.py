@@ -67,7 +67,7 @@ def item_shingles(items: DataFrame, id_col: str, text_col: str, width: int, thre
                 names = ["item_id", "item_key", "shingle", "hash", "size", "signed"]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
 
-    rows = items.select(F.col(id_col).cast("long"), F.col(text_col), F.xxhash64(text_col))
+    rows = items.select(F.col(id_col).cast("long"), F.col(text_col), F.xxhash64(text_col)).distinct()
     return rows.mapInArrow(
         run, "item_id long, item_key long, shingle string, hash long, size long, signed boolean"
     )
