@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections import Counter
 from functools import lru_cache
 
@@ -14,21 +15,32 @@ from pyspark.sql import functions as F
 
 from riverspark.llm.common import column, slices, texts
 
-#: White space that the tokenizer drops and that no token can reach across.
-_RUN = re.compile(r"[^ \t\n\r]+")
-
-
+#: Letters that are one character and two bytes in any normal form, besides a-z and A-Z.
+_LATIN = "\xc0-\xd6\xd8-\xf6\xf8-\xff"
+#: Runs between white space, which the tokenizer drops and no token reaches
+#: across.  Punctuation that ends a run behind a letter is cut off as well.
+_RUN = re.compile(rf"[A-Za-z{_LATIN}]+(?=[,.!?;:*%$#&]+(?:[ \t\n\r]|\Z))|[^ \t\n\r]+")
+_WORD = re.compile(rf"[A-Za-z{_LATIN}]+")
 #: A run that is one token wherever it stands alone, and part of no other token.
 _MARK = "\x00"
 
 
+def byte_letters() -> dict[int, str]:
+    """How byte-level tokenizers spell the letters of ``_WORD``: one printable character a byte."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    spelled = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+    return {c: "".join(spelled[b] for b in chr(c).encode()) for c in range(192, 256)}
+
+
 class RunCoder:
     """Encodes a text run by run between white space and remembers runs.
 
-    The tokenizer drops white space before it looks for tokens, so the ids of a
-    text are the ids of its runs one after the other.  New runs are encoded many
-    at a time, with a mark between them.  At most ``room`` runs are remembered,
-    and none over 64 characters; what is not is encoded again.
+    The ids of a text are the ids of its runs one after the other.  Runs of
+    letters are one word to the tokenizer and go straight to its merges; other
+    new runs are encoded many at a time, with a mark between them.  At most
+    ``room`` runs are remembered, and none over 64 characters; what is not is
+    encoded again.
     """
 
     def __init__(self, path: str, room: int = 700_000):
@@ -36,6 +48,8 @@ class RunCoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
+        self.letters = byte_letters()
         (self.mark,) = self._ids(_MARK)
         self.room = room
         self.known: dict[str, bytes] = {}
@@ -44,11 +58,17 @@ class RunCoder:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _learn(self, runs: list[str]) -> None:
-        marked = [run for run in runs if _MARK in run]
-        self.known.update((run, self._ids(run).tobytes()) for run in marked)
-        runs = [run for run in runs if _MARK not in run] if marked else runs
-        for at in range(0, len(runs), 1000):
-            part = runs[at : at + 1000]
+        mixed, known = [], self.known
+        for run in runs:
+            if _WORD.fullmatch(run):
+                word = run.lower().translate(self.letters)
+                known[run] = array("I", [t.id for t in self.merge(word)]).tobytes()
+            elif _MARK in run:
+                known[run] = self._ids(run).tobytes()
+            else:
+                mixed.append(run)
+        for at in range(0, len(mixed), 1000):
+            part = mixed[at : at + 1000]
             ids = self._ids(f" {_MARK} ".join(part))
             cuts = (4 * np.flatnonzero(ids == self.mark)).tolist()
             data = ids.tobytes()
