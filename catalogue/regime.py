@@ -57,7 +57,7 @@ def spectral_metrics(spark, folder):
 
 
 SPECTRUM = """bins AS (
-  SELECT station, y, t, n, years, UNNEST(generate_series(1, n // 2)) AS bin FROM prep),
+  SELECT station, y, t, n, years, UNNEST(generate_series(1, n // 2)) AS bin FROM prep WHERE t < n),
 spec AS (
   SELECT station, CAST(bin AS INT) AS bin, bin / CAST(MAX(years) AS DOUBLE) AS per_year,
     CASE WHEN 2 * bin = MAX(n) THEN 1.0 ELSE 2.0 END / MAX(n)
@@ -105,12 +105,12 @@ def seasonal_peak(spark, folder):
 
 def anomaly_sql(signal_name: str, peaks: str, name: str = "anomaly") -> str:
     return f"""{name}_season AS (
-  SELECT *, COUNT(*) OVER w AS days, row_number() OVER (w ORDER BY resid DESC, jday) AS k
+  SELECT *, COUNT(*) OVER w AS days, row_number() OVER (w ORDER BY resid DESC NULLS LAST, jday) AS k
   FROM {signal_name} WHERE jday BETWEEN 60 AND 304 WINDOW w AS (PARTITION BY station, year)),
 {name} AS (
   SELECT s.station, s.year, s.resid, s.jday, s.date, p.peak,
     CAST(s.jday - p.peak AS INT) AS timing
-  FROM {name}_season s LEFT JOIN {peaks} p ON p.station = s.station WHERE k = 1 AND days > 200)"""
+  FROM {name}_season s LEFT JOIN {peaks} p ON p.station = s.station WHERE k = 1 AND days > 200 AND resid IS NOT NULL)"""
 
 
 @register(

@@ -131,8 +131,7 @@ def prepared_sql(source: str, p: str = "") -> str:
     CASE WHEN y0 IS NOT NULL THEN y0
          ELSE y_a + (y_b - y_a) * (e.date - d_a) / CAST(d_b - d_a AS DOUBLE) END AS y,
     y0 IS NOT NULL AS observed
-  FROM {p}edges e JOIN {p}stats t ON t.station = e.station
-  WHERE e.date - t.lo < t.n)"""
+  FROM {p}edges e JOIN {p}stats t ON t.station = e.station)"""
 
 
 def _angle(k: int) -> str:
@@ -148,7 +147,7 @@ def terms_sql(p: str = "") -> str:
     return f"""{p}terms AS (
   SELECT station, MAX(n) AS n, MAX(years) AS years, AVG(y) AS mean_y, VAR_POP(y) AS var_y,
     {sums}
-  FROM {p}prep GROUP BY 1)"""
+  FROM {p}prep WHERE t < n GROUP BY 1)"""
 
 
 def signal_sql(p: str = "") -> str:
@@ -159,8 +158,8 @@ def signal_sql(p: str = "") -> str:
     )
     return f"""{p}signal AS (
   SELECT station, date, CAST(year(date) AS INT) AS year, CAST(dayofyear(date) AS INT) AS jday,
-         y, pred, y - pred AS resid
-  FROM (SELECT p.station, p.date, p.y, mean_y + {fit} AS pred
+         y, pred, CASE WHEN observed THEN y - pred END AS resid
+  FROM (SELECT p.station, p.date, p.y, p.observed, mean_y + {fit} AS pred
         FROM {p}prep p JOIN {p}terms t ON t.station = p.station))"""
 
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riverspark.columns import as_list
+from riverspark.columns import as_list, join_groups
 from riverspark.functions import row_count
 
 
@@ -236,7 +236,7 @@ def min_group_size(df: DataFrame, keys: str | Iterable[str], n: int, exact: bool
     names = as_list(keys)
     size = df.groupBy(*names).agg(row_count().alias("_size"))
     wanted = size.filter(F.col("_size") == n if exact else F.col("_size") > n)
-    return df.join(wanted, names, "left_semi")
+    return join_groups(df, wanted, names, "left_semi")
 
 
 def top_by(

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riverspark.columns import as_list
+from riverspark.columns import as_list, join_groups
 from riverspark.functions import row_count, strict_avg
 from riverspark.operators.clean import assemble
 from riverspark.operators.series import runs_of_days
@@ -54,8 +54,8 @@ def high_anomaly(
     """Largest anomaly of each open-water season and its timing.
 
     ``peak`` gives the reference day per key, from the same or another period.
-    Seasons with ``min_days`` rows or fewer are left out; the earliest day wins
-    ties.  ``timing`` is the day minus the reference day.
+    Seasons with ``min_days`` rows or fewer are left out, rows with a NULL anomaly
+    counted; so are seasons without any anomaly.  The earliest day wins ties.  ``timing`` is the day minus the reference day.
     """
     keys = as_list(key)
     first_largest = F.struct(F.col(value), (-F.col("jday")).alias("j"))
@@ -68,10 +68,10 @@ def high_anomaly(
             F.max_by("jday", first_largest).alias("jday"),
             F.max_by(date, first_largest).alias(date),
         )
-        .filter(F.col("_days") > min_days)
+        .filter((F.col("_days") > min_days) & F.col(value).isNotNull())
         .drop("_days")
     )
-    return yearly.join(peak, keys, "left").withColumn("timing", F.col("jday") - F.col("peak"))
+    return join_groups(yearly, peak, keys, "left").withColumn("timing", F.col("jday") - F.col("peak"))
 
 
 def summarise_anomaly(anomalies: DataFrame, key: str | Iterable[str], value: str = "resid") -> DataFrame:

@@ -7,14 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riverspark.columns import join_groups
 from riverspark.functions import percent_change, row_count
 
 
 def to_wide(
     df: DataFrame, ids: Sequence[str], names: str, values: str, levels: Sequence[str]
 ) -> DataFrame:
-    """One column per level; ``levels`` are given, so no extra job looks them up."""
-    return df.groupBy(*ids).pivot(names, list(levels)).agg(F.first(values, ignorenulls=True))
+    """One column per level; ``levels`` are given, so no extra job looks them up.
+
+    Fails when a cell has more than one non-NULL value.
+    """
+    one = F.when(F.count(values) <= 1, F.first(values, ignorenulls=True)).otherwise(
+        F.raise_error(F.lit("more than one value for a cell")).cast(df.schema[values].dataType)
+    )
+    return df.groupBy(*ids).pivot(names, list(levels)).agg(one)
 
 
 def to_long(
@@ -49,7 +56,7 @@ def paired_only(
     pairs = (
         present.groupBy(*ids, variable).agg(row_count().alias("_n")).filter("_n = 2").drop("_n")
     )
-    return present.join(pairs, [*ids, variable], "left_semi")
+    return join_groups(present, pairs, [*ids, variable], "left_semi")
 
 
 def period_difference(

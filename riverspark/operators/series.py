@@ -2,19 +2,18 @@
 
 A long record is never handed to one task as a whole: rows are windowed inside
 (key, year) segments, and only one summary row per segment is windowed per key.
-Keys must be non-NULL and a series has one row per key and day.
+A NULL key is a series of its own.  A day that occurs twice keeps both rows; it
+never adds days.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riverspark.columns import as_list
-from riverspark.functions import row_count
+from riverspark.columns import as_list, join_groups
 
 SEGMENT = "segment"
 
@@ -35,8 +34,7 @@ def with_next(
     keys = as_list(key)
     totals = totals or {}
     # Said once for both branches below, so that they share one scan and exchange.
-    present = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in [*keys, date, SEGMENT]))
-    rows = df.withColumn(SEGMENT, F.year(date)).filter(present)
+    rows = df.withColumn(SEGMENT, F.year(date)).filter(F.col(date).isNotNull())
     inside = Window.partitionBy(*keys, SEGMENT).orderBy(date)
     whole = Window.partitionBy(*keys)
     across = whole.orderBy(SEGMENT)
@@ -58,10 +56,11 @@ def with_next(
             ),
         )
     )
+    linked = rows.withColumn("_lead_date", F.lead(date).over(inside)).withColumn(
+        "_lead_value", F.lead(value).over(inside)
+    )
     return (
-        rows.withColumn("_lead_date", F.lead(date).over(inside))
-        .withColumn("_lead_value", F.lead(value).over(inside))
-        .join(segments, [*keys, SEGMENT], "left")
+        join_groups(linked, segments, [*keys, SEGMENT], "left")
         .withColumn("next_date", F.coalesce("_lead_date", "_head_date"))
         .withColumn(
             "next_value",
@@ -78,7 +77,8 @@ def _one_row_per_day(
 ) -> DataFrame:
     """Repeat each observation for the days up to the next one; ``_step`` counts them."""
     linked = with_next(observed, keys, date, value, totals)
-    gap = F.coalesce(F.datediff("next_date", date), F.lit(1))
+    # The first of two rows of one day has no days to fill.
+    gap = F.greatest(F.datediff("next_date", date), F.lit(1))
     return linked.select(
         *keys,
         SEGMENT,
@@ -148,12 +148,12 @@ def runs_of_days(
     parts = (
         df.select(*keys, date, value)
         .withColumn(SEGMENT, F.year(date))
-        .withColumn("_run", F.date_sub(date, F.row_number().over(inside)))
+        .withColumn("_run", F.date_sub(date, F.dense_rank().over(inside)))
         .groupBy(*keys, SEGMENT, "_run")
         .agg(
             F.min(date).alias("start"),
             F.max(date).alias("end"),
-            row_count().alias("duration"),
+            (F.datediff(F.max(date), F.min(date)) + 1).cast("long").alias("duration"),
             (F.max if highest else F.min)(value).alias("extreme"),
             F.max_by(date, pick).alias("extreme_date"),
         )

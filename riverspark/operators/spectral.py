@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riverspark.columns import as_list
+from riverspark.columns import as_list, join_groups
 from riverspark.functions import row_count
 from riverspark.operators.series import SEGMENT, fill_linear
 
@@ -28,12 +28,13 @@ DAYS_PER_YEAR = 365.25
 def prepare_flow(
     df: DataFrame, key: str | Iterable[str], date: str, value: str, max_na: int | None = None
 ) -> DataFrame:
-    """Log-normalised daily series without gaps, cut to whole years.
+    """Log-normalised daily series without gaps, with the whole years to fit on.
 
-    Adds ``t`` (day index from 0), ``n_days``, ``n_years`` and ``y`` =
-    log10(value / mean of the key).  Values that are NULL or not positive count as
-    missing and are filled on a straight line in ``y``.  Keys with more than
-    ``max_na`` missing days or less than one whole year are dropped.
+    Adds ``t`` (day index from 0), ``n_days`` and ``n_years`` of the whole years,
+    and ``y`` = log10(value / mean of the key).  Values that are NULL or not
+    positive count as missing and are filled on a straight line in ``y``.  Days
+    behind the whole years (``t >= n_days``) stay; fits leave them out.  Keys with
+    more than ``max_na`` missing days or less than one whole year are dropped.
     """
     keys = as_list(key)
     observed = df.filter(F.col(value) > 0).select(
@@ -51,7 +52,7 @@ def prepare_flow(
         .withColumn("n_years", F.floor(F.col("_span") / DAYS_PER_YEAR).cast("int"))
         .withColumn("n_days", F.floor(F.col("n_years") * DAYS_PER_YEAR).cast("int"))
         .withColumn("t", F.datediff(date, "_start"))
-        .filter(F.col("t") < F.col("n_days"))
+        .filter(F.col("n_days") > 0)
     )
     if max_na is not None:
         filled = filled.filter(F.col("_span") - F.col("_n") <= max_na)
@@ -83,8 +84,10 @@ def fourier_terms(
     that must not gather a whole key.
     """
     keys = as_list(key)
+    # Days behind the whole years count in no sum.
+    y = F.when(F.col("t") < F.col("n_days"), F.col("y"))
     waves = {
-        f"{c}{k}": F.sum(F.col("y") * wave(_angle(k)))
+        f"{c}{k}": F.sum(y * wave(_angle(k)))
         for k in range(1, harmonics + 1)
         for c, wave in (("a", F.cos), ("c", F.sin))
     }
@@ -92,7 +95,7 @@ def fourier_terms(
         whole = Window.partitionBy(*keys)
         parts = prepared.groupBy(*keys, SEGMENT).agg(
             F.max("n_days").alias("n_days"),
-            F.sum("y").alias("mean_y"),
+            F.sum(y).alias("mean_y"),
             *(e.alias(name) for name, e in waves.items()),
         )
         sums = parts.select(
@@ -107,8 +110,8 @@ def fourier_terms(
         sums = prepared.groupBy(*keys).agg(
             F.max("n_days").alias("n_days"),
             F.max("n_years").alias("n_years"),
-            F.avg("y").alias("mean_y"),
-            F.var_pop("y").alias("var_y"),
+            F.avg(y).alias("mean_y"),
+            F.var_pop(y).alias("var_y"),
             *(e.alias(name) for name, e in waves.items()),
         )
         kept = [*keys, "n_days", "n_years", "mean_y", "var_y"]
@@ -119,14 +122,17 @@ def fourier_terms(
 def seasonal_signal(
     prepared: DataFrame, key: str | Iterable[str], date: str, harmonics: int = HARMONICS
 ) -> DataFrame:
-    """Fitted seasonal value ``pred`` and anomaly ``resid`` per day."""
+    """Fitted seasonal value ``pred`` and anomaly ``resid`` per day.
+
+    The fit is defined for every day; the anomaly is NULL on days that were filled.
+    """
     keys = as_list(key)
     terms = fourier_terms(prepared, keys, harmonics, per_segment=True)
     fit = F.col("mean_y")
     for k in range(1, harmonics + 1):
         fit = fit + F.col(f"a{k}") * F.cos(_angle(k)) + F.col(f"c{k}") * F.sin(_angle(k))
     return (
-        prepared.join(terms, [*keys, SEGMENT], "inner")
+        join_groups(prepared, terms, [*keys, SEGMENT])
         .withColumn("pred", fit)
         .select(
             *keys,
@@ -135,7 +141,7 @@ def seasonal_signal(
             F.dayofyear(date).alias("jday"),
             "y",
             "pred",
-            (F.col("y") - F.col("pred")).alias("resid"),
+            F.when(F.col("observed"), F.col("y") - F.col("pred")).alias("resid"),
             "observed",
         )
     )
@@ -203,7 +209,7 @@ def spectrum(prepared: DataFrame, key: str) -> DataFrame:
         )
 
     return (
-        prepared.select(key, "t", "n_years", "y").groupBy(key).applyInArrow(transform, schema)
+        prepared.filter("t < n_days").select(key, "t", "n_years", "y").groupBy(key).applyInArrow(transform, schema)
     )
 
 

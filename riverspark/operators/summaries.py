@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riverspark.columns import as_list
+from riverspark.columns import as_list, join_groups
 from riverspark.functions import row_count
 
 
@@ -40,7 +40,7 @@ def exact_quantiles(
         row_count().alias("_n"),
         F.array_distinct(F.percentile_approx("_v", steps, accuracy)).alias("_cuts"),
     )
-    ranged = rows.join(brackets, keys, "inner").select(
+    ranged = join_groups(rows, brackets, keys).select(
         *keys, "_n", "_v", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_range")
     )
     sizes = ranged.groupBy(*keys, "_n", "_range").agg(row_count().alias("_size"))
@@ -67,13 +67,13 @@ def exact_quantiles(
     )
     # Equal values are counted together, so ties never pile up in the window.
     counted = (
-        ranged.join(located.select(*keys, "_range"), [*keys, "_range"], "left_semi")
+        join_groups(ranged, located.select(*keys, "_range"), [*keys, "_range"], "left_semi")
         .groupBy(*keys, "_n", "_range", "_v")
         .agg(row_count().alias("_k"))
     )
     inside = Window.partitionBy(*keys, "_range").orderBy("_v")
     found = (
-        counted.join(located, [*keys, "_range"], "inner")
+        join_groups(counted, located, [*keys, "_range"])
         .withColumn("_to", F.col("_lo") + F.sum("_k").over(inside))
         .withColumn("_from", F.col("_to") - F.col("_k"))
         .withColumn(
@@ -107,8 +107,7 @@ def box_summary(df: DataFrame, group: str | Iterable[str], value: str, reach: fl
     spread = (F.col("q3") - F.col("q1")) * reach
     inside = F.col(value).between(F.col("q1") - spread, F.col("q3") + spread)
     return (
-        df.select(*keys, value)
-        .join(quartiles, keys, "inner")
+        join_groups(df.select(*keys, value), quartiles, keys)
         .groupBy(*keys, "n", "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, F.col(value))).alias("lower"),
@@ -141,7 +140,7 @@ def density_grid(
     adds its kernel to the grid points of its own group, summed before the shuffle.
     """
     keys = as_list(group)
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).dropna()
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).dropna(subset=["_v"])
     frame = rows.groupBy(*keys).agg(
         row_count().alias("_n"),
         F.min("_v").alias("_min"),
@@ -153,12 +152,12 @@ def density_grid(
             *keys, (F.get("quantiles", F.lit(1)) - F.get("quantiles", F.lit(0))).alias("_iqr")
         )
         width = 0.9 * F.least(F.col("_sd"), F.col("_iqr") / 1.34) * F.pow(F.col("_n"), F.lit(-0.2))
-        frame = frame.join(iqr, keys, "inner").withColumn("_h", width)
+        frame = join_groups(frame, iqr, keys).withColumn("_h", width)
     else:
         frame = frame.withColumn("_h", F.lit(float(bandwidth)))
     step = (F.col("_max") - F.col("_min")) / (points - 1)
     spread = (
-        rows.join(frame.filter("_h > 0").drop("_sd"), keys, "inner")
+        join_groups(rows, frame.filter("_h > 0").drop("_sd"), keys)
         .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
         .withColumn("x", F.col("_min") + step * F.col("point"))
     )

@@ -6,9 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
+from riverspark.columns import join_groups
+
 
 def attach(rows: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join on ``keys``; without keys ``small`` has one row, read as scalar subqueries."""
+    """Join on ``keys``, NULL groups included; without keys ``small`` has one row, read as scalar subqueries."""
     if keys:
-        return rows.join(small, list(keys), "inner")
+        return join_groups(rows, small, keys)
     return rows.withColumns({c: small.select(c).scalar() for c in small.columns})
