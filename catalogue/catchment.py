@@ -82,15 +82,14 @@ def dominant_class_merged(spark, folder):
 SELECT station, class, round(area, 2) AS area, round(share, 6) AS share FROM cut
 UNION ALL
 SELECT station, 'Unfrozen', 0.0::DOUBLE, round(100 - SUM(share), 6) FROM cut
-GROUP BY station HAVING SUM(share) < 100 - 1e-9""",
+GROUP BY station HAVING SUM(share) < 100 * (1 - 1e-9)""",
 )
 def fill_remainder(spark, folder):
     cut = composition(spark, folder).filter("share >= 15")
     full = catchment.fill_remainder(
         cut, "station", "class", "share", "Unfrozen", "area", whole=100.0
     )
-    keep = (F.col("class") != "Unfrozen") | (F.col("share") > 1e-9)
-    return full.filter(keep).select(
+    return full.select(
         "station", "class", F.round("area", 2).alias("area"), F.round("share", 6).alias("share")
     )
 

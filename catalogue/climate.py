@@ -131,9 +131,10 @@ def rollup_climate_daily(spark, folder):
 @register(
     "variable_from_source",
     """WITH named AS (SELECT 'clim-' || event_type || '-' || CAST(year(ts) AS VARCHAR) || '.nc.csv' AS source,
-  value FROM events)
+  value, ts FROM events)
 SELECT regexp_replace(regexp_replace(substr(source, 6), '.[0-9]+', ''), '\\.nc\\.csv', '') AS variable,
-  replace(CAST(1 AS VARCHAR) || 'e.09', 'e.', 'e+') AS repaired, CAST(COUNT(*) AS BIGINT) AS n
+  replace(CAST(month(ts) AS VARCHAR) || 'e.0' || CAST(day(ts) % 10 AS VARCHAR), 'e.', 'e+') AS repaired,
+  CAST(COUNT(*) AS BIGINT) AS n
 FROM named GROUP BY 1, 2""",
 )
 def variable_from_source_query(spark, folder):
@@ -143,7 +144,9 @@ def variable_from_source_query(spark, folder):
     named = table(spark, folder, "events").withColumn("source", source)
     return named.groupBy(
         variable_from_source("source").alias("variable"),
-        repair_exponent(F.lit("1e.09")).alias("repaired"),
+        repair_exponent(
+            F.concat(F.month("ts").cast("string"), F.lit("e.0"), (F.dayofmonth("ts") % 10).cast("string"))
+        ).alias("repaired"),
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -178,14 +181,12 @@ def stack_and_dedupe(spark, folder):
 def has_duplicates(spark, folder):
     orders = table(spark, folder, "orders")
     lines = table(spark, folder, "lineitem")
-    row = (
-        clean.has_duplicates(lines, ["l_orderkey", "l_linenumber"]),
-        clean.has_duplicates(orders, "o_orderkey"),
-        clean.has_nulls(orders, ["o_orderdate", "o_totalprice"]),
-    )
-    return spark.createDataFrame(
-        [row], "lineitem_duplicates boolean, order_duplicates boolean, order_nulls boolean"
-    )
+    found = clean.duplicates_found(lines, ["l_orderkey", "l_linenumber"], "lineitem_duplicates")
+    more = {
+        "order_duplicates": clean.duplicates_found(orders, "o_orderkey"),
+        "order_nulls": clean.nulls_found(orders, ["o_orderdate", "o_totalprice"]),
+    }
+    return found.withColumns({name: one.scalar() for name, one in more.items()})
 
 
 def wide(spark, folder):

@@ -7,9 +7,18 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from catalogue import register
-from catalogue.views import BRAND, brand_series, full_signal_sql, prepared, prepared_sql, signal, terms_sql
+from catalogue.views import (
+    BRAND,
+    brand_series,
+    full_signal_sql,
+    prepared,
+    prepared_sql,
+    signal,
+    table,
+    terms_sql,
+)
 from riverspark.operators import clean, events, screens, spectral
-from riverspark.plans.flow import flow_regime
+from riverspark.plans.flow import flow_regime, two_period_metrics
 
 
 @register(
@@ -182,24 +191,24 @@ def event_duration(spark, folder):
     return means.withColumn("duration", F.round("duration", 6))
 
 
-@register(
-    "regime_metrics",
-    f"""WITH {BRAND}, {full_signal_sql()}, {METRICS}, {PEAK}, {anomaly_sql('signal', 'peaks')}, {EVENTS},
+def regime_sql(source: str = "s_brand", peaks: str = PEAK) -> str:
+    """All metrics of one source; ``peaks`` defines the reference days."""
+    return f"""{full_signal_sql(source)}, {METRICS}, {peaks}, {anomaly_sql('signal', 'peaks')}, {EVENTS},
 sigma AS (SELECT station, CAST(COUNT(*) AS BIGINT) AS n_floods, sqrt(AVG(extreme * extreme)) AS sigma_hf
   FROM floods GROUP BY 1),
 sam AS (SELECT station, AVG(resid) AS hsam, AVG(timing) AS hsam_t, MAX(peak) AS peak FROM anomaly GROUP BY 1),
 yearly AS (SELECT station, year, AVG(duration) AS duration FROM floods GROUP BY 1, 2),
 dur AS (SELECT station, AVG(duration) AS event_duration FROM yearly GROUP BY 1),
-rng AS (SELECT station, MIN(date) AS start, MAX(date) AS "end" FROM s_brand GROUP BY 1)
+rng AS (SELECT station, MIN(date) AS start, MAX(date) AS "end" FROM {source} GROUP BY 1)
 SELECT station, n_days, n_years, round(rms_signal, 8) AS rms_signal, round(rms_noise, 8) AS rms_noise,
   round(20 * ln(rms_signal / rms_noise), 6) AS snr, n_floods, round(sigma_hf, 6) AS sigma_hf,
   round(hsam, 6) AS hsam, round(hsam_t, 6) AS hsam_t, peak, round(event_duration, 6) AS event_duration,
   start, "end"
 FROM rng LEFT JOIN metrics USING (station) LEFT JOIN sigma USING (station)
-LEFT JOIN sam USING (station) LEFT JOIN dur USING (station)""",
-)
-def regime_metrics(spark, folder):
-    out = flow_regime(brand_series(spark, folder), "station", "date", "discharge")
+LEFT JOIN sam USING (station) LEFT JOIN dur USING (station)"""
+
+
+def rounded_metrics(out):
     digits = {"rms_signal": 8, "rms_noise": 8}
     return out.select(
         *(
@@ -207,3 +216,30 @@ def regime_metrics(spark, folder):
             for c, t in out.dtypes
         )
     )
+
+
+@register("regime_metrics", f"WITH {BRAND}, {regime_sql()}")
+def regime_metrics(spark, folder):
+    return rounded_metrics(flow_regime(brand_series(spark, folder), "station", "date", "discharge"))
+
+
+@register(
+    "two_period_metrics",
+    f"""WITH {BRAND}, {PERIOD_SPLIT},
+ref_peaks AS (SELECT * FROM (WITH {full_signal_sql('s_new')}, {PEAK} SELECT * FROM peaks)),
+brands AS (SELECT p_brand AS station, CAST(COUNT(*) AS BIGINT) AS n_parts FROM part GROUP BY 1)
+SELECT 'recent' AS period, r.*, n_parts FROM (WITH {regime_sql('s_new', 'peaks AS (SELECT * FROM ref_peaks)')}) r
+  LEFT JOIN brands USING (station)
+UNION ALL SELECT 'historical', h.*, n_parts FROM (WITH {regime_sql('s_old', 'peaks AS (SELECT * FROM ref_peaks)')}) h
+  LEFT JOIN brands USING (station)""",
+)
+def two_period(spark, folder):
+    periods = {
+        "recent": (dt.date(1999, 1, 1), dt.date(2001, 12, 31)),
+        "historical": (dt.date(1995, 1, 1), dt.date(1997, 12, 31)),
+    }
+    brands = table(spark, folder, "part").groupBy(F.col("p_brand").alias("station")).agg(F.count("*").alias("n_parts"))
+    series = brand_series(spark, folder)
+    return rounded_metrics(
+        two_period_metrics(series, "station", "date", "discharge", periods, "recent", metadata=brands)
+    )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalogue import register
@@ -21,7 +22,7 @@ from catalogue.views import (
 from riverspark.functions import CFS_TO_M3S, convert
 from riverspark.operators import clean, screens
 from riverspark.plans.flow import screened_flow
-from riverspark.sources import append, daily_values, stack_tables
+from riverspark.sources import append, daily_values, read_many, stack_tables
 
 DATE = dt.date
 
@@ -531,3 +532,27 @@ def screened_flow_query(spark, folder):
         F.count("discharge").alias("n_values"),
         F.round(F.sum("discharge"), 2).alias("total"),
     )
+
+
+@register(
+    "glob_sources",
+    """SELECT 'nation.parquet' AS source, CAST(COUNT(*) AS BIGINT) AS n, CAST(COUNT(n_name) AS BIGINT) AS nations FROM nation
+UNION ALL SELECT 'region.parquet', COUNT(*), 0 FROM region""",
+)
+def glob_sources(spark, folder):
+    """Every file of a glob with its name; a file without a column gives NULLs."""
+    rows = read_many(spark, f"{folder}/*ion.parquet", "n_name string, r_name string")
+    return rows.groupBy("source").agg(F.count("*").alias("n"), F.count("n_name").alias("nations"))
+
+
+@register(
+    "sorted_series",
+    f"""WITH {BRAND}
+SELECT station, date, round(discharge, 2) AS discharge,
+  CAST(row_number() OVER (PARTITION BY station ORDER BY date) AS INT) AS place FROM s_brand ORDER BY station, date""",
+)
+def sorted_series(spark, folder):
+    """Rows in output order; ``place`` is computed from that order, per station."""
+    placed = Window.partitionBy("station").orderBy("date")
+    rows = brand_series(spark, folder).withColumn("place", F.row_number().over(placed))
+    return rows.withColumn("discharge", F.round("discharge", 2)).orderBy("station", "date")

@@ -108,6 +108,77 @@ def pca_variance(spark, folder):
     return pca.pca_variance(spark, pca.pca_fit(vectors(spark, folder), XS))
 
 
+@register(
+    "pca_check",
+    "SELECT CAST(component AS INT) AS component, 0.0::DOUBLE AS residual, 1.0::DOUBLE AS length, "
+    "100.0::DOUBLE AS contribution, TRUE AS descending, TRUE AS sign, 1.0::DOUBLE AS score_variance, "
+    "0.0::DOUBLE AS score_mean FROM (SELECT UNNEST(range(1, 7)) AS component)",
+)
+def pca_check(spark, folder):
+    """What defines components, measured on the returned tables and on correlations that SQL confirms.
+
+    C v = lambda v, |v| = 1, contributions add up, order, sign rule, and scores of
+    variance lambda around zero.
+    """
+    rows = vectors(spark, folder)
+    model = pca.pca_fit(rows, XS)
+    dims = [f"dim{i}" for i in range(1, 7)]
+
+    def long(wide, value):
+        stacked = reshape.to_long(wide, ["variable"], dims, "dim", value)
+        return stacked.withColumn("component", F.substring("dim", 4, 1).cast("int")).drop("dim")
+
+    half = moments.correlations(rows, XS)
+    matrix = (
+        half.union(half.select("var2", "var1", "r"))
+        .union(spark.createDataFrame([(x, x, 1.0) for x in XS], "var1 string, var2 string, r double"))
+        .select(F.col("var1").alias("variable"), F.col("var2").alias("other"), "r")
+    )
+    coords = long(pca.pca_coords(spark, model), "coord")
+    product = (
+        matrix.join(coords.withColumnRenamed("variable", "other"), "other")
+        .groupBy("variable", "component")
+        .agg(F.sum(F.col("r") * F.col("coord")).alias("image"))
+    )
+    variance = pca.pca_variance(spark, model).withColumn("next", F.col("component") + 1)
+    later = variance.select(F.col("next").alias("component"), F.col("eigenvalue").alias("before"))
+    scores = pca.pca_scores(model, rows).agg(
+        *(F.var_samp(d).alias(f"v{d}") for d in dims), *(F.avg(d).alias(f"m{d}") for d in dims)
+    )
+    moments_ = scores.select(
+        F.inline(
+            F.array(
+                *(
+                    F.struct(F.lit(i).alias("component"), F.col(f"v{d}").alias("v"), F.col(f"m{d}").alias("m"))
+                    for i, d in enumerate(dims, 1)
+                )
+            )
+        )
+    )
+    joined = (
+        coords.join(product, ["variable", "component"])
+        .join(long(pca.pca_contrib(spark, model), "contrib"), ["variable", "component"])
+        .join(variance.join(later, "component", "left"), "component")
+    )
+    return (
+        joined.groupBy("component")
+        .agg(
+            F.round(F.max(F.abs(F.col("image") - F.col("eigenvalue") * F.col("coord"))), 6).alias("residual"),
+            F.round(F.sum(F.col("coord") * F.col("coord")) / F.max("eigenvalue"), 6).alias("length"),
+            F.round(F.sum("contrib"), 6).alias("contribution"),
+            (F.coalesce(F.max("before"), F.lit(1e9)) >= F.max("eigenvalue")).alias("descending"),
+            (F.max_by("coord", F.abs("coord")) > 0).alias("sign"),
+            F.max("eigenvalue").alias("_e"),
+        )
+        .join(moments_, "component")
+        .select(
+            "component", "residual", "length", "contribution", "descending", "sign",
+            F.round(F.col("v") / F.col("_e"), 6).alias("score_variance"),
+            F.abs(F.round("m", 6)).alias("score_mean"),
+        )
+    )
+
+
 RESPONSES = XS[:3]
 
 
@@ -309,6 +380,12 @@ def permanova_strata(spark, folder):
     return found.withColumn("f_stat", F.round("f_stat", 6))
 
 
+T_P = """CASE WHEN df % 2 = 0 THEN 1 - sin(th) * list_sum(list_transform(range(0, CAST(df // 2 AS BIGINT)),
+    lambda j: exp(lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1)) * pow(cos(th), 2 * j)))
+  ELSE 1 - 2 / pi() * (th + sin(th) * COALESCE(list_sum(list_transform(range(0, CAST((df - 1) // 2 AS BIGINT)),
+    lambda j: exp(lgamma(j + 1) + lgamma(1.5) - lgamma(j + 1.5)) * pow(cos(th), 2 * j + 1))), 0)) END"""
+
+
 COVARIATES = ["l_quantity", "l_discount", "l_tax"]
 FLAGS = ["A", "N", "R"]
 
@@ -393,12 +470,14 @@ tq AS (SELECT *, z + (z**3 + z) / (4.0 * dof) + (5 * z**5 + 16 * z**3 + 3 * z) /
     "ols_table",
     f"""WITH {INTERACTION},
 t AS (
-  SELECT '(Intercept)' AS term, ra AS estimate, sqrt(rva) AS se, q FROM tq
-  UNION ALL SELECT 'l_linestatus[O]', oa - ra, sqrt(ova + rva), q FROM tq
-  UNION ALL SELECT 'l_quantity', rb, sqrt(rvb), q FROM tq
-  UNION ALL SELECT 'l_quantity:l_linestatus[O]', ob - rb, sqrt(ovb + rvb), q FROM tq)
+  SELECT '(Intercept)' AS term, ra AS estimate, sqrt(rva) AS se, q, dof AS df FROM tq
+  UNION ALL SELECT 'l_linestatus[O]', oa - ra, sqrt(ova + rva), q, dof FROM tq
+  UNION ALL SELECT 'l_quantity', rb, sqrt(rvb), q, dof FROM tq
+  UNION ALL SELECT 'l_quantity:l_linestatus[O]', ob - rb, sqrt(ovb + rvb), q, dof FROM tq)
 SELECT term, round(estimate, 4) AS estimate, round(se, 4) AS se, round(estimate / se, 4) AS t,
-  round(estimate - q * se, 3) AS lower, round(estimate + q * se, 3) AS upper FROM t""",
+  round({T_P}, 6) + 0.0 AS p,
+  round(estimate - q * se, 3) AS lower, round(estimate + q * se, 3) AS upper
+FROM (SELECT *, atan(abs(estimate / se) / sqrt(df)) AS th FROM t)""",
 )
 def ols_table(spark, folder):
     lines = table(spark, folder, "lineitem")
@@ -406,6 +485,7 @@ def ols_table(spark, folder):
     return ols.ols_table(spark, model).select(
         "term",
         *(F.round(c, 4).alias(c) for c in ("estimate", "se", "t")),
+        (F.round("p", 6) + 0.0).alias("p"),
         *(F.round(c, 3).alias(c) for c in ("lower", "upper")),
     )
 
@@ -506,12 +586,6 @@ def paired_only(spark, folder):
     return kept.select("station", "period", F.round("top", 6).alias("top"))
 
 
-T_P = """CASE WHEN df % 2 = 0 THEN 1 - sin(th) * list_sum(list_transform(range(0, CAST(df // 2 AS BIGINT)),
-    lambda j: exp(lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1)) * pow(cos(th), 2 * j)))
-  ELSE 1 - 2 / pi() * (th + sin(th) * COALESCE(list_sum(list_transform(range(0, CAST((df - 1) // 2 AS BIGINT)),
-    lambda j: exp(lgamma(j + 1) + lgamma(1.5) - lgamma(j + 1.5)) * pow(cos(th), 2 * j + 1))), 0)) END"""
-
-
 PAIRED = f"""WITH {DIFFERENCES},
 grp AS (SELECT variable, class, COUNT(*) AS n, AVG(recent - historical) AS estimate,
   COALESCE(VAR_SAMP(recent - historical), 0) AS v FROM differences GROUP BY 1, 2),
@@ -606,11 +680,13 @@ def factor_tests(spark, folder):
 members AS (SELECT 'all' AS family, 'all' AS member, * FROM station_periods
   UNION ALL SELECT 'class', class, * FROM station_periods WHERE class IN
     (SELECT class FROM station_periods GROUP BY 1 HAVING COUNT(DISTINCT station) >= 2)),
+small AS (SELECT class FROM station_periods GROUP BY 1 HAVING COUNT(DISTINCT station) < 2),
 {_strata_sql('members', 'family, member')}
 SELECT family, member, df_factor, df_residual, df_total, round(f_stat, 6) AS f_stat, p_value, n_perm,
   CASE WHEN family <> 'all' THEN round(MAX(step) OVER (PARTITION BY family ORDER BY p_value, k), 9) END AS p_adjusted
 FROM (SELECT *, least(1.0, (COUNT(*) OVER (PARTITION BY family) - k + 1) * p_value) AS step FROM
-  (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p_value) AS k FROM tested))""",
+  (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p_value) AS k FROM tested))
+UNION ALL SELECT 'class', class, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM small""",
 )
 def period_tests(spark, folder):
     found = plans.period_tests(
@@ -621,9 +697,82 @@ def period_tests(spark, folder):
     )
 
 
-@register("climate_effects")
+def _effects_sql(y: str) -> str:
+    """Slopes of one response on standardised quantity per line status, pooled variance."""
+    return f"""(WITH z AS (SELECT l_linestatus AS f, {y} AS y,
+    (l_quantity - AVG(l_quantity) OVER ()) / STDDEV_SAMP(l_quantity) OVER () AS x FROM lineitem),
+g AS (SELECT f, COUNT(*) AS n, AVG(x) AS mx, regr_sxx(y, x) AS sxx, regr_slope(y, x) AS b,
+    regr_intercept(y, x) AS a, regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x) AS rss FROM z GROUP BY 1),
+s AS (SELECT SUM(rss) / (SUM(n) - 4) AS s2, SUM(n) - 4 AS df, 1.959963984540054 AS z FROM g),
+q AS (SELECT *, z + (z**3 + z) / (4.0 * df) + (5 * z**5 + 16 * z**3 + 3 * z) / (96.0 * df * df) AS q FROM s)
+SELECT '{y}' AS response, f, mx, a, b, n, sxx, s2, df, q FROM g, q)"""
+
+
+EFFECTS = " UNION ALL ".join(f"SELECT * FROM {_effects_sql(y)}" for y in ("l_extendedprice", "l_tax"))
+
+
+@register(
+    "climate_effects",
+    f"""SELECT response, f AS l_linestatus, 'l_quantity_z' AS term, round(b, 4) + 0.0 AS estimate,
+  round(b - q * sqrt(s2 / sxx), 3) + 0.0 AS lower, round(b + q * sqrt(s2 / sxx), 3) + 0.0 AS upper FROM ({EFFECTS})""",
+)
 def climate_effects(spark, folder):
-    lines = moments.zscore(table(spark, folder, "lineitem"), COVARIATES)
-    return plans.climate_effects(
-        lines, ["l_extendedprice"], [f"{c}_z" for c in COVARIATES], "l_linestatus", ["F", "O"]
+    lines = moments.zscore(table(spark, folder, "lineitem"), ["l_quantity"])
+    found = plans.climate_effects(
+        lines, ["l_extendedprice", "l_tax"], ["l_quantity_z"], "l_linestatus", ["F", "O"]
+    )
+    return found.withColumns(
+        {"estimate": F.round("estimate", 4) + 0.0}
+        | {c: F.round(c, 3) + 0.0 for c in ("lower", "upper")}
     )
+
+
+@register(
+    "regression_table",
+    f"""WITH g AS ({EFFECTS}),
+w AS (SELECT response, df, MAX(CASE WHEN f = 'F' THEN a END) AS ra, MAX(CASE WHEN f = 'F' THEN b END) AS rb,
+  MAX(CASE WHEN f = 'O' THEN a END) AS oa, MAX(CASE WHEN f = 'O' THEN b END) AS ob,
+  MAX(CASE WHEN f = 'F' THEN s2 * (1.0 / n + mx * mx / sxx) END) AS rva, MAX(CASE WHEN f = 'F' THEN s2 / sxx END) AS rvb,
+  MAX(CASE WHEN f = 'O' THEN s2 * (1.0 / n + mx * mx / sxx) END) AS ova, MAX(CASE WHEN f = 'O' THEN s2 / sxx END) AS ovb
+  FROM g GROUP BY 1, 2),
+t AS (SELECT response, df, '(Intercept)' AS term, 'main' AS kind, ra AS estimate, sqrt(rva) AS se FROM w
+  UNION ALL SELECT response, df, 'l_linestatus[O]', 'main', oa - ra, sqrt(ova + rva) FROM w
+  UNION ALL SELECT response, df, 'l_quantity_z', 'main', rb, sqrt(rvb) FROM w
+  UNION ALL SELECT response, df, 'l_quantity_z:l_linestatus[O]', 'interaction', ob - rb, sqrt(ovb + rvb) FROM w)
+SELECT response, term, kind, round(estimate, 4) + 0.0 AS estimate, round(se, 5) AS se, round(estimate / se, 4) + 0.0 AS t,
+  round({T_P}, 6) + 0.0 AS p FROM (SELECT *, atan(abs(estimate / se) / sqrt(df)) AS th FROM t)""",
+)
+def regression_table(spark, folder):
+    lines = moments.zscore(table(spark, folder, "lineitem"), ["l_quantity"])
+    found = plans.regression_table(
+        lines, ["l_extendedprice", "l_tax"], ["l_quantity_z"], "l_linestatus", ["F", "O"]
+    )
+    return found.select(
+        "response", "term", "kind", (F.round("estimate", 4) + 0.0).alias("estimate"), F.round("se", 5).alias("se"),
+        (F.round("t", 4) + 0.0).alias("t"), (F.round("p", 6) + 0.0).alias("p"),
+    )
+
+
+@register(
+    "correlation_table",
+    f"""WITH {VECTORS},
+c AS ({" UNION ALL ".join(
+        f"SELECT '{a}' AS var1, '{b}' AS var2, COUNT(*) AS n, corr({a}, {b}) AS r FROM vectors"
+        for a, b in combinations(XS[:4], 2)
+    )}),
+u AS (SELECT *, n - 2 AS df, r * sqrt((n - 2) / (1 - r * r)) AS t, 0.5 * ln((1 + r) / (1 - r)) AS fz,
+  1.959963984540054 / sqrt(n - 3) AS half FROM c),
+v AS (SELECT *, atan(abs(t) / sqrt(df)) AS th FROM u),
+w AS (SELECT *, {T_P} AS p FROM v),
+k AS (SELECT *, row_number() OVER (ORDER BY p) AS k, COUNT(*) OVER () AS m FROM w)
+SELECT var1, var2, n, round(r, 6) + 0.0 AS r, round((exp(2 * (fz - half)) - 1) / (exp(2 * (fz - half)) + 1), 6) + 0.0 AS lower,
+  round((exp(2 * (fz + half)) - 1) / (exp(2 * (fz + half)) + 1), 6) + 0.0 AS upper, round(t, 5) + 0.0 AS t, round(p, 6) AS p,
+  round(MAX(least(1.0, (m - k + 1) * p)) OVER (ORDER BY p), 6) AS p_adjusted FROM k""",
+)
+def correlation_table(spark, folder):
+    found = moments.correlation_table(vectors(spark, folder), XS[:4])
+    digits = {"t": 5}
+    return found.select(
+        "var1", "var2", "n",
+        *((F.round(c, digits.get(c, 6)) + 0.0).alias(c) for c in ("r", "lower", "upper", "t", "p", "p_adjusted")),
+    )

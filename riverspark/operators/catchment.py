@@ -45,12 +45,16 @@ def fill_remainder(
     label: str,
     area: str | None = None,
     whole: float = 100.0,
+    tolerance: float = 1e-9,
 ) -> DataFrame:
-    """Add a class with the missing share where shares sum to less than the whole."""
+    """Add a class with the missing share where shares sum to less than the whole.
+
+    A remainder up to ``tolerance`` of the whole is rounding, not a class.
+    """
     rest = (
         df.groupBy(key)
         .agg(F.sum(share).alias("_sum"))
-        .filter(F.col("_sum") < whole)
+        .filter(F.col("_sum") < whole * (1 - tolerance))
         .select(key, F.lit(label).alias(class_col), (F.lit(whole) - F.col("_sum")).alias(share))
     )
     if area is not None:

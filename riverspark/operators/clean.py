@@ -217,15 +217,30 @@ def dedupe(df: DataFrame, keys: str | Iterable[str], order: Sequence) -> DataFra
     return df.withColumn("_rank", F.row_number().over(ranked)).filter("_rank = 1").drop("_rank")
 
 
+def _some(rows: DataFrame, into: str) -> DataFrame:
+    """One row: whether there is any."""
+    return rows.agg((row_count() > 0).alias(into))
+
+
+def duplicates_found(df: DataFrame, keys: str | Iterable[str], into: str = "duplicates") -> DataFrame:
+    """One row that tells whether some key occurs more than once."""
+    return _some(df.groupBy(*as_list(keys)).count().filter("count > 1"), into)
+
+
+def nulls_found(df: DataFrame, columns: str | Iterable[str] | None = None, into: str = "nulls") -> DataFrame:
+    """One row that tells whether some cell is NULL."""
+    names = as_list(columns) or df.columns
+    return _some(df.filter(reduce(lambda a, b: a | b, (F.col(c).isNull() for c in names))), into)
+
+
 def has_duplicates(df: DataFrame, keys: str | Iterable[str]) -> bool:
     """Whether some key occurs more than once."""
-    return not df.groupBy(*as_list(keys)).count().filter("count > 1").isEmpty()
+    return duplicates_found(df, keys).first()[0]
 
 
 def has_nulls(df: DataFrame, columns: str | Iterable[str] | None = None) -> bool:
     """Whether some cell is NULL."""
-    names = as_list(columns) or df.columns
-    return not df.filter(reduce(lambda a, b: a | b, (F.col(c).isNull() for c in names))).isEmpty()
+    return nulls_found(df, columns).first()[0]
 
 
 def min_group_size(df: DataFrame, keys: str | Iterable[str], n: int, exact: bool = False) -> DataFrame:

@@ -200,13 +200,19 @@ def zonal_mean(
     value: str,
     weight: str,
     by: Sequence[str] = (),
+    na: str = "propagate",
 ) -> DataFrame:
     """Coverage-weighted mean of grid cells per zone (and time step).
 
-    Partial sums are formed before the shuffle on the zone.
+    A zone with a NULL cell is NULL; ``na="skip"`` leaves such cells out.  Partial
+    sums are formed before the shuffle on the zone.
     """
-    joined = cells.join(weights, cell, "inner")
-    return joined.groupBy(zone, *by).agg(weighted_avg(value, weight).alias(value))
+    if na not in ("propagate", "skip"):
+        raise ValueError(f"na={na!r}")
+    mean = weighted_avg(value, weight)
+    if na == "propagate":
+        mean = F.when(F.count(value) == F.count(F.lit(1)), mean)
+    return cells.join(weights, cell, "inner").groupBy(zone, *by).agg(mean.alias(value))
 
 
 def label_polygons(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:

@@ -50,9 +50,14 @@ def monthly_table(
 ) -> DataFrame:
     """Wide monthly table with repaired precipitation parts and temperature in °C.
 
+    Rows without value, key or month are left out.
+
     ``names`` maps the roles ppt, snowfall, snowmelt and temp to variable tags.
     """
     names = names or {r: r for r in ("ppt", "snowfall", "snowmelt", "temp")}
+    complete = monthly.dropna(subset=[key, "year", "month", value])
+    # Of repeated cells one value is kept, the smallest, whatever the row order.
+    monthly = clean.dedupe(complete, [key, "year", "month", variable], [F.col(value)])
     wide = reshape.to_wide(monthly, [key, "year", "month"], variable, value, list(names.values()))
     renamed = wide.select(key, "year", "month", *(F.col(v).alias(r) for r, v in names.items()))
     parts = climate.partition_precip(renamed)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from riverspark.operators import clean, events, screens, series, spectral
+from riverspark.sources import append
 from riverspark.session import cut_lineage
 
 
@@ -33,10 +35,12 @@ def screened_flow(
     The screens read the daily table several times, so ``reuse`` writes it once.
     """
     masked = clean.mask_by_flag(raw, value, flag, allowed) if flag else raw
-    daily = series.densify_daily(masked, key, date, value)
     if start_before is not None or end_after is not None:
-        eligible = screens.eligible_by_range(daily, key, date, start_before, end_after)
-        daily = clean.keep_keys(daily, eligible, key)
+        # The calendar runs from the first to the last value, so values tell the range.
+        observed = masked.filter(F.col(value).isNotNull())
+        eligible = screens.eligible_by_range(observed, key, date, start_before, end_after)
+        masked = clean.keep_keys(masked, eligible, key)
+    daily = series.densify_daily(masked, key, date, value)
     daily = clean.clip_period(daily, date, *period)
     if trim_rules is not None:
         daily = clean.apply_trim_rules(daily, trim_rules, key, date)
@@ -77,3 +81,32 @@ def flow_regime(
         screens.series_range(daily, key, date).drop("length_years"),
         key,
     )
+
+
+def two_period_metrics(
+    daily: DataFrame,
+    key: str,
+    date: str,
+    value: str,
+    periods: Mapping[str, tuple],
+    reference: str,
+    *,
+    metadata: DataFrame | None = None,
+    reuse: bool = True,
+) -> DataFrame:
+    """Regime metrics of several periods in one table, tagged with ``period``.
+
+    ``periods`` maps a name to its first and last day.  Timing refers to the
+    seasonal peaks of the period ``reference`` throughout.  ``metadata`` adds
+    columns per key.
+    """
+    clips = {name: clean.clip_period(daily, date, *days) for name, days in periods.items()}
+    ready = spectral.prepare_flow(clips[reference], key, date, value)
+    peak = spectral.seasonal_peak(spectral.seasonal_signal(ready, key, date), key)
+    peak = cut_lineage(peak) if reuse else peak
+    tables = (
+        flow_regime(part, key, date, value, reference_peak=peak, reuse=reuse).withColumn("period", F.lit(name))
+        for name, part in clips.items()
+    )
+    stacked = append(*tables)
+    return stacked if metadata is None else clean.enrich(stacked, metadata, key)

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riverspark.columns import join_groups
+from riverspark.functions import pattern_class
 from riverspark.operators import clean, reshape
 from riverspark.sources import append
 from riverspark.stats import ols, paired, pca
@@ -56,7 +58,7 @@ def period_tests(
 
     Rows are repeated per (family, member) and these pairs put all tests into one job.  p-values are
     adjusted within each class; the overall test stands alone.  Levels with fewer
-    than ``least_subjects`` subjects are not tested.
+    than ``least_subjects`` subjects come back with a NULL statistic and p-value.
     """
     complete = clean.complete_cases(df, [subject, period, *classes, *responses])
     groups = F.array(
@@ -70,12 +72,12 @@ def period_tests(
         "_group.family", "_group.member", subject, period, *responses
     )
     sizes = members.groupBy("family", "member").agg(F.count_distinct(subject).alias("_n"))
-    members = clean.keep_keys(
-        members, sizes.filter(F.col("_n") >= least_subjects), ["family", "member"]
-    )
+    tested = join_groups(members, sizes.filter(F.col("_n") >= least_subjects), ["family", "member"], "left_semi")
     tests = permanova_strata(
-        members, period, responses, subject, by=["family", "member"], n_perm=n_perm, draw=draw
+        tested, period, responses, subject, by=["family", "member"], n_perm=n_perm, draw=draw
     )
+    small = sizes.filter(F.col("_n") < least_subjects).select("family", "member")
+    tests = tests.unionByName(small, allowMissingColumns=True)
     adjusted = holm(tests, "p_value", "family")
     return adjusted.withColumn(
         "p_adjusted", F.when(F.col("family") != "all", F.col("p_adjusted"))
@@ -118,11 +120,30 @@ def climate_effects(
 ) -> DataFrame:
     """Slopes of standardised covariates per factor level and response."""
     spark = df.sparkSession
+    models = ols.ols_fits(df, responses, covariates, factor, levels)
     return append(
         *(
-            ols.group_slopes(
-                spark, ols.ols_fit(df, y, covariates, factor, levels), covariates, factor, levels
-            ).withColumn("response", F.lit(y))
-            for y in responses
+            ols.group_slopes(spark, model, covariates, factor, levels).withColumn("response", F.lit(y))
+            for y, model in models.items()
         )
     )
+
+
+def regression_table(
+    df: DataFrame,
+    responses: Sequence[str],
+    covariates: Sequence[str],
+    factor: str,
+    levels: Sequence[str],
+    pattern: str = ":",
+    inside: str = "interaction",
+    outside: str = "main",
+) -> DataFrame:
+    """Estimate, standard error, t, p and limits of every term and response.
+
+    ``kind`` labels a term by whether its name holds ``pattern``.
+    """
+    spark = df.sparkSession
+    models = ols.ols_fits(df, responses, covariates, factor, levels)
+    tables = (ols.ols_table(spark, m).withColumn("response", F.lit(y)) for y, m in models.items())
+    return append(*tables).withColumn("kind", pattern_class("term", pattern, inside, outside))

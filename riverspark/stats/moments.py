@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from riverspark.columns import as_list
 from riverspark.stats.attach import attach
+from riverspark.stats.distributions import t_p_value
+from riverspark.stats.holm import holm
 
 
 def zscore(
@@ -45,3 +47,30 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         for i, (a, b) in enumerate(pairs)
     ]
     return found.select(F.inline(F.array(*entries)))
+
+
+def correlation_table(df: DataFrame, columns: Sequence[str], z: float = 1.959963984540054) -> DataFrame:
+    """``n``, ``r``, limits, ``t``, ``p`` and Holm-adjusted p of every pair of columns.
+
+    Each pair takes the rows where both are present; all pairs come from one pass.
+    The limits are those of Fisher's transformation with the normal quantile ``z``.
+    """
+    pairs = list(combinations(columns, 2))
+    both = [F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1) for a, b in pairs]
+    found = df.agg(
+        *(F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)),
+        *(F.count(e).alias(f"n{i}") for i, e in enumerate(both)),
+    )
+    entries = [
+        F.struct(
+            F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.col(f"n{i}").alias("n"), F.col(f"r{i}").alias("r")
+        )
+        for i, (a, b) in enumerate(pairs)
+    ]
+    rows = found.select(F.inline(F.array(*entries)))
+    half = F.lit(z) * F.try_divide(F.lit(1.0), F.sqrt(F.col("n") - 3))
+    t = F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("r") * F.col("r")))
+    tested = rows.withColumns(
+        {"lower": F.tanh(F.atanh("r") - half), "upper": F.tanh(F.atanh("r") + half), "t": t}
+    ).withColumn("p", t_p_value("t", F.col("n") - 2))
+    return holm(tested, "p")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riverspark.columns import as_list
+from riverspark.stats.attach import attach
 from riverspark.stats.distributions import t_p_value, t_quantile, t_two_sided
 
 INTERCEPT = "(Intercept)"
@@ -44,30 +45,32 @@ def design(
     return columns
 
 
-def normal_equations(
-    df: DataFrame,
-    y: str,
-    covariates: Sequence[str],
-    factor: str | None = None,
-    levels: Sequence[str] = (),
+def _inputs(
+    df: DataFrame, ys: Sequence[str], covariates: Sequence[str], factor: str | None, levels: Sequence[str]
 ) -> DataFrame:
-    """All sums of products as (row, column, value), from one pass.
+    """``_response``, ``_y``, the factor and the covariates of complete rows, one row per response.
 
-    The response appears as row and column ``y``.  Rows with a NULL or with a level
-    not listed are left out.
+    Fails on a factor level that is not listed.
     """
-    columns = design(covariates, factor, levels) | {"y": F.col("_y")}
-    names = list(columns)
-    inputs = df.select(
-        *as_list(factor),
-        *(F.col(c).cast("double").alias(c) for c in covariates),
-        F.col(y).cast("double").alias("_y"),
+    responses = F.array(*(F.struct(F.lit(y).alias("_response"), F.col(y).cast("double").alias("_y")) for y in ys))
+    rows = df.select(
+        *as_list(factor), *(F.col(c).cast("double").alias(c) for c in covariates), F.inline(responses)
     ).dropna()
     if factor:
-        inputs = inputs.filter(F.col(factor).isin(*levels))
-    wide = inputs.select(*(c.alias(f"_{i}") for i, c in enumerate(columns.values())))
+        message = F.concat(F.lit(f"level of {factor} not listed: "), F.col(factor).cast("string"))
+        known = F.when(F.col(factor).isin(*levels), True).otherwise(F.raise_error(message).cast("boolean"))
+        rows = rows.filter(known)
+    return rows
+
+
+def _products(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Sums of products of all columns per response, as (_response, row, column, value)."""
+    names = list(columns)
+    wide = rows.select("_response", *(c.alias(f"_{i}") for i, c in enumerate(columns.values())))
     pairs = [(i, j) for i in range(len(names)) for j in range(i + 1)]
-    sums = wide.agg(*(F.sum(F.col(f"_{i}") * F.col(f"_{j}")).alias(f"s{i}_{j}") for i, j in pairs))
+    sums = wide.groupBy("_response").agg(
+        *(F.sum(F.col(f"_{i}") * F.col(f"_{j}")).alias(f"s{i}_{j}") for i, j in pairs)
+    )
     entries = [
         F.struct(
             F.lit(names[i]).alias("row"),
@@ -76,33 +79,89 @@ def normal_equations(
         )
         for i, j in pairs
     ]
-    return sums.select(F.inline(F.array(*entries)))
+    return sums.select("_response", F.inline(F.array(*entries)))
 
 
-def ols_fit(
+def normal_equations(
     df: DataFrame,
     y: str,
     covariates: Sequence[str],
     factor: str | None = None,
     levels: Sequence[str] = (),
-) -> OlsModel:
-    """Fit from the normal equations; the driver solves a p by p system."""
+) -> DataFrame:
+    """All sums of products as (row, column, value), from one pass.
+
+    The response appears as row and column ``y``.  Rows with a NULL are left out;
+    a level that is not listed is an error.
+    """
+    rows = _inputs(df, [y], covariates, factor, levels)
+    return _products(rows, design(covariates, factor, levels) | {"y": F.col("_y")}).drop("_response")
+
+
+def ols_fits(
+    df: DataFrame,
+    ys: Sequence[str],
+    covariates: Sequence[str],
+    factor: str | None = None,
+    levels: Sequence[str] = (),
+) -> dict[str, OlsModel]:
+    """One fit per response, all from the same two passes.
+
+    The first pass takes the means of complete rows, the second sums products of
+    centred values, so that large means cost no digits.  The driver solves p by p
+    systems and moves the intercepts back.
+    """
     terms = list(design(covariates, factor, levels))
     position = {t: i for i, t in enumerate([*terms, "y"])}
     p = len(terms)
-    gram = np.zeros((p + 1, p + 1))
-    for r in normal_equations(df, y, covariates, factor, levels).collect():
+    rows = _inputs(df, ys, covariates, factor, levels)
+    means = rows.groupBy("_response").agg(
+        F.avg("_y").alias("_mean_y"), *(F.avg(c).alias(f"_mean_{i}") for i, c in enumerate(covariates))
+    )
+    centred = attach(rows, means, ["_response"]).withColumns(
+        {c: F.col(c) - F.col(f"_mean_{i}") for i, c in enumerate(covariates)}
+    )
+    columns = design(covariates, factor, levels) | {"y": F.col("_y") - F.col("_mean_y")}
+    found = {r["_response"]: r for r in means.collect()}
+    grams = {y: np.zeros((p + 1, p + 1)) for y in found}
+    for r in _products(centred, columns).collect():
         i, j = position[r["row"]], position[r["column"]]
-        gram[i, j] = gram[j, i] = r["value"]
-    # Unit diagonal before inverting, as products differ by orders of magnitude.
-    scale = 1 / np.sqrt(np.diag(gram)[:p])
-    inverse = np.linalg.inv(gram[:p, :p] * np.outer(scale, scale)) * np.outer(scale, scale)
-    estimates = inverse @ gram[:p, p]
-    n = int(round(gram[0, 0]))
-    dof = n - p
-    residual = gram[p, p] - estimates @ gram[:p, p]
-    sigma2 = max(residual, 0.0) / dof
-    return OlsModel(tuple(terms), estimates, sigma2 * inverse, dof, sigma2, n)
+        grams[r["_response"]][i, j] = grams[r["_response"]][j, i] = r["value"]
+    models = {}
+    for y in ys:
+        if y not in grams:
+            raise ValueError(f"no complete rows for {y}")
+        gram, mean = grams[y], found[y]
+        n = int(round(gram[0, 0]))
+        absent = [t for t, d in zip(terms, np.diag(gram)) if d <= 0]
+        if absent or n <= p:
+            raise ValueError(f"{y}: {n} rows for {p} terms, none for {absent}")
+        # Unit diagonal before inverting, as products differ by orders of magnitude.
+        scale = 1 / np.sqrt(np.diag(gram)[:p])
+        inverse = np.linalg.inv(gram[:p, :p] * np.outer(scale, scale)) * np.outer(scale, scale)
+        estimates = inverse @ gram[:p, p]
+        sigma2 = max(gram[p, p] - estimates @ gram[:p, p], 0.0) / (n - p)
+        # Intercepts at zero instead of the means of the covariates.
+        move = np.eye(p)
+        for k, c in enumerate(covariates):
+            move[0, position[c]] = -mean[f"_mean_{k}"]
+            for name in (t for t in terms if factor and t.startswith(f"{factor}[")):
+                move[position[name], position[f"{c}:{name}"]] = -mean[f"_mean_{k}"]
+        estimates = move @ estimates
+        estimates[0] += mean["_mean_y"]
+        models[y] = OlsModel(tuple(terms), estimates, sigma2 * move @ inverse @ move.T, n - p, sigma2, n)
+    return models
+
+
+def ols_fit(
+    df: DataFrame,
+    y: str,
+    covariates: Sequence[str],
+    factor: str | None = None,
+    levels: Sequence[str] = (),
+) -> OlsModel:
+    """Fit of one response; see :func:`ols_fits`."""
+    return ols_fits(df, [y], covariates, factor, levels)[y]
 
 
 def ols_table(spark: SparkSession, model: OlsModel, level: float = 0.95) -> DataFrame:

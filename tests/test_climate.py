@@ -93,6 +93,11 @@ def test_zonal_mean_weights_cells(spark):
     weights = spark.createDataFrame([(1, "z", 3.0), (2, "z", 1.0), (2, "y", 0.5)], "cell int, zone string, w double")
     got = {r.zone: r.v for r in climate.zonal_mean(cells, weights, "cell", "zone", "v", "w", ["hour"]).collect()}
     assert got == {"z": 12.5, "y": 20.0}
+    holed = cells.union(cells.sparkSession.createDataFrame([(3, 0, None)], cells.schema))
+    more = weights.union(weights.sparkSession.createDataFrame([(3, "z", 1.0)], weights.schema))
+    for na, z in (("propagate", None), ("skip", 12.5)):
+        rows = climate.zonal_mean(holed, more, "cell", "zone", "v", "w", ["hour"], na=na).collect()
+        assert {r.zone: r.v for r in rows} == {"z": z, "y": 20.0}
 
 
 def test_classes_compete_before_or_after_merging(spark):
@@ -106,6 +111,8 @@ def test_classes_compete_before_or_after_merging(spark):
     full = catchment.fill_remainder(df, "s", "class", "share", "Unfrozen", "area")
     extra = full.filter("class = 'Unfrozen'").collect()
     assert [(r.s, r.share, r.area) for r in extra] == [("c", 70.0, 0.0)]
+    dust = df.sparkSession.createDataFrame([("d", c, v) for c, v in zip("IJK", (33.3, 33.3, 33.4))], df.schema)
+    assert catchment.fill_remainder(dust, "s", "class", "share", "Unfrozen").count() == 3
 
 
 def test_catchment_table_defaults_and_classes(spark):

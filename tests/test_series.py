@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from riverspark.operators.events import independent_events
-from riverspark.operators.series import densify_daily, fill_linear
+from riverspark.operators.series import densify_daily, fill_linear, runs_of_days
 
 DAY0 = dt.date(2003, 11, 20)
 
@@ -108,3 +108,15 @@ def test_a_station_with_a_third_of_the_rows_is_split_by_year(spark):
     sizes = out.groupBy("station").count().collect()
     assert {r.station: r["count"] for r in sizes}["hot"] == 20000
     assert out.filter(F.col("station") != "hot").count() == 40 * (299 * 3 + 1)
+
+
+def test_repeated_day_adds_no_days_and_keeps_both_rows(spark):
+    rows = [("a", dt.date(2001, 1, 3), 1.0), ("a", dt.date(2001, 1, 5), 2.0), ("a", dt.date(2001, 1, 5), 3.0),
+            ("a", dt.date(2001, 1, 7), 4.0), (None, dt.date(2001, 1, 1), 9.0)]
+    df = spark.createDataFrame(rows, "k string, date date, v double")
+    dense = [(r.k, r.date.day, r.v) for r in densify_daily(df, "k", "date", "v").collect()]
+    assert sorted(dense, key=str) == sorted(
+        [("a", 3, 1.0), ("a", 4, None), ("a", 5, 2.0), ("a", 5, 3.0), ("a", 6, None), ("a", 7, 4.0), (None, 1, 9.0)], key=str
+    )
+    runs = runs_of_days(df.filter("k = 'a' AND date >= DATE '2001-01-05'"), "k", "date", "v").collect()
+    assert sorted((r.start.day, r.duration, r.extreme) for r in runs) == [(5, 1, 3.0), (7, 1, 4.0)]

@@ -25,11 +25,12 @@ def flow(spark):
     return df, spectral.prepare_flow(df, "s", "date", "q").cache(), truth
 
 
-def test_series_is_cut_to_whole_years(flow):
+def test_days_behind_the_whole_years_stay(flow):
     _, ready, truth = flow
     out = ready.filter("s = 'calm'").orderBy("t").toPandas()
-    assert len(out) == N and set(out.n_years) == {4} and list(out.t) == list(range(N))
-    np.testing.assert_allclose(out.y, truth["calm"], atol=1e-12)
+    assert len(out) == N + 40 and set(out.n_years) == {4} and list(out.t) == list(range(N + 40))
+    assert set(out.n_days) == {N}
+    np.testing.assert_allclose(out.y[:N], truth["calm"], atol=1e-12)
 
 
 def test_metrics_follow_a_full_transform(flow):
@@ -51,7 +52,38 @@ def test_signal_plus_anomaly_is_the_series(flow):
     spectrum = np.fft.rfft(truth["wild"])
     keep = np.zeros_like(spectrum)
     keep[[0, 4, 8, 12]] = spectrum[[0, 4, 8, 12]]
-    np.testing.assert_allclose(out.pred, np.fft.irfft(keep, N), atol=1e-9)
+    np.testing.assert_allclose(out.pred[:N], np.fft.irfft(keep, N), atol=1e-9)
+    np.testing.assert_allclose(out.pred[N:], np.fft.irfft(keep, N)[:40], atol=1e-9)
+
+
+def test_no_anomaly_on_days_never_observed(spark):
+    """A gap of 400 days: no event in it, no season maximum, and the calendar still whole."""
+    rng = np.random.default_rng(8)
+    first, days = dt.date(2000, 1, 1), 1600
+    gap = range(700, 1100)
+    rows = [
+        ("a", first + dt.timedelta(days=i), float(10 ** (np.cos(i / 58) + 0.3 * rng.normal())))
+        for i in range(days)
+        if i not in gap
+    ]
+    df = spark.createDataFrame(rows, "s string, date date, q double")
+    signal = spectral.seasonal_signal(spectral.prepare_flow(df, "s", "date", "q"), "s", "date")
+    out = signal.orderBy("date").toPandas()
+    assert len(out) == days and out.resid.isna().sum() == len(gap) and out.pred.notna().all()
+    lost = {first + dt.timedelta(days=i) for i in gap}
+    for event in events.independent_events(signal, "s", "date", "resid").collect():
+        span = {event.start + dt.timedelta(days=i) for i in range(event.duration)}
+        assert not span & lost and event.end == max(span)
+    found = events.high_anomaly(signal, spectral.seasonal_peak(signal, "s"), "s", "date").collect()
+    assert found and not {r.date for r in found} & lost
+
+
+def test_null_key_is_a_series(flow):
+    df, _, _ = flow
+    both = df.filter("s = 'calm'").unionByName(df.filter("s = 'calm'").selectExpr("CAST(NULL AS STRING) AS s", "date", "q"))
+    rows = {r.s: r for r in flow_regime(both, "s", "date", "q").collect()}
+    assert set(rows) == {"calm", None} and rows[None].snr == pytest.approx(rows["calm"].snr)
+    assert rows[None].n_floods == rows["calm"].n_floods
 
 
 def test_spectrum_and_flag(flow):
@@ -68,8 +100,8 @@ def test_missing_and_dry_days_are_filled_or_refused(spark, flow):
     df, _, _ = flow
     holed = df.selectExpr("s", "date", "CASE WHEN day(date) = 3 THEN 0 WHEN day(date) = 5 THEN NULL ELSE q END AS q")
     ready = spectral.prepare_flow(holed, "s", "date", "q")
-    assert ready.count() == 2 * N
-    assert ready.filter("NOT observed").count() == 2 * 2 * 48
+    assert ready.count() == 2 * (N + 40)
+    assert ready.filter("NOT observed AND t < n_days").count() == 2 * 2 * 48
     assert spectral.prepare_flow(holed, "s", "date", "q", max_na=10).isEmpty()
 
 
@@ -86,7 +118,7 @@ def test_peak_anomaly_and_metrics(flow):
     for r in found.collect():
         season = frame[(frame.s == r.s) & (frame.year == r.year) & frame.jday.between(60, 304)]
         assert r.resid == season.resid.max() and r.timing == r.jday - peaks[r.s]
-    assert found.count() == 8
+    assert found.count() == 8  # the 40 days of the fifth year are no season
     assert events.high_anomaly(signal, peak, "s", "date", min_days=245).isEmpty()
     whole = {r.s: r for r in flow_regime(df, "s", "date", "q").collect()}
     floods = events.independent_events(signal, "s", "date", "resid").toPandas()

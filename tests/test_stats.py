@@ -5,6 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from riverspark.operators import clean, reshape, summaries
+from riverspark.plans import statistics as plans
 from riverspark.stats import moments, ols, paired, pca
 from riverspark.stats.distributions import f_upper, incomplete_beta, t_quantile, t_two_sided
 from riverspark.stats.holm import holm
@@ -232,3 +234,58 @@ def test_paired_contrasts_and_anova(spark):
     assert tests["group:period"].f_stat == pytest.approx(between / 3 / pooled)
     assert (tests["group"].df1, tests["group"].df2) == (3, 11)
     assert tests["period"].p == pytest.approx(f_upper(tests["period"].f_stat, 1, 11))
+
+
+def test_null_groups_are_kept(spark):
+    rows = [("a", 1.0), ("a", 3.0), (None, 5.0), (None, 9.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    assert moments.zscore(df, ["v"], by="g").count() == 4
+    assert clean.min_group_size(df, "g", 1).count() == 4
+    assert {(r.g, r.quantiles[0]) for r in summaries.exact_quantiles(df, "g", "v", [0.5]).collect()} == {("a", 2.0), (None, 7.0)}
+    assert summaries.box_summary(df, "g", "v").count() == 2
+    pairs = spark.createDataFrame([(None, "x", "p", 1.0), (None, "x", "q", 2.0)], "i string, m string, p string, v double")
+    assert reshape.paired_only(pairs, ["i"], "m", "p", "v").count() == 2
+
+
+def test_duplicate_cells_are_an_error(spark):
+    df = spark.createDataFrame([(1, "a", 1.0), (1, "a", 2.0), (2, "a", None), (2, "a", 3.0)], "i int, n string, v double")
+    wide = reshape.to_wide(df.filter("i = 2"), ["i"], "n", "v", ["a", "b"]).collect()
+    assert [tuple(r) for r in wide] == [(2, 3.0, None)]
+    with pytest.raises(Exception, match="more than one value"):
+        reshape.to_wide(df, ["i"], "n", "v", ["a"]).collect()
+
+
+def test_regression_is_stable_under_shifts(spark):
+    rng = np.random.default_rng(4)
+    x, g = rng.normal(size=300), np.where(rng.random(300) < 0.4, "u", "v")
+    y = 2 * x + (g == "v") * (1 - x) + rng.normal(size=300)
+    rows = [(float(a), float(b), float(b + 1e8), float(a + 1e6), str(c)) for a, b, c in zip(x, y, g)]
+    df = spark.createDataFrame(rows, "x double, y double, far double, xfar double, g string")
+    fits = ols.ols_fits(df, ["y", "far"], ["x"], "g", ["u", "v"])
+    same = ols.ols_fit(df, "y", ["xfar"], "g", ["u", "v"])
+    near, far = (np.sqrt(np.diag(fits[c].covariance)) for c in ("y", "far"))
+    np.testing.assert_allclose(near, far, rtol=1e-6)
+    np.testing.assert_allclose(fits["y"].estimates[1:], fits["far"].estimates[1:], atol=1e-6)
+    assert same.sigma2 == pytest.approx(fits["y"].sigma2, rel=1e-6)
+    with pytest.raises(Exception, match="not listed"):
+        ols.ols_fit(df, "y", ["x"], "g", ["u"])
+    with pytest.raises(ValueError):
+        ols.ols_fit(df, "y", ["x"], "g", ["u", "v", "w"])
+    table = {(r.response, r.term): r for r in plans.regression_table(df, ["y", "far"], ["x"], "g", ["u", "v"]).collect()}
+    assert table["y", "x:g[v]"].kind == "interaction" and table["far", "x"].kind == "main"
+
+
+def test_levels_of_one_subject_stay_without_a_test(spark):
+    rows = [(f"s{i}", p, float(i + (p == "new") * 3 + i % 3), "big" if i else "small") for i in range(6) for p in ("old", "new")]
+    df = spark.createDataFrame(rows, "s string, p string, v double, c string")
+    found = {(r.family, r.member): r for r in plans.period_tests(df, "s", "p", ["v"], ["c"], n_perm=19).collect()}
+    assert found["c", "small"].p_value is None and found["c", "small"].f_stat is None
+    assert found["c", "big"].p_value is not None and found["all", "all"].p_value is not None
+
+
+def test_large_degrees_of_freedom(spark):
+    assert float(t_two_sided(1.96, 1e12)) == pytest.approx(0.0499957902964, rel=1e-9)
+    assert float(t_quantile(0.975, 1e12)) == pytest.approx(1.959963984540054, rel=1e-9)
+    table = moments.correlation_table(spark.range(50).selectExpr("id", "id * id AS sq", "pmod(id * 7, 11) AS m"), ["id", "sq", "m"])
+    rows = {(r.var1, r.var2): r for r in table.collect()}
+    assert rows["id", "sq"].lower < rows["id", "sq"].r < rows["id", "sq"].upper and rows["id", "sq"].p < 1e-9
