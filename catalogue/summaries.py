@@ -139,10 +139,14 @@ def convex_hull(spark, folder):
 f AS (SELECT label, COUNT(*) AS n, MIN(x1) AS lo, MAX(x1) AS hi,
   0.9 * least(STDDEV_SAMP(x1), (quantile_cont(x1, 0.75) - quantile_cont(x1, 0.25)) / 1.34) * pow(COUNT(*), -0.2) AS h
   FROM vectors GROUP BY 1),
-g AS (SELECT f.*, CAST(UNNEST(range(0, 64)) AS INT) AS point FROM f)
+g AS (SELECT f.*, CAST(UNNEST(range(0, 64)) AS INT) AS point FROM f),
+p AS (SELECT v.label, (x1 - lo) / ((hi - lo) / 63) AS place FROM vectors v JOIN f ON v.label = f.label),
+b AS (SELECT label, bin, SUM(w) AS w FROM (
+    SELECT label, floor(place) AS bin, 1 - (place - floor(place)) AS w FROM p
+    UNION ALL SELECT label, floor(place) + 1, place - floor(place) FROM p) WHERE w > 0 GROUP BY 1, 2)
 SELECT g.label, point, round(lo + (hi - lo) / 63 * point, 6) + 0.0 AS x,
-  round(SUM(exp(-0.5 * ((lo + (hi - lo) / 63 * point - x1) / h) ** 2)) / (MAX(n) * MAX(h) * sqrt(2 * pi())), 6) AS density
-FROM g JOIN vectors v ON v.label = g.label GROUP BY g.label, point, lo, hi""",
+  round(SUM(w * exp(-0.5 * ((point - bin) * ((hi - lo) / 63) / h) ** 2)) / (MAX(n) * MAX(h) * sqrt(2 * pi())), 6) AS density
+FROM g JOIN b ON b.label = g.label GROUP BY g.label, point, lo, hi""",
 )
 def density_grid(spark, folder):
     grid = summaries.density_grid(vectors(spark, folder), "label", "x1", points=64)

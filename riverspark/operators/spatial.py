@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,17 +12,14 @@ def polygon_edges(vertices: DataFrame, poly: str, ring: str, seq: str, x: str, y
     Vertices of one ring are linked in the order of ``seq``; the last one is linked
     to the first.
     """
-    gathered = vertices.groupBy(poly, ring).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(seq), F.col(x), F.col(y)))).alias("_v")
-    )
-    linked = gathered.select(poly, "_v", F.posexplode("_v").alias("_i", "_a"))
-    ahead = F.get("_v", (F.col("_i") + 1) % F.size("_v"))
-    return linked.select(
+    around = Window.partitionBy(poly, ring).orderBy(seq)
+    whole = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return vertices.select(
         poly,
-        F.col("_a")[x].alias("x1"),
-        F.col("_a")[y].alias("y1"),
-        ahead[x].alias("x2"),
-        ahead[y].alias("y2"),
+        F.col(x).alias("x1"),
+        F.col(y).alias("y1"),
+        F.coalesce(F.lead(x).over(around), F.first(x).over(whole)).alias("x2"),
+        F.coalesce(F.lead(y).over(around), F.first(y).over(whole)).alias("y2"),
     )
 
 

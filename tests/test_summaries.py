@@ -41,8 +41,13 @@ def test_density_integrates_to_most_of_one(spark):
     out = summaries.density_grid(df, "g", "v", points=100).orderBy("point").toPandas()
     h = 0.9 * min(v.std(ddof=1), np.subtract(*np.quantile(v, [0.75, 0.25])) / 1.34) * 400**-0.2
     grid = np.linspace(v.min(), v.max(), 100)
-    want = np.exp(-0.5 * ((grid[:, None] - v) / h) ** 2).mean(1) / (h * np.sqrt(2 * np.pi))
-    np.testing.assert_allclose(out.density, want, rtol=1e-9)
+    place = (v - v.min()) / (grid[1] - grid[0])
+    low = np.floor(place).astype(int)
+    weight = np.bincount(low, 1 - (place - low), 101) + np.bincount(low + 1, place - low, 101)
+    kernel = np.exp(-0.5 * ((grid[:, None] - grid) / h) ** 2)
+    np.testing.assert_allclose(out.density, kernel @ weight[:100] / (400 * h * np.sqrt(2 * np.pi)), rtol=1e-9)
+    exact = np.exp(-0.5 * ((grid[:, None] - v) / h) ** 2).mean(1) / (h * np.sqrt(2 * np.pi))
+    np.testing.assert_allclose(out.density, exact, atol=0.01 * exact.max())
     assert summaries.density_grid(df, "g", "v", 10, bandwidth=0.5).count() == 10
 
 
