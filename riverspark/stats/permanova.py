@@ -25,9 +25,7 @@ from riverspark.stats.holm import holm
 
 # Permuted statistics this close below the observed one count as equal.
 TOLERANCE = 1.5e-8
-_PREFIX_SPACE = 4096  # three hexadecimal digits
-# A list of cut buckets is broadcast only when counting it shows at most this many.
-BROADCAST_ROWS = 200_000
+_PREFIX_SPACE = 1 << 20  # five hexadecimal digits
 
 
 def _numbered(responses: Sequence[str]) -> list[str]:
@@ -108,15 +106,15 @@ def permanova_f(
 
 
 # How rows are put in a random order: hash of (seed, permutation, id), and the first
-# 12 bits of that order as a number.
+# 20 bits of that order as a number.
 _DRAWS = {
     "xxhash64": (
         lambda seed, perm, ident: F.xxhash64(F.lit(seed), perm, ident),
-        lambda order: F.shiftright(order, 52).cast("int") + _PREFIX_SPACE // 2,
+        lambda order: F.shiftright(order, 44) + _PREFIX_SPACE // 2,
     ),
     "md5": (
         lambda seed, perm, ident: F.md5(F.concat_ws(":", F.lit(seed), perm.cast("string"), ident)),
-        lambda order: F.conv(F.left(order, F.lit(3)), 16, 10).cast("int"),
+        lambda order: F.conv(F.left(order, F.lit(5)), 16, 10).cast("long"),
     ),
 }
 
@@ -164,7 +162,7 @@ def _sums_bucketed(
     _, prefix = _DRAWS[draw]
     bucket = F.floor(prefix(F.col("_order")) * F.col("_buckets") / _PREFIX_SPACE)
     dealt = dealt.withColumn("_bucket", bucket.cast("int")).drop("_buckets")
-    # At most 4096 buckets per unit and permutation are windowed.
+    # At most 2^20 buckets per unit and permutation are windowed.
     along = Window.partitionBy(*unit, "_perm").orderBy("_bucket")
     counted = (
         dealt.groupBy(*cell)
@@ -181,8 +179,6 @@ def _sums_bucketed(
         *by, "_perm", "_level", F.col("_k").alias("_n_level"), *xs
     )
     cut = counted.filter(F.col("_level").isNull()).select(*cell, "_lo")
-    if cut.count() <= BROADCAST_ROWS:
-        cut = F.broadcast(cut)
     split = _sums_ranked(attach(dealt.join(cut, cell, "inner"), levels, unit), cell, by, xs)
     return (
         inside.unionByName(split)
@@ -249,8 +245,9 @@ def permanova(
     families = _families(rows, families_by, xs)
     units = _units(rows, unit, rows_per_bucket)
     centred = _centred(rows, families, families_by, xs)
+    spark = df.sparkSession
     partitions = max(
-        df.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()
+        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
     )
     bare = centred.drop("_level")
     if units.filter("_buckets > 1").isEmpty():
@@ -325,7 +322,7 @@ def permanova_strata(
     keep = {c: c for c in families_by} | {"_stratum": strata}
     rows = _standard(df, factor, responses, keep)
     pairs = _pairs_wide(rows, families_by, xs)
-    most = int(math.floor(math.log2(n_perm)))
+    most = int(math.floor(math.log2(max(n_perm, 1))))
     checks = [
         row_count().alias("_strata"),
         (
