@@ -74,7 +74,8 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, bits: int = 26) -> DataFr
     """``doc_id``, ``text`` and ``label`` ("0" or "1") of the labelled rows.
 
     A bitmap of fixed size holds the labelled ids, so that the texts of other
-    rows are dropped before the join.
+    rows are dropped before the join.  Labels grow with the documents: the join
+    never broadcasts them, also where they happen to be few.
     """
     labels = labels.filter("doc_id is not null and toxic is not null")
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr("string(int(toxic != 0))").alias("label"))
@@ -86,7 +87,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, bits: int = 26) -> DataFr
 
     rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.withColumn("h", F.xxhash64("doc_id"))
-    return rows.mapInArrow(keep, "doc_id long, text string, h long").join(labels, "doc_id").drop("h")
+    return rows.mapInArrow(keep, "doc_id long, text string, h long").join(labels.hint("merge"), "doc_id").drop("h")
 
 
 def train(learn: DataFrame, calibrate: DataFrame, most_grams: int = 4_000_000, calibration_rows: int = 5000) -> Scorer:
