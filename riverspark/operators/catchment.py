@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riverspark.functions import recode, threshold_class
 from riverspark.operators.clean import assemble, top_by
+from riverspark.session import cut_lineage
 
 
 def dominant_class(
@@ -31,7 +32,8 @@ def dominant_class(
             .groupBy(key, class_col)
             .agg(F.sum(share).alias(share))
         )
-    top = top_by(df, key, share, ties, [F.col(class_col)])
+    # The largest share is compared with the shares again, so both must be the same numbers.
+    top = top_by(cut_lineage(df), key, share, ties, [F.col(class_col)])
     if merge and not merge_first:
         top = top.withColumn(class_col, recode(class_col, merge))
     return top

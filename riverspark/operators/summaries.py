@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from riverspark.columns import as_list, join_groups
 from riverspark.functions import row_count
+from riverspark.session import cut_lineage
 
 
 def exact_quantiles(
@@ -21,13 +22,16 @@ def exact_quantiles(
     value: str,
     probs: Sequence[float],
     accuracy: int = 10_000,
+    reuse: bool = True,
 ) -> DataFrame:
     """Exact interpolated quantiles per group, as an array column ``quantiles``.
 
     Works for groups of any size.  Approximate quantiles bracket each wanted rank;
     counting the value ranges between the brackets tells which ranges hold the
     ranks; only those ranges, each about 4 / ``accuracy`` of a group, are ordered.
-    NULL and NaN are left out.
+    NULL and NaN are left out.  All passes must see equal values, and sums of
+    floating-point numbers may differ between runs, so the groups and values are
+    written once; ``reuse=False`` is for input that is stored already.
     """
     keys = as_list(group)
     margin = 2.0 / accuracy
@@ -35,6 +39,7 @@ def exact_quantiles(
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(
         F.col("_v").isNotNull() & ~F.isnan("_v")
     )
+    rows = cut_lineage(rows) if reuse else rows
     # One row per group, with arrays whose length the arguments fix.
     brackets = rows.groupBy(*keys).agg(
         row_count().alias("_n"),
@@ -99,7 +104,8 @@ def exact_quantiles(
 def box_summary(df: DataFrame, group: str | Iterable[str], value: str, reach: float = 1.5) -> DataFrame:
     """Quartiles, and whiskers at the last values within ``reach`` box lengths."""
     keys = as_list(group)
-    quartiles = exact_quantiles(df, keys, value, [0.25, 0.5, 0.75]).select(
+    df = cut_lineage(df.select(*keys, value))
+    quartiles = exact_quantiles(df, keys, value, [0.25, 0.5, 0.75], reuse=False).select(
         *keys,
         "n",
         *(F.get("quantiles", F.lit(i)).alias(c) for i, c in enumerate(("q1", "median", "q3"))),
@@ -107,7 +113,7 @@ def box_summary(df: DataFrame, group: str | Iterable[str], value: str, reach: fl
     spread = (F.col("q3") - F.col("q1")) * reach
     inside = F.col(value).between(F.col("q1") - spread, F.col("q3") + spread)
     return (
-        join_groups(df.select(*keys, value), quartiles, keys)
+        join_groups(df, quartiles, keys)
         .groupBy(*keys, "n", "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, F.col(value))).alias("lower"),
@@ -144,6 +150,7 @@ def density_grid(
     """
     keys = as_list(group)
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).dropna(subset=["_v"])
+    rows = cut_lineage(rows)
     frame = rows.groupBy(*keys).agg(
         row_count().alias("_n"),
         F.min("_v").alias("_min"),
@@ -151,7 +158,7 @@ def density_grid(
         F.stddev_samp("_v").alias("_sd"),
     )
     if bandwidth is None:
-        iqr = exact_quantiles(rows, keys, "_v", [0.25, 0.75]).select(
+        iqr = exact_quantiles(rows, keys, "_v", [0.25, 0.75], reuse=False).select(
             *keys, (F.get("quantiles", F.lit(1)) - F.get("quantiles", F.lit(0))).alias("_iqr")
         )
         width = 0.9 * F.least(F.col("_sd"), F.col("_iqr") / 1.34) * F.pow(F.col("_n"), F.lit(-0.2))
