@@ -490,12 +490,22 @@ s_ok AS (SELECT station, date, discharge FROM s_raw WHERE flag IN ('A', 'N')),
 eligible AS (SELECT station FROM filled GROUP BY 1
   HAVING MIN(date) < DATE '1996-01-01' AND MAX(date) > DATE '2001-01-01'),
 dense AS (SELECT * FROM filled WHERE station IN (SELECT station FROM eligible)
-  AND date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'),
+  AND date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'
+  AND NOT (date < DATE '1996-07-01' AND station IN (SELECT n_name FROM nation WHERE n_regionkey = 1))),
 {MONTHLY.format(k=20)},
+y1 AS (SELECT station, month, year,
+    CASE WHEN year - LAG(year) OVER w <= 4 THEN 0 ELSE 1 END AS fresh
+  FROM monthly WHERE discharge IS NULL WINDOW w AS (PARTITION BY station, month ORDER BY year)),
+y2 AS (SELECT *, SUM(fresh) OVER (PARTITION BY station, month ORDER BY year) AS island FROM y1),
+d1 AS (SELECT station, date, CASE WHEN date - LAG(date) OVER w <= 70 THEN 0 ELSE 1 END AS fresh
+  FROM monthly WHERE discharge IS NULL WINDOW w AS (PARTITION BY station ORDER BY date)),
+d2 AS (SELECT *, SUM(fresh) OVER (PARTITION BY station ORDER BY date) AS island FROM d1),
 bad AS (SELECT station FROM dense GROUP BY 1
     HAVING (COUNT(*) - COUNT(discharge)) / CAST(COUNT(*) AS DOUBLE) > 0.7
   UNION SELECT station FROM monthly GROUP BY station, month
-    HAVING (COUNT(*) - COUNT(discharge)) / CAST(COUNT(*) AS DOUBLE) > 0.6)
+    HAVING (COUNT(*) - COUNT(discharge)) / CAST(COUNT(*) AS DOUBLE) > 0.6
+  UNION SELECT station FROM y2 GROUP BY station, month, island HAVING COUNT(*) > 4
+  UNION SELECT station FROM d2 GROUP BY station, island HAVING COUNT(*) > 4)
 SELECT station, CAST(COUNT(*) AS BIGINT) AS n_days, CAST(COUNT(discharge) AS BIGINT) AS n_values,
   round(SUM(discharge), 2) AS total FROM dense WHERE station NOT IN (SELECT station FROM bad) GROUP BY 1""",
 )
@@ -511,7 +521,8 @@ def screened_flow_query(spark, folder):
         .groupBy("station", F.to_date("l_shipdate").alias("date"))
         .agg(F.sum("l_extendedprice").alias("discharge"), F.min("l_returnflag").alias("flag"))
     )
-    # Gap islands are out of reach here: their SQL is checked by select_stations.
+    rules = table(spark, folder, "nation").filter("n_regionkey = 1")
+    rules = rules.select(F.col("n_name").alias("station"), F.lit(DATE(1996, 7, 1)).alias("min_date"))
     kept = screened_flow(
         raw,
         "station",
@@ -525,7 +536,7 @@ def screened_flow_query(spark, folder):
         max_share=0.7,
         max_month_share=0.6,
         max_missing_days=20,
-        min_len=10_000,
+        trim_rules=rules,
     )
     return kept.groupBy("station").agg(
         F.count(F.lit(1)).alias("n_days"),
