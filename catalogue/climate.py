@@ -18,7 +18,7 @@ from riverspark.functions import (
     variable_from_source,
 )
 from riverspark.operators import clean, climate, reshape, screens
-from riverspark.plans.climate import local_rollups, monthly_table
+from riverspark.plans.climate import catchment_covariates, local_rollups, monthly_table
 from riverspark.sources import append
 
 TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -447,6 +447,65 @@ def melt_timing(spark, folder):
     )
 
 
+def _wide_sql(columns: dict[str, str]) -> str:
+    return ", ".join(
+        f"MAX(CASE WHEN period = '{p}' THEN {e} END) AS {c}_{p}" for c, e in columns.items() for p in PERIODS
+    )
+
+
+@register(
+    "catchment_covariates",
+    f"""WITH {BRAND}, {RANGES}, {dense_sql('s_brand')},
+monthly AS (SELECT station, CAST(year(date) AS INT) AS year, CAST(month(date) AS INT) AS month,
+  AVG(discharge) AS discharge, make_date(CAST(year(date) AS INT), CAST(month(date) AS INT), 15) AS date
+  FROM dense GROUP BY station, year(date), month(date)),
+p AS (SELECT m.*, {PERIOD_SQL} AS period FROM monthly m JOIN ranges r
+  ON r.station = m.station AND m.date BETWEEN r.start AND r."end"),
+annual AS (SELECT station, period, year,
+  CASE WHEN COUNT(discharge) = 12 THEN SUM(discharge) * 0.001 END AS total,
+  CASE WHEN COUNT(discharge) = 12 THEN AVG(discharge) END AS mean
+  FROM p WHERE period IS NOT NULL GROUP BY 1, 2, 3 HAVING COUNT(*) = 12),
+clim AS (SELECT station, period, AVG(total) AS total, AVG(mean) AS mean FROM annual GROUP BY 1, 2),
+parts AS (SELECT station, date, discharge, greatest(discharge - 30000, 0) AS ppt,
+  CASE WHEN discharge <= 30000 THEN 0 ELSE least(greatest(discharge * 0.4 - 20000, 0), discharge - 30000) END AS snow
+  FROM s_brand),
+si AS (SELECT * FROM (WITH {_bounds_sql(152, 304)}, {_days_sql('(SELECT station, date, ppt - snow AS discharge FROM parts)')},
+  season AS (SELECT d.*, SUM(discharge) OVER (PARTITION BY d.station, d.year) AS total
+    FROM days d JOIN bounds b ON b.station = d.station AND d.year BETWEEN first_year AND last_year
+    WHERE period IS NOT NULL AND jday BETWEEN 152 AND 304)
+  SELECT station, period, SUM(abs(discharge - total / 153) / total) AS si FROM season GROUP BY 1, 2)),
+melt AS (SELECT * FROM (WITH {_bounds_sql(60, 182)}, {_days_sql('s_brand')},
+  centres AS (SELECT station, period, year, SUM(jday * discharge) / SUM(discharge) AS centre FROM days
+    WHERE period IS NOT NULL AND jday >= 60 AND jday < 182 AND discharge > 0 GROUP BY 1, 2, 3)
+  SELECT c.station, period, AVG(centre) AS melt_t FROM centres c JOIN bounds b ON b.station = c.station
+    WHERE c.year BETWEEN first_year AND last_year GROUP BY 1, 2)),
+al AS (SELECT station, period, total, mean, si, melt_t FROM clim FULL JOIN si USING (station, period)
+  FULL JOIN melt USING (station, period))
+SELECT station, {_wide_sql({'total': 'round(log10(total), 8)', 'mean': 'round(log10(mean), 8)', 'si': 'round(si, 6)', 'melt_t': 'round(melt_t, 6)'})}
+FROM al GROUP BY 1""",
+)
+def catchment_covariates_query(spark, folder):
+    series = brand_series(spark, folder)
+    monthly = screens.monthly_mean(dense(series), "station", "date", "discharge", 31).select(
+        "station", "date", F.col("discharge").alias("total"), F.col("discharge").alias("mean")
+    )
+    daily = series.select(
+        "station",
+        F.year("date").alias("year"),
+        F.dayofyear("date").alias("jday"),
+        (F.col("discharge") - 30000).alias("ppt"),
+        (F.col("discharge") * 0.4 - 20000).alias("snowfall"),
+        F.col("discharge").alias("snowmelt"),
+    )
+    ranges = _ranges(spark, folder).select(
+        "station", "start", "end", F.explode(F.array(*map(F.lit, PERIODS))).alias("period")
+    )
+    found = catchment_covariates(monthly, daily, ranges, "station", PERIODS, {"total": 0.001}, ["mean"])
+    logs = [F.round(F.log10(f"{c}_{p}"), 8).alias(f"{c}_{p}") for c in ("total", "mean") for p in PERIODS]
+    plain = [F.round(f"{c}_{p}", 6).alias(f"{c}_{p}") for c in ("si", "melt_t") for p in PERIODS]
+    return found.select("station", *logs, *plain)
+
+
 @register(
     "clip_by_period_bounds",
     f"""WITH {BRAND}, {NATION}, {_days_sql('s_brand')},

@@ -72,3 +72,44 @@ def catchment_climate(
     """Mean annual amounts in mm and mean temperature per key and period."""
     fluxes = {c: METRES_TO_MM for c in ("ppt", "snowfall", "rain", "snowmelt")}
     return climate.period_climatology(monthly, ranges, key, fluxes, ["temp"], by=list(by))
+
+
+def catchment_covariates(
+    monthly: DataFrame,
+    daily: DataFrame,
+    ranges: DataFrame,
+    key: str,
+    periods: Mapping[str, tuple[int, int]],
+    fluxes: Mapping[str, float],
+    means: Sequence[str],
+    season: tuple[int, int] = (152, 304),
+    melt: tuple[int, int] = (60, 182),
+) -> DataFrame:
+    """One row of climate covariates per key, each column once per period.
+
+    ``monthly`` has a date and the columns of ``fluxes`` (with unit factors) and
+    ``means``; ``daily`` has year, jday, ppt, snowfall and snowmelt; ``ranges``
+    has start and end per key and period.  Rain is derived from the daily parts;
+    its seasonality index needs whole seasons, melt timing whole melt seasons,
+    which end before ``melt[1]``.
+    """
+    in_period = clean.assign_period(monthly.withColumn("year", F.year("date")), "year", periods)
+    amounts = climate.period_climatology(
+        in_period.drop("year"), ranges, key, dict(fluxes), list(means), by=["period"]
+    ).drop("n_years")
+    days = climate.partition_precip(clean.assign_period(daily, "year", periods))
+
+    def whole(bounds: tuple[int, int]) -> DataFrame:
+        years = climate.full_season_years(ranges, *bounds)
+        return years.select(key, "period", "first_year", "last_year")
+
+    index = climate.seasonality_index(days, key, "rain", whole(season), *season, by=["period"])
+    timing = climate.melt_timing(days, key, "snowmelt", whole(melt), melt[0], melt[1] - 1, by=["period"])
+    tables = []
+    for table in (amounts, index, timing):
+        values = [c for c in table.columns if c not in (key, "period")]
+        long = reshape.to_long(table, [key, "period"], values)
+        named = long.withColumn("variable", F.concat_ws("_", "variable", "period"))
+        levels = [f"{v}_{p}" for v in values for p in periods]
+        tables.append(reshape.to_wide(named, [key], "variable", "value", levels))
+    return clean.assemble(tables, key)
