@@ -616,10 +616,22 @@ def paired_contrast(spark, folder):
     )
 
 
-@register("paired_contrast_limits")
+# The quantile that leaves one twentieth outside, by halving an interval.
+LIMITS = PAIRED.replace("WITH ", "WITH RECURSIVE ", 1).split("SELECT variable, class, CAST(n")[0] + f""",
+b AS (SELECT DISTINCT df, 0.0::DOUBLE AS lo, 1000.0::DOUBLE AS hi, 0 AS i FROM pool
+  UNION ALL SELECT df, CASE WHEN p > 0.05 THEN mid ELSE lo END, CASE WHEN p > 0.05 THEN hi ELSE mid END, i + 1
+  FROM (SELECT *, {T_P} AS p FROM (SELECT *, (lo + hi) / 2 AS mid, atan((lo + hi) / 2 / sqrt(df)) AS th FROM b WHERE i < 60)))
+SELECT variable, class, round(estimate, 6) + 0.0 AS estimate, round(estimate - hi * se, 5) + 0.0 AS lower,
+  round(estimate + hi * se, 5) + 0.0 AS upper FROM t JOIN b ON b.df = t.df AND i = 60"""
+
+
+@register("paired_contrast_limits", LIMITS)
 def paired_contrast_limits(spark, folder):
     found = paired.paired_contrast(differences(spark, folder), "class", by="variable")
-    return found.select("variable", "class", "estimate", "lower", "upper")
+    digits = {"estimate": 6, "lower": 5, "upper": 5}
+    return found.select(
+        "variable", "class", *((F.round(c, d) + 0.0).alias(c) for c, d in digits.items())
+    )
 
 
 @register(
