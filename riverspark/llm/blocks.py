@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riverspark.llm.common import slices
@@ -87,22 +87,35 @@ def has_bit(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (word >> (h & np.uint64(63))) & np.uint64(1) == 1
 
 
+#: Ranges of flagged windows: each place in ``first`` starts ``n`` of them.
+RANGE = "doc_id long, key long, first array<long>, n long"
+
+
+def range_batch(rows: list[tuple]) -> pa.RecordBatch:
+    doc, key, first, n = zip(*rows)
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64())
+    arrays = [pa.array(x, kind) for x, kind in zip((doc, key, first, n), kinds)]
+    return pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "first", "n"])
+
+
 Cut = Callable[[bytes], tuple[np.ndarray, np.ndarray, np.ndarray, Callable[[int, int], bytes]]]
 
 
 def meeting_blocks(
-    docs: DataFrame, cut: Cut, met: Column, crowd: int = 2000, bits: int = 26
+    docs: DataFrame, cut: Cut, two_docs: bool, crowd: int = 2000, bits: int = 26
 ) -> DataFrame:
     """Blocks whose bucket may hold equal windows, with their packed units.
 
     ``docs`` has ``doc_id``, ``text`` and ``key``.  ``cut`` gives the blocks of
-    an encoded text and packs one.  First all buckets are counted; ``met`` tells
-    from ``n`` blocks and the smallest and largest doc_id (``low``, ``high``)
-    which buckets matter.  These go into a bitmap of fixed size; the second look
+    an encoded text and packs one.  First all buckets are counted; those of two
+    blocks, or of blocks of two documents where ``two_docs`` is set, go into a
+    bitmap of fixed size; the second look
     at the texts keeps blocks whose bit is set.  A wrong bit costs time and
     changes nothing.  A second bitmap marks buckets of more than ``crowd`` blocks.
 
-    Columns: ``bucket``, ``crowded``, ``doc_id``, ``key``, ``first``, ``n``, ``packed``.
+    Equal blocks of one text travel as one, with all their places, so that a text
+    that repeats itself does not fill a bucket.  Columns: ``bucket``, ``crowded``,
+    ``doc_id``, ``key``, ``first`` (ascending), ``n``, ``packed``.
     """
     spark = docs.sparkSession
 
@@ -115,17 +128,18 @@ def meeting_blocks(
                     hashes.append(bucket)
                     ids.append(np.full(len(bucket), doc))
                 if hashes:
-                    arrays = [pa.array(np.concatenate(hashes)), pa.array(np.concatenate(ids))]
-                    yield pa.RecordBatch.from_arrays(arrays, ["bucket", "doc_id"])
+                    arrays = [pa.array(np.concatenate(x)) for x in ((hashes, ids) if two_docs else (hashes,))]
+                    yield pa.RecordBatch.from_arrays(arrays, names)
 
     docs = docs.filter("doc_id is not null")
-    buckets = (
-        docs.mapInArrow(count, "bucket long, doc_id long")
-        .groupBy("bucket")
-        .agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-        .filter(met)
-        .select("bucket", (F.col("n") > crowd).alias("crowded"))
-    )
+    names = ["bucket", "doc_id"] if two_docs else ["bucket"]
+    counted = docs.mapInArrow(count, ", ".join(f"{n} long" for n in names)).groupBy("bucket")
+    size = F.count("*").alias("n")
+    if two_docs:
+        met = counted.agg(size, F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
+    else:
+        met = counted.agg(size).filter("n > 1")
+    buckets = met.select("bucket", (F.col("n") > crowd).alias("crowded"))
     folder = f"{shared_folder(spark)}/blocks-{uuid.uuid4().hex}"
     buckets.write.parquet(f"{folder}/buckets")
     buckets = spark.read.parquet(f"{folder}/buckets")
@@ -138,21 +152,26 @@ def meeting_blocks(
                 out = []
                 for doc, text, key in zip(*(part.column(c).to_pylist() for c in (0, 1, 2))):
                     first, n, bucket, pack = cut((text or "").encode("utf-8", "surrogatepass"))
-                    for i in np.flatnonzero(has_bit(meets.value, bucket)).tolist():
-                        out.append((bucket[i], doc, key, first[i], n[i], pack(int(first[i]), int(n[i]))))
+                    places: dict[tuple[int, int, bytes], list[int]] = {}
+                    kept = np.flatnonzero(has_bit(meets.value, bucket))
+                    for b, f, m in zip(bucket[kept].tolist(), first[kept].tolist(), n[kept].tolist()):
+                        places.setdefault((b, m, pack(f, m)), []).append(f)
+                    out += [(b, doc, key, at, m, packed) for (b, m, packed), at in places.items()]
                 if out:
                     bucket, doc, key, first, n, packed = zip(*out)
                     bucket = np.array(bucket)
                     arrays = [
                         pa.array(bucket),
                         pa.array(has_bit(crowds.value, bucket)),
-                        *(pa.array(np.array(x, np.int64)) for x in (doc, key, first, n)),
+                        *(pa.array(np.array(x, np.int64)) for x in (doc, key)),
+                        pa.array(first, pa.list_(pa.int64())),
+                        pa.array(np.array(n, np.int64)),
                         pa.array(packed, pa.binary()),
                     ]
                     names = ["bucket", "crowded", "doc_id", "key", "first", "n", "packed"]
                     yield pa.RecordBatch.from_arrays(arrays, names)
 
-    schema = "bucket long, crowded boolean, doc_id long, key long, first long, n long, packed binary"
+    schema = "bucket long, crowded boolean, doc_id long, key long, first array<long>, n long, packed binary"
     docs.mapInArrow(keep, schema).write.option("compression", "zstd").parquet(f"{folder}/blocks")
     return spark.read.parquet(f"{folder}/blocks")
 
@@ -163,8 +182,10 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b - a)) for a, b in zip(edge[::2], edge[1::2])]
 
 
-def covered(length: int, first: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
+def covered(length: int, firsts: list[list[int]], ns: list[int], width: int) -> np.ndarray:
     """Which of ``length`` units lie in a window of the given ranges of windows."""
+    first = np.concatenate([np.array(f, np.int64) for f in firsts])
+    n = np.repeat(np.array(ns, np.int64), [len(f) for f in firsts])
     change = np.zeros(length + 1, np.int64)
     np.add.at(change, first, 1)
     np.add.at(change, first + n + width - 1, -1)
@@ -172,7 +193,7 @@ def covered(length: int, first: np.ndarray, n: np.ndarray, width: int) -> np.nda
 
 
 def attach_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Join every text with the flagged window ranges of its own (``firsts``, ``ns``), which it bounds."""
+    """Join every text with the flagged window ranges of its own (``first``, ``n``), which it bounds."""
     lists = ranges.groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "n")).alias("ranges"))
     lists = lists.select("doc_id", "key", "ranges.first", "ranges.n")
     return docs.join(lists, ["doc_id", "key"], "left").select("doc_id", "text", "first", "n")

@@ -10,12 +10,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riverspark.llm.blocks import attach_ranges, covered, cut_blocks, keyed, meeting_blocks, mix, range_hashes, runs
+from riverspark.llm.blocks import (
+    RANGE,
+    attach_ranges,
+    covered,
+    cut_blocks,
+    keyed,
+    meeting_blocks,
+    mix,
+    range_batch,
+    range_hashes,
+    runs,
+)
 from riverspark.llm.common import slices, whole_groups
 
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
-RANGE = "doc_id long, key long, first long, n long"
 
 
 def word_cutter(width: int, gram: int):
@@ -67,11 +77,9 @@ def _window_ranges(batches, width: int):
                 if doc > low[packed]:
                     out.append((doc, key, first, n))
                 elif packed in flags:
-                    out += [(doc, key, first + a, m) for a, m in runs(flags[packed])]
+                    out += [(doc, key, [f + a for f in first], m) for a, m in runs(flags[packed])]
         if out:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(x, np.int64)) for x in zip(*out)], ["doc_id", "key", "first", "n"]
-            )
+            yield range_batch(out)
 
 
 def _crowded_ranges(blocks: DataFrame, width: int) -> DataFrame:
@@ -84,10 +92,10 @@ def _crowded_ranges(blocks: DataFrame, width: int) -> DataFrame:
                 words = packed.split(b" ")
                 for i in range(len(words) - width + 1):
                     window = xxhash.xxh3_128_digest(b" ".join(words[i : i + width]))
-                    out.append((window, doc, key, first + i))
+                    out.append((window, doc, key, [f + i for f in first]))
             if out:
-                window, *rest = zip(*out)
-                arrays = [pa.array(window, pa.binary()), *(pa.array(np.array(x, np.int64)) for x in rest)]
+                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                arrays = [pa.array(x, kind) for x, kind in zip(zip(*out), kinds)]
                 yield pa.RecordBatch.from_arrays(arrays, ["window", "doc_id", "key", "first"])
 
     blocks = blocks.withColumn("digest", F.unhex(F.md5("packed")))
@@ -95,7 +103,7 @@ def _crowded_ranges(blocks: DataFrame, width: int) -> DataFrame:
     blocks = blocks.join(low, "digest")
     later = blocks.filter("doc_id > low").select("doc_id", "key", "first", "n")
     firsts = blocks.filter("doc_id = low").select("doc_id", "key", "first", "packed")
-    windows = firsts.mapInArrow(digests, "window binary, doc_id long, key long, first long")
+    windows = firsts.mapInArrow(digests, "window binary, doc_id long, key long, first array<long>")
     low = windows.groupBy("window").agg(F.min("doc_id").alias("low"))
     single = windows.join(low, "window").filter("doc_id > low")
     return later.union(single.select("doc_id", "key", "first", F.lit(1).cast("long").alias("n")))
@@ -108,7 +116,7 @@ def repeated_windows(docs: DataFrame, width: int = 50, gram: int = 8, crowd: int
     sorted and compared in full.  Buckets of more than ``crowd`` blocks are never
     brought together: their blocks and windows are aggregated by digest.
     """
-    blocks = meeting_blocks(docs, word_cutter(width, gram), F.expr("low < high"), crowd)
+    blocks = meeting_blocks(docs, word_cutter(width, gram), two_docs=True, crowd=crowd)
     packed = blocks.filter("not crowded").select("bucket", "doc_id", "key", "first", "n", "packed")
     dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
     ranges = dealt.mapInArrow(lambda batches: _window_ranges(batches, width), RANGE)
@@ -136,7 +144,7 @@ def remove_repeated_windows(
                     words = (text or "").encode("utf-8", "surrogatepass").split()
                     total.append(len(words))
                     if first:
-                        gone = covered(len(words), np.array(first), np.array(n), width)
+                        gone = covered(len(words), first, n, width)
                         words = [w for w, g in zip(words, gone.tolist()) if not g]
                     removed.append(total[-1] - len(words))
                     kept.append(b" ".join(words))

@@ -8,9 +8,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riverspark.llm.blocks import attach_ranges, covered, cut_blocks, keyed, meeting_blocks, range_hashes, runs
+from riverspark.llm.blocks import (
+    RANGE,
+    attach_ranges,
+    covered,
+    cut_blocks,
+    keyed,
+    meeting_blocks,
+    range_batch,
+    range_hashes,
+    runs,
+)
 from riverspark.llm.common import slices, spread, whole_groups
-from riverspark.llm.substrings import RANGE
 
 
 def byte_cutter(width: int, gram: int):
@@ -61,7 +70,9 @@ def doubled_ranks(data: np.ndarray, left: np.ndarray, width: int) -> np.ndarray:
 def _string_ranges(batches, width: int):
     """Flagged ranges of whole buckets: blocks that repeat, then windows inside different blocks."""
     for table in whole_groups(batches, "bucket", 20_000):
-        bucket, doc, key, first, n = (table.column(c).to_numpy() for c in ("bucket", "doc_id", "key", "first", "n"))
+        bucket, doc, key, n = (table.column(c).to_numpy() for c in ("bucket", "doc_id", "key", "n"))
+        places = table.column("first").to_pylist()
+        first = np.array([p[0] for p in places], np.int64)
         codes = table.column("packed").combine_chunks().dictionary_encode()
         kind, strings = codes.indices.to_numpy(), codes.dictionary
         order = np.lexsort((first, doc, kind))
@@ -70,8 +81,9 @@ def _string_ranges(batches, width: int):
         start[kind[head]] = head
         own = start[kind]
         same = (doc == doc[own]) & (first == first[own])
-        later = np.flatnonzero(~same)
-        out = [(doc[later], key[later], first[later], n[later])]
+        # Every place counts behind the first one of the earliest document.
+        again = [p[1:] if s else p for p, s in zip(places, same.tolist())]
+        out = [row for row in zip(doc.tolist(), key.tolist(), again, n.tolist()) if row[2]]
         # Only buckets with different blocks can hold further equal windows.
         _, inverse, count = np.unique(bucket[head], return_inverse=True, return_counts=True)
         head = head[count[inverse] > 1]
@@ -93,23 +105,14 @@ def _string_ranges(batches, width: int):
             flags = np.zeros(len(data), bool)
             flags[some[order[~tied]]] = True
             found = runs(flags)  # a run never leaves a block: its last bytes start no window
-            if found:
-                a, m = np.array(found).T
-                owner = head[block[a]]
-                out.append((doc[owner], key[owner], first[owner] + a - base[block[a]], m))
-                # Rows that repeat a document stand at the same place and share its ranges.
-                twins = np.flatnonzero(same & (own != np.arange(len(own))))
-                by_owner: dict[int, list[int]] = {}
-                for i, o in enumerate(owner.tolist()):
-                    by_owner.setdefault(o, []).append(i)
-                for t in twins.tolist():
-                    for i in by_owner.get(int(own[t]), ()):
-                        o = owner[i]
-                        place = first[o] + a[i] - base[block[a[i]]]
-                        out.append(tuple(np.array([v]) for v in (doc[t], key[t], place, m[i])))
-        columns = [np.concatenate(c) for c in zip(*out)]
-        if len(columns[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "key", "first", "n"])
+            heads: dict[int, list[tuple[int, int]]] = {}
+            for a, m in found:
+                heads.setdefault(int(head[block[a]]), []).append((a - int(base[block[a]]), m))
+            # Rows that repeat a document stand at the same place and share its ranges.
+            for row in np.flatnonzero(same & np.isin(own, list(heads))).tolist():
+                out += [(int(doc[row]), int(key[row]), [int(first[row]) + a], m) for a, m in heads[int(own[row])]]
+        if out:
+            yield range_batch(out)
 
 
 def _crowded_ranges(blocks: DataFrame, width: int) -> DataFrame:
@@ -125,17 +128,20 @@ def _crowded_ranges(blocks: DataFrame, width: int) -> DataFrame:
                 if out:
                     window, *rest = zip(*out)
                     arrays = [pa.array(window, pa.binary()), *(pa.array(np.array(x, np.int64)) for x in rest)]
-                    yield pa.RecordBatch.from_arrays(arrays, ["window", "doc_id", "key", "first"])
+                    yield pa.RecordBatch.from_arrays(arrays, ["window", "doc_id", "key", "start"])
 
-    low = F.min(F.struct("doc_id", "first")).alias("low")
-    later = F.expr("struct(doc_id, first) > low")
-    blocks = blocks.withColumn("digest", F.unhex(F.md5("packed")))
+    low = F.min(F.struct("doc_id", "start")).alias("low")
+    later = F.expr("struct(doc_id, start) > low")
+    blocks = blocks.withColumns({"digest": F.unhex(F.md5("packed")), "start": F.get("first", F.lit(0))})
     blocks = blocks.join(blocks.groupBy("digest").agg(low), "digest")
-    whole = blocks.filter(later).select("doc_id", "key", "first", "n")
-    firsts = blocks.filter(~later).select("doc_id", "key", "first", "packed")
-    windows = firsts.mapInArrow(digests, "window binary, doc_id long, key long, first long")
+    # Every place counts behind the first one of the earliest document.
+    again = F.when(later, F.col("first")).otherwise(F.slice("first", F.lit(2), F.size("first")))
+    whole = blocks.select("doc_id", "key", again.alias("first"), "n").filter(F.size("first") > 0)
+    firsts = blocks.filter(~later).select("doc_id", "key", "start", "packed")
+    windows = firsts.mapInArrow(digests, "window binary, doc_id long, key long, start long")
     single = windows.join(windows.groupBy("window").agg(low), "window").filter(later)
-    return whole.union(single.select("doc_id", "key", "first", F.lit(1).cast("long").alias("n")))
+    one = F.lit(1).cast("long").alias("n")
+    return whole.union(single.select("doc_id", "key", F.array("start").alias("first"), one))
 
 
 def repeated_strings(docs: DataFrame, width: int = 100, gram: int = 32, crowd: int = 5000) -> DataFrame:
@@ -147,7 +153,7 @@ def repeated_strings(docs: DataFrame, width: int = 100, gram: int = 32, crowd: i
     travels.  What meets is ranked by prefix doubling.  Buckets of more than
     ``crowd`` blocks are never brought together but aggregated by digest.
     """
-    blocks = meeting_blocks(docs, byte_cutter(width, gram), F.expr("n > 1"), crowd, bits=27)
+    blocks = meeting_blocks(docs, byte_cutter(width, gram), two_docs=False, crowd=crowd, bits=27)
     packed = blocks.filter("not crowded").select("bucket", "doc_id", "key", "first", "n", "packed")
     dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
     ranges = dealt.mapInArrow(lambda batches: _string_ranges(batches, width), RANGE)
@@ -177,7 +183,7 @@ def remove_repeated_strings(
                     if not first:
                         out.append((len(data), 0, 0, data))
                         continue
-                    gone = covered(len(data), np.array(first), np.array(n), width)
+                    gone = covered(len(data), first, n, width)
                     kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
                     out.append((len(data), len(data) - len(kept), len(runs(gone)), kept))
                 *counts, kept = zip(*out)
