@@ -28,40 +28,71 @@ def points_in_region(
 ) -> DataFrame:
     """The points inside each polygon, with the polygon's id added.
 
-    The height of all polygons is cut into bands.  A point meets only the edges of
-    its own band, which come as one array per polygon and band, so the join is an
-    equality on the band and no point is repeated per edge.  A point is inside when
-    a ray to the right crosses the boundary an odd number of times.
+    The box around all polygons is cut into ``bands`` by ``bands`` cells, and a
+    point meets the polygons of its own cell only.  Cells that no edge touches are
+    decided once, by their centre; only points in touched cells are tested
+    against edges, those of their row of cells.  A point is inside when a ray to
+    the right crosses the boundary an odd number of times.
     """
-    span = edges.agg(
-        F.min(F.least("y1", "y2")).alias("lo"), F.max(F.greatest("y1", "y2")).alias("hi")
+    box = edges.agg(
+        F.min(F.least("x1", "x2")).alias("x_lo"),
+        F.max(F.greatest("x1", "x2")).alias("x_hi"),
+        F.min(F.least("y1", "y2")).alias("y_lo"),
+        F.max(F.greatest("y1", "y2")).alias("y_hi"),
     )
-    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
+    side = {c: box.select(c).scalar() for c in box.columns}
 
-    def band(c):
-        return F.least(F.floor(F.try_divide((c - lo) * bands, hi - lo)), F.lit(bands - 1)).cast("int")
+    def cell(c, axis):
+        lo, hi = side[f"{axis}_lo"], side[f"{axis}_hi"]
+        place = F.floor(F.try_divide((c - lo) * bands, hi - lo))
+        return F.coalesce(F.least(place, F.lit(bands - 1)), F.lit(0)).cast("int")
 
-    slanted = edges.filter(F.col("y1") != F.col("y2"))
-    sliced = (
-        slanted.withColumn(
-            "_band",
-            F.explode(
-                F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2")))
-            ),
-        )
-        .groupBy(poly, "_band")
+    def span(axis):
+        a, b = F.col(f"{axis}1"), F.col(f"{axis}2")
+        return F.explode(F.sequence(cell(F.least(a, b), axis), cell(F.greatest(a, b), axis)))
+
+    def odd(edges_col):
+        def crosses(e):
+            straddles = (e["y1"] > F.col(y)) != (e["y2"] > F.col(y))
+            at = e["x1"] + (F.col(y) - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"])
+            return straddles & (F.col(x) < at)
+
+        return F.coalesce(F.size(F.filter(edges_col, crosses)), F.lit(0)) % 2 == 1
+
+    rows = (
+        edges.filter(F.col("y1") != F.col("y2"))
+        .withColumn("_cy", span("y"))
+        .groupBy(poly, "_cy")
         .agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges"))
     )
-    inside_span = F.col(y).between(lo, hi)
-    banded = points.filter(inside_span & F.col(x).isNotNull()).withColumn("_band", band(F.col(y)))
+    touched = edges.withColumn("_cx", span("x")).select(poly, "_cx", "y1", "y2")
+    touched = touched.withColumn("_cy", span("y")).select(poly, "_cx", "_cy").distinct()
+    index = F.sequence(F.lit(0), F.lit(bands - 1))
 
-    def crosses(e):
-        straddles = (e["y1"] > F.col(y)) != (e["y2"] > F.col(y))
-        at = e["x1"] + (F.col(y) - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"])
-        return straddles & (F.col(x) < at)
+    def centre(axis):
+        lo, hi = side[f"{axis}_lo"], side[f"{axis}_hi"]
+        return lo + (F.col(f"_c{axis}") + 0.5) * (hi - lo) / bands
 
+    # The number of cells is bounded by the arguments and the polygons.
+    grid = edges.select(poly).distinct().withColumn("_cx", F.explode(index)).withColumn("_cy", F.explode(index))
+    inner = (
+        grid.join(touched, [poly, "_cx", "_cy"], "left_anti")
+        .withColumns({x: centre("x"), y: centre("y")})
+        .join(rows, [poly, "_cy"])
+        .filter(odd("_edges"))
+        .select(poly, "_cx", "_cy", F.lit(False).alias("_edge"))
+    )
+    cells = touched.select(poly, "_cx", "_cy", F.lit(True).alias("_edge")).union(inner)
+    inside_box = F.col(x).between(side["x_lo"], side["x_hi"]) & F.col(y).between(side["y_lo"], side["y_hi"])
+    located = (
+        points.filter(inside_box)
+        .withColumns({"_cx": cell(F.col(x), "x"), "_cy": cell(F.col(y), "y")})
+        .join(cells, ["_cx", "_cy"])
+    )
+    rows = rows.select(F.col(poly).alias("_poly"), F.col("_cy").alias("_row"), "_edges")
+    own_row = (F.col(poly) == F.col("_poly")) & (F.col("_cy") == F.col("_row")) & F.col("_edge")
     return (
-        banded.join(sliced, "_band", "inner")
-        .filter(F.size(F.filter("_edges", crosses)) % 2 == 1)
-        .drop("_band", "_edges")
+        located.join(rows, own_row, "left")
+        .filter(~F.col("_edge") | odd("_edges"))
+        .drop("_cx", "_cy", "_edge", "_poly", "_row", "_edges")
     )
