@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalogue import register
-from catalogue.views import BRAND, NATION, brand_series, dense, dense_sql, nation_series, table
+from catalogue.views import BRAND, NATION, brand_series, dense, dense_sql, table
 from riverspark.functions import (
     epoch_to_timestamp,
     glue_label,

@@ -17,7 +17,7 @@ from catalogue.views import (
     table,
     terms_sql,
 )
-from riverspark.operators import clean, events, screens, spectral
+from riverspark.operators import clean, events, spectral
 from riverspark.plans.flow import flow_regime, two_period_metrics
 
 
