@@ -87,6 +87,8 @@ def has_bit(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (word >> (h & np.uint64(63))) & np.uint64(1) == 1
 
 
+#: Buckets are counted by these bits, more than any bitmap of them has; fewer bytes to shuffle.
+_COUNTED = np.int64((1 << 40) - 1)
 #: Ranges of flagged windows: each place in ``first`` starts ``n`` of them.
 RANGE = "doc_id long, key long, first array<long>, n long"
 
@@ -125,7 +127,7 @@ def meeting_blocks(
                 ids, hashes = [], []
                 for doc, text in zip(*(part.column(c).to_pylist() for c in (0, 1))):
                     bucket = cut((text or "").encode("utf-8", "surrogatepass"))[2]
-                    hashes.append(bucket)
+                    hashes.append(bucket & _COUNTED)
                     ids.append(np.full(len(bucket), doc))
                 if hashes:
                     arrays = [pa.array(np.concatenate(x)) for x in ((hashes, ids) if two_docs else (hashes,))]
@@ -192,11 +194,39 @@ def covered(length: int, firsts: list[list[int]], ns: list[int], width: int) ->
     return np.cumsum(change)[:length] > 0
 
 
-def attach_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Join every text with the flagged window ranges of its own (``first``, ``n``), which it bounds."""
+def apply_ranges(docs: DataFrame, ranges: DataFrame, run, schema: str, bits: int = 26) -> DataFrame:
+    """``run`` on batches of ``doc_id``, ``text``, ``first`` and ``n``: every text and its flagged ranges.
+
+    The ranges of a text come as lists, which its length bounds, or NULL.  A bitmap
+    of fixed size holds the texts that have ranges, so that other texts are not
+    shuffled; a wrong bit sends a text through the join, where it finds none.
+    """
+    spark = docs.sparkSession
+    folder = f"{shared_folder(spark)}/ranges-{uuid.uuid4().hex}"
+    ranges.write.parquet(folder)
+    ranges = spark.read.schema(RANGE).parquet(folder)
+    own = F.xxhash64("doc_id", "key").alias("own")
+    sent = spark.sparkContext.broadcast(bitmap(ranges.select(own), "own", bits))
+
+    def flagged(batch: pa.RecordBatch) -> np.ndarray:
+        return has_bit(sent.value, batch.column(3).to_numpy())
+
+    def joined(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(flagged(batch)))
+
+    def plain(batches):
+        for batch in batches:
+            rest = batch.filter(pa.array(~flagged(batch)))
+            lists = (pa.nulls(rest.num_rows, pa.list_(pa.list_(pa.int64()))), pa.nulls(rest.num_rows, pa.list_(pa.int64())))
+            yield from run([pa.RecordBatch.from_arrays([*rest.columns[:2], *lists], ["doc_id", "text", "first", "n"])])
+
+    docs = docs.select("doc_id", "text", "key", own)
     lists = ranges.groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "n")).alias("ranges"))
     lists = lists.select("doc_id", "key", "ranges.first", "ranges.n")
-    return docs.join(lists, ["doc_id", "key"], "left").select("doc_id", "text", "first", "n")
+    some = docs.mapInArrow(joined, "doc_id long, text string, key long, own long")
+    some = some.join(lists, ["doc_id", "key"], "left").select("doc_id", "text", "first", "n")
+    return some.mapInArrow(run, schema).union(docs.mapInArrow(plain, schema))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

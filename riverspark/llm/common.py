@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import itertools
 
 import numpy as np
@@ -34,10 +33,6 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts[owner] + np.arange(len(owner)) - first[owner], owner
 
 
-def sha256(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
-
-
 def fold_of(key: Column, folds: int) -> Column:
     """crc32 of a key as text, modulo ``folds``."""
     return F.crc32(key.cast("string").cast("binary")) % folds

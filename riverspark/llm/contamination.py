@@ -74,7 +74,15 @@ def item_shingles(items: DataFrame, id_col: str, text_col: str, width: int, thre
 
 
 def _matches(
-    docs: DataFrame, items: DataFrame, threshold: float, width: int, id_col: str, text_col: str, item_id: str, item_text: str, bits: int
+    docs: DataFrame,
+    items: DataFrame,
+    threshold: float,
+    width: int,
+    id_col: str,
+    text_col: str,
+    item_id: str,
+    item_text: str,
+    bits: int,
 ) -> DataFrame:
     shingles = item_shingles(items, item_id, item_text, width, threshold)
     spark = docs.sparkSession

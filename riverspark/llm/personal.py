@@ -126,7 +126,9 @@ def redact(text: str, spans: list[tuple[str, int, int, float]]) -> str:
     return "".join([*out, text[last:]])
 
 
-def personal_data(docs: DataFrame, text_col: str = "text", spans_col: str = "spans", redacted_col: str | None = None) -> DataFrame:
+def personal_data(
+    docs: DataFrame, text_col: str = "text", spans_col: str = "spans", redacted_col: str | None = None
+) -> DataFrame:
     """All columns of ``docs``, the spans found, and the redacted text when a name is given; no shuffle.
 
     NULL and empty texts have no spans; a NULL text stays NULL.  Columns of

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from riverspark.llm.blocks import (
     RANGE,
-    attach_ranges,
+    apply_ranges,
     covered,
     cut_blocks,
     keyed,
@@ -152,5 +152,5 @@ def remove_repeated_windows(
                           pa.array(kept, pa.binary()).cast(pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_words", "n_removed", "kept"])
 
-    joined = attach_ranges(docs, repeated_windows(docs, width, gram, crowd))
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    ranges = repeated_windows(docs, width, gram, crowd)
+    return apply_ranges(docs, ranges, run, "doc_id long, n_words long, n_removed long, kept string")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from riverspark.llm.blocks import (
     RANGE,
-    attach_ranges,
+    apply_ranges,
     covered,
     cut_blocks,
     keyed,
@@ -190,5 +190,5 @@ def remove_repeated_strings(
                 arrays = [part.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(kept, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = attach_ranges(docs, repeated_strings(docs, width, gram, crowd))
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    ranges = repeated_strings(docs, width, gram, crowd)
+    return apply_ranges(docs, ranges, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -135,3 +135,18 @@ def test_corpus_is_scored_whole(spark):
     docs = spark.createDataFrame(rows_of(corpus()), SCHEMA)
     learned = docs.select("text", F.col("lang").alias("label"))
     assert language.identify(docs, language.train(learned)).count() == len(corpus())
+
+
+def test_model_size_is_bounded(spark):
+    rows = [(f"{a}{b} " * (1 + i % 7) * 40, "a") for i, (a, b) in enumerate((a, b) for a in "abcdefgh" for b in "abcdefgh")]
+    counts = charlm.count_grams(spark.createDataFrame(rows, "text string, label string"), 3)
+    whole = charlm.gram_tables(counts, 3, 10**6)
+    for most in (60, 20, 1):
+        for table, all_grams in zip(charlm.gram_tables(counts, 3, most), whole):
+            sizes = sum(len(g) for g, _ in table.values())
+            assert sizes <= most
+            for label, (grams, n) in table.items():
+                known = dict(zip(*(x.tolist() for x in all_grams[label])))
+                assert all(known[g] == c for g, c in zip(grams.tolist(), n.tolist()))
+    model = charlm.fit(charlm.gram_tables(counts, 3, 20), 3)
+    assert np.isfinite(model.score(charlm.grams(charlm.letters("abc xyz", 3), 3))).all()
