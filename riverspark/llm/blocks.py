@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riverspark.llm.common import slices
+from riverspark.llm.common import in_small_batches, slices
 from riverspark.session import shared_folder
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -231,6 +231,6 @@ def apply_ranges(docs: DataFrame, ranges: DataFrame, run, schema: str, bits: int
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc_id``, ``text`` and ``key``, which tells rows of one doc_id and different texts apart."""
-    return docs.select(
+    return in_small_batches(docs).select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key")
     )

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riverspark.llm.common import slices
+from riverspark.llm.common import in_small_batches, slices
 from riverspark.session import cut_lineage
 
 _BLANK = 32
@@ -84,7 +84,7 @@ def count_grams(labelled: DataFrame, order: int, room: int = 3_000_000) -> DataF
                     size = distinct
         yield from flush(True)
 
-    rows = labelled.select("text", "label").mapInArrow(run, "label string, gram long, n long")
+    rows = in_small_batches(labelled).select("text", "label").mapInArrow(run, "label string, gram long, n long")
     return rows.groupBy("label", "gram").agg(F.sum("n").alias("n"))
 
 

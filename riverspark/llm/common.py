@@ -10,9 +10,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose texts now go to Python in Arrow batches of at most 16 MB.
+
+    Spark's own bound is four times that, and a batch exists twice per task: once
+    in the JVM, once in Python.  A session that sets another bound keeps it.
+    """
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if conf.get(name) in ("67108864b", "64m", "64MB"):
+        conf.set(name, "16m")
+    return df
+
+
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Two columns, ``doc_id`` and ``text``, whatever else the table has."""
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return in_small_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def bounded_sample(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """Rows of the ``most`` smallest hashes of ``keys``, one row for each.
+
+    Hashes are ranked first, alone, as the rows may be wide: what the last task of
+    the ranking reads are ``most`` numbers from each task.
+    """
+    hashed = rows.withColumn("_hash", F.xxhash64(*keys))
+    ranked = hashed.select("_hash").distinct().orderBy("_hash").limit(most)
+    last = ranked.agg(F.max("_hash")).first()[0]
+    kept = hashed.filter(F.col("_hash") <= F.lit(last)) if last is not None else hashed.filter("false")
+    return kept.dropDuplicates(["_hash"]).drop("_hash")
 
 
 def column(batch: pa.RecordBatch, name: str) -> list:

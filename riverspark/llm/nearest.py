@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riverspark.llm.common import bounded_sample
 from riverspark.session import cut_lineage
 
 PROJECTIONS = 8
@@ -221,7 +222,7 @@ def nearest(
     points = cut_lineage(points)
     asked = usable(queries, id_col, vector_col).dropDuplicates(["vec_id"])
     sizes = {r["s"]: r["n"] for r in points.groupBy(F.size("v").alias("s")).agg(F.count("*").alias("n")).collect()}
-    sample = points.orderBy(F.xxhash64("vec_id")).limit(sample_rows).toArrow().combine_chunks()
+    sample = bounded_sample(points, ["vec_id"], sample_rows).toArrow().combine_chunks()
     shown = {
         size: _matrix(part.column(1)) @ projection(size)
         for batch in sample.to_batches()

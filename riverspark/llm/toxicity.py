@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from riverspark.llm.blocks import bitmap, has_bit
 from riverspark.llm.charlm import Model, count_grams, fit, gram_tables, grams, letters
-from riverspark.llm.common import slices
+from riverspark.llm.common import bounded_sample, in_small_batches, slices
 
 ORDER = 5
 _STRETCH = 200_000
@@ -94,11 +94,11 @@ def train(learn: DataFrame, calibrate: DataFrame, most_grams: int = 4_000_000, c
     """Models from all rows of ``learn``; the decision from at most ``calibration_rows`` of ``calibrate``.
 
     Both have ``text`` and ``label``.  The two must be disjoint: texts the models
-    have seen look surer than new ones.  The rows with the smallest text hashes
-    are taken.  Without both classes every text gets the share of toxic rows.
+    have seen look surer than new ones.  The different texts with the smallest
+    hashes are taken.  Without both classes every text gets the share of toxic rows.
     """
     model = fit(gram_tables(count_grams(learn, ORDER), ORDER, most_grams), ORDER, shared=True)
-    some = calibrate.select("text", "label").orderBy(F.xxhash64("text", "label")).limit(calibration_rows).toArrow()
+    some = bounded_sample(calibrate.select("text", "label"), ["text", "label"], calibration_rows).toArrow()
     truth = np.array([int(label) for label in some.column("label").to_pylist()], float)
     prior = float(min(truth.mean(), 0.49)) if len(truth) else 0.0
     if len(model.labels) < 2:
@@ -117,6 +117,7 @@ def score_texts(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> Data
     learned from, at most 0.49.  Columns of ``docs`` with the new names are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(scorer)
+    docs = in_small_batches(docs)
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")))
 
     def run(batches):
