@@ -43,7 +43,7 @@ class RunCoder:
     encoded again.
     """
 
-    def __init__(self, path: str, room: int = 700_000):
+    def __init__(self, path: str, room: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
