@@ -69,7 +69,7 @@ def doubled_ranks(data: np.ndarray, left: np.ndarray, width: int) -> np.ndarray:
 
 def _string_ranges(batches, width: int):
     """Flagged ranges of whole buckets: blocks that repeat, then windows inside different blocks."""
-    for table in whole_groups(batches, "bucket", 20_000):
+    for table in whole_groups(batches, "bucket", 5_000):
         bucket, doc, key, n = (table.column(c).to_numpy() for c in ("bucket", "doc_id", "key", "n"))
         places = table.column("first").to_pylist()
         first = np.array([p[0] for p in places], np.int64)
@@ -99,7 +99,8 @@ def _string_ranges(batches, width: int):
             where = first[owner] + some - base[block[some]]
             order = np.lexsort((where, doc[owner], rank[some]))
             group = rank[some][order]
-            lead = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            # Blocks may share a minimiser and no window: then nothing is ranked.
+            lead = np.flatnonzero(np.r_[True, group[1:] != group[:-1]][: len(group)])
             lead = np.repeat(order[lead], np.diff(np.r_[lead, len(group)]))
             tied = (doc[owner][lead] == doc[owner][order]) & (where[lead] == where[order])
             flags = np.zeros(len(data), bool)

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from llm.helpers import SCHEMA, corpus, rows_of, slow_components, slow_fingerprint, slow_strings, slow_windows
+from llm.helpers import SCHEMA, corpus, rows_of, sentences, slow_components, slow_fingerprint, slow_strings, slow_windows
 from riverspark.llm import simhash, substrings, suffixes
 from riverspark.llm.components import components
 
@@ -82,6 +82,17 @@ def test_doubling_agrees_with_whole_strings():
             assert {int(ranks[j]) for j in twins} == {int(ranks[i])}
 
 
+def test_shared_minimisers_without_shared_strings(spark):
+    """A passage under 100 bytes meets in one bucket and removes nothing."""
+    passage = sentences(9, 14)[:70]
+    rows = [(i, f"{sentences(20 + i, 60)} {passage} {sentences(60 + i, 60)}", "en") for i in range(3)]
+    got = suffixes.remove_repeated_strings(spark.createDataFrame(rows_of(rows), SCHEMA)).collect()
+    assert [r.n_removed for r in got] == [0, 0, 0]
+    short = [(i, f"{sentences(20 + i, 60)} {' '.join(sentences(9, 20).split())} {sentences(60 + i, 60)}", "en") for i in range(3)]
+    got = substrings.remove_repeated_windows(spark.createDataFrame(rows_of(short), SCHEMA)).collect()
+    assert [r.n_removed for r in got] == [0, 0, 0]
+
+
 def test_rows_without_id_and_empty_tables(spark):
     text = " ".join(f"w{i}" for i in range(80))
     odd = spark.createDataFrame(rows_of([(None, text, "en"), (1, text, "en"), (None, None, None)]), SCHEMA)
