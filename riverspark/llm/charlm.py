@@ -48,7 +48,7 @@ def grams(chars: np.ndarray, order: int) -> np.ndarray:
     return packed
 
 
-def count_grams(labelled: DataFrame, order: int, room: int = 3_000_000) -> DataFrame:
+def count_grams(labelled: DataFrame, order: int, room: int = 1_000_000) -> DataFrame:
     """``label``, ``gram``, ``n`` over all rows of ``text`` and ``label`` (a string).
 
     Tasks add up their own rows before the shuffle, and at every ``room`` grams.
