@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riverspark.llm.blocks import bitmap, has_bit
-from riverspark.llm.charlm import Model, count_grams, fit, gram_tables, grams, letters
+from riverspark.llm.charlm import Known, ShardedModel, count_grams, fit_shards, looked_up
 from riverspark.llm.common import bounded_sample, in_small_batches, slices
 
 ORDER = 5
 _STRETCH = 200_000
 
 
-def evidence(model: Model, text: str | None) -> np.ndarray | None:
+def evidence(model: Known, packed: np.ndarray) -> np.ndarray | None:
     """What the two models say about a text; None when it has no letter.
 
     Mean log-likelihood ratio per letter, that of the strongest word, the mean of
@@ -25,7 +25,6 @@ def evidence(model: Model, text: str | None) -> np.ndarray | None:
     scored whole: rare ones share letters with known ones, and where a class has
     not seen a context both classes use the same backoff counts.
     """
-    packed = grams(letters(text, ORDER), ORDER)
     if not len(packed):
         return None
     toxic, other = model.labels.index("1"), model.labels.index("0")
@@ -42,12 +41,12 @@ def evidence(model: Model, text: str | None) -> np.ndarray | None:
 
 @dataclass
 class Scorer:
-    model: Model
+    model: ShardedModel
     weights: np.ndarray  # of the evidence, intercept last
     prior: float
 
-    def score(self, text: str | None) -> float:
-        found = evidence(self.model, text) if len(self.model.labels) == 2 else None
+    def score(self, packed: np.ndarray, known: Known) -> float:
+        found = evidence(known, packed) if len(self.model.labels) == 2 else None
         if found is None:
             return self.prior
         return float(1 / (1 + np.exp(-np.clip(found @ self.weights[:-1] + self.weights[-1], -500, 500))))
@@ -90,20 +89,22 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, bits: int = 26) -> DataFr
     return rows.mapInArrow(keep, "doc_id long, text string, h long").join(labels.hint("merge"), "doc_id").drop("h")
 
 
-def train(learn: DataFrame, calibrate: DataFrame, most_grams: int = 4_000_000, calibration_rows: int = 5000) -> Scorer:
+def train(
+    learn: DataFrame, calibrate: DataFrame, calibration_rows: int = 5000, shard_bytes: int = 64_000_000
+) -> Scorer:
     """Models from all rows of ``learn``; the decision from at most ``calibration_rows`` of ``calibrate``.
 
     Both have ``text`` and ``label``.  The two must be disjoint: texts the models
     have seen look surer than new ones.  The different texts with the smallest
     hashes are taken.  Without both classes every text gets the share of toxic rows.
     """
-    model = fit(gram_tables(count_grams(learn, ORDER), ORDER, most_grams), ORDER, shared=True)
+    model = fit_shards(count_grams(learn, ORDER), ORDER, shared=True, shard_bytes=shard_bytes)
     some = bounded_sample(calibrate.select("text", "label"), ["text", "label"], calibration_rows).toArrow()
     truth = np.array([int(label) for label in some.column("label").to_pylist()], float)
     prior = float(min(truth.mean(), 0.49)) if len(truth) else 0.0
     if len(model.labels) < 2:
         return Scorer(model, np.zeros(5), prior)
-    found = [evidence(model, text) for text in some.column("text").to_pylist()]
+    found = [evidence(known, packed) for packed, known in looked_up(model, some.column("text").to_pylist())]
     usable = np.array([f is not None for f in found], bool)
     if len(set(truth[usable].tolist())) < 2:
         return Scorer(model, np.array([0, 0, 0, 0, np.log((prior + 1e-6) / (1 - prior))]), prior)
@@ -116,7 +117,6 @@ def score_texts(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> Data
     NULL and texts without a letter get the share of toxic rows among those
     learned from, at most 0.49.  Columns of ``docs`` with the new names are replaced.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(scorer)
     docs = in_small_batches(docs)
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")))
 
@@ -124,7 +124,8 @@ def score_texts(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> Data
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             for part in slices(batch):
-                scores = np.array([sent.value.score(text) for text in part.column(at).to_pylist()], float)
+                texts = looked_up(scorer.model, part.column(at).to_pylist())
+                scores = np.array([scorer.score(packed, known) for packed, known in texts], float)
                 arrays = [pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *arrays], [*part.schema.names, "score", "predicted"])
 

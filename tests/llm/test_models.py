@@ -1,6 +1,7 @@
 """Character models, language identification and toxicity."""
 
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -150,3 +151,34 @@ def test_model_size_is_bounded(spark):
                 assert all(known[g] == c for g, c in zip(grams.tolist(), n.tolist()))
     model = charlm.fit(charlm.gram_tables(counts, 3, 20), 3)
     assert np.isfinite(model.score(charlm.grams(charlm.letters("abc xyz", 3), 3))).all()
+
+
+def test_shards_equal_the_whole_model(spark):
+    texts = {"a": [sentences(i, 30, "abcd") for i in range(4)], "b": [sentences(i, 30, "cdef") for i in range(3)]}
+    rows = [(t, label) for label, many in texts.items() for t in many]
+    counts = charlm.count_grams(spark.createDataFrame(rows, "text string, label string"), 4)
+    packed = charlm.grams(charlm.letters("abca bcdf zzz fed é " + texts["b"][0], 4), 4)
+    for shared in (False, True):
+        whole = charlm.fit(charlm.gram_tables(counts, 4, 10**6), 4, shared).score(packed)
+        one = charlm.fit_shards(counts, 4, shared)
+        few = charlm.fit_shards(counts, 4, shared, shard_bytes=2000, held_bytes=4000)
+        assert one.labels == few.labels == ["a", "b"]
+        assert len(one.levels[3][0]) == 1 and len(few.levels[3][0]) > 3
+        assert {shard.held for level in few.levels for shards in level for shard in shards} == {True, False}
+        np.testing.assert_allclose(one.score(packed), whole, atol=1e-4)
+        np.testing.assert_array_equal(one.score(packed), few.score(packed))
+
+
+def test_many_grams_of_one_language_leave_the_others_whole(spark):
+    """More grams, each seen as often, than a model once kept: small languages of the same letters stay apart."""
+    draw = random.Random(1)
+    wide = "".join(draw.choices([chr(c) for c in range(0x4E00, 0x9E00)], k=2_300_000))
+    line = draw.sample([chr(c) for c in range(0xAC00, 0xC000)], 2000)
+    there, back = "".join(line), "".join(line[::-1])
+    rows = [(i, wide[i * 100_000 : (i + 1) * 100_000], "wide") for i in range(23)] + [(30, there, "there"), (31, back, "back")]
+    learned = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    asked = [(i, there[i * 100 : i * 100 + 90], "there") for i in range(10)]
+    asked += [(10 + i, back[i * 100 : i * 100 + 90], "back") for i in range(10)]
+    docs = spark.createDataFrame(asked, "doc_id long, text string, truth string")
+    got = language.identify(docs, language.train(learned)).collect()
+    assert [r.lang_pred for r in got] == [r.truth for r in got]
