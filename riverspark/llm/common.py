@@ -28,7 +28,12 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
 
 def bounded_sample(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """Rows of the ``most`` smallest hashes of ``keys``, one row for each.
+    """Rows of the ``most`` smallest hashes of ``keys``, one row for each."""
+    return sample_and_rest(rows, keys, most)[0]
+
+
+def sample_and_rest(rows: DataFrame, keys: list[str], most: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of the ``most`` smallest hashes of ``keys``, one row for each; and all rows of larger hashes.
 
     Hashes are ranked first, alone, as the rows may be wide: what the last task of
     the ranking reads are ``most`` numbers from each task.
@@ -36,8 +41,10 @@ def bounded_sample(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
     hashed = rows.withColumn("_hash", F.xxhash64(*keys))
     ranked = hashed.select("_hash").distinct().orderBy("_hash").limit(most)
     last = ranked.agg(F.max("_hash")).first()[0]
-    kept = hashed.filter(F.col("_hash") <= F.lit(last)) if last is not None else hashed.filter("false")
-    return kept.dropDuplicates(["_hash"]).drop("_hash")
+    if last is None:
+        return rows.filter("false"), rows.filter("false")
+    kept = hashed.filter(F.col("_hash") <= F.lit(last))
+    return kept.dropDuplicates(["_hash"]).drop("_hash"), hashed.filter(F.col("_hash") > F.lit(last)).drop("_hash")
 
 
 def column(batch: pa.RecordBatch, name: str) -> list:

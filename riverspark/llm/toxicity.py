@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from riverspark.llm.blocks import bitmap, has_bit
 from riverspark.llm.charlm import Known, ShardedModel, count_grams, fit_shards, looked_up
-from riverspark.llm.common import bounded_sample, in_small_batches, slices
+from riverspark.llm.common import in_small_batches, sample_and_rest, slices
 
 ORDER = 5
 _STRETCH = 200_000
@@ -92,14 +92,15 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, bits: int = 26) -> DataFr
 def train(
     learn: DataFrame, calibrate: DataFrame, calibration_rows: int = 5000, shard_bytes: int = 64_000_000
 ) -> Scorer:
-    """Models from all rows of ``learn``; the decision from at most ``calibration_rows`` of ``calibrate``.
+    """The decision from at most ``calibration_rows`` of ``calibrate``; models from all other rows of both.
 
     Both have ``text`` and ``label``.  The two must be disjoint: texts the models
     have seen look surer than new ones.  The different texts with the smallest
-    hashes are taken.  Without both classes every text gets the share of toxic rows.
+    hashes decide, and neither they nor their copies in ``calibrate`` are counted.  Without both classes every text gets the share of toxic rows.
     """
+    some, rest = sample_and_rest(calibrate.select("text", "label"), ["text", "label"], calibration_rows)
+    some, learn = some.toArrow(), learn.select("text", "label").union(rest)
     model = fit_shards(count_grams(learn, ORDER), ORDER, shared=True, shard_bytes=shard_bytes)
-    some = bounded_sample(calibrate.select("text", "label"), ["text", "label"], calibration_rows).toArrow()
     truth = np.array([int(label) for label in some.column("label").to_pylist()], float)
     prior = float(min(truth.mean(), 0.49)) if len(truth) else 0.0
     if len(model.labels) < 2:

@@ -182,3 +182,14 @@ def test_many_grams_of_one_language_leave_the_others_whole(spark):
     docs = spark.createDataFrame(asked, "doc_id long, text string, truth string")
     got = language.identify(docs, language.train(learned)).collect()
     assert [r.lang_pred for r in got] == [r.truth for r in got]
+
+
+def test_rows_beyond_the_calibration_sample_are_learned(spark):
+    known = [(sentences(i, 40), str(int(i < 20))) for i in range(60)]
+    new = [(f"{sentences(100 + i, 40)} vyzzuq", "1") for i in range(30)] + [(sentences(200 + i, 40), "0") for i in range(30)]
+    learn, calibrate = (spark.createDataFrame(rows, "text string, label string") for rows in (known, new))
+    word = charlm.grams(charlm.letters("vyzzuq", toxicity.ORDER), toxicity.ORDER)
+    likely = {}
+    for most in (4, 60):
+        likely[most] = toxicity.train(learn, calibrate, calibration_rows=most).model.score(word)[:, 1].sum()
+    assert likely[4] > -15 and likely[60] < -30
