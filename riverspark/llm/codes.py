@@ -44,29 +44,35 @@ def walsh_hadamard(values: np.ndarray) -> np.ndarray:
 def nearest_entries(parts: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per row its nearest entry, ties to the lower number, and the squared distance; whole numbers throughout.
 
-    The first coefficient is compared with every entry; the best entry by it is
-    summed up in full and bounds the search.  Further coefficients, in blocks of
-    doubling size, are added only for entries whose sum does not exceed the
-    bound yet.
+    The first two coefficients are compared with every entry.  The entry nearest by
+    those compared so far, summed up in full, bounds the search; entries whose sum
+    exceeds the bound are dropped, and the rest is compared by twice as many
+    coefficients, until all are.
     """
     mine, theirs = walsh_hadamard(parts), walsh_hadamard(entries)
-    size = mine.shape[1]
-    partial = (mine[:, :1] - theirs[None, :, 0]) ** 2
+    by_place, entries_by_place = np.ascontiguousarray(mine.T), np.ascontiguousarray(theirs.T)
+    size, count, rows = mine.shape[1], len(theirs), np.arange(len(mine))
+    done = min(2, size)
+    partial = sum((by_place[k][:, None] - entries_by_place[k]) ** 2 for k in range(done))
     bound = ((mine - theirs[partial.argmin(axis=1)]) ** 2).sum(axis=1)
-    row, entry = np.nonzero(partial <= bound[:, None])
-    total = partial[row, entry]
-    done, block = 1, 1
+    left = np.flatnonzero(partial <= bound[:, None])
+    row, total = left // count, partial.ravel()[left]
+    entry = left - row * count
     while done < size:
-        to = min(size, done + block)
-        total = total + ((mine[row, done:to] - theirs[entry, done:to]) ** 2).sum(axis=1)
-        left = total <= bound[row]
-        row, entry, total = row[left], entry[left], total[left]
-        done, block = to, 2 * block
-    starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])[: len(row)])
-    best = np.minimum.reduceat(total, starts) if len(starts) else total
-    hit = np.flatnonzero(total == best[row])
-    first = hit[np.searchsorted(row[hit], np.arange(len(parts)))]
-    return entry[first], best // size
+        to = min(size, 2 * done)
+        for k in range(done, to):
+            gap = by_place[k][row] - entries_by_place[k][entry]
+            total += gap * gap
+        done = to
+        best = np.minimum.reduceat(total, np.searchsorted(row, rows)) if len(rows) else total
+        if done < size:
+            first = np.flatnonzero(total == best[row])
+            first = first[np.searchsorted(row[first], rows)]
+            best = ((mine - theirs[entry[first]]) ** 2).sum(axis=1)
+        bound = np.minimum(bound, best)
+        kept = total <= bound[row]
+        row, entry, total = row[kept], entry[kept], total[kept]
+    return entry[np.searchsorted(row, rows)], bound // size
 
 
 @dataclass
