@@ -24,7 +24,7 @@ def word_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce(F.regexp_count(text_col, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
         F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit("")).alias("text"),
     )
-    alike = rows.groupBy("doc_id", "source", "size", "text").agg(F.count("*").alias("rows"))
+    alike = cut_lineage(rows.groupBy("doc_id", "source", "size", "text").agg(F.count("*").alias("rows")))
     # Few rows are alike as a rule; a great number of them is dealt out in blocks first.
     block = F.explode(F.expr("sequence(0L, rows - 1, 65536L)")).alias("from")
     many = alike.filter("rows > 65536").select("*", block).repartition("doc_id", "source", "text", "from")
@@ -85,7 +85,7 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= _SMALL else table
 
 
-def _last_taken(rows: DataFrame, budgets: DataFrame, few: int = 50_000) -> DataFrame:
+def _last_taken(rows: DataFrame, budgets: DataFrame, few: int = 2_000) -> DataFrame:
     """``source, last_rank, last_draw``: the last row each source's budget reaches, in order of (rank, draw).
 
     A row is reached if the words before it and half its own fit.  Words are
