@@ -244,7 +244,7 @@ def permanova_p(spark, folder):
 def permanova_p_bucketed(spark, folder):
     """Same result by the path for large groups, with buckets small enough to test it."""
     found = permanova.permanova(
-        vectors(spark, folder), "vec_id", "label", RESPONSES, n_perm=N_PERM, rows_per_bucket=16, draw="md5"
+        vectors(spark, folder), "vec_id", "label", RESPONSES, n_perm=N_PERM, whole_rows=16, draw="md5"
     )
     return found.withColumn("f_stat", F.round("f_stat", 6))
 

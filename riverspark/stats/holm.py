@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riverspark.columns import as_list
+from riverspark.columns import as_list, join_groups
+from riverspark.operators.scan import in_ranges, running
+from riverspark.session import cut_lineage
+from riverspark.stats.attach import attach
 
 
 def holm(
@@ -15,13 +18,21 @@ def holm(
 ) -> DataFrame:
     """Step-down adjustment within each family; NULL p-values are no tests.
 
-    Takes a table of test results, one row per test.
+    Takes a table of test results, one row per test, which is written once.  Equal
+    p-values have one adjusted value, so each family's distinct values are counted
+    and put in ranges; numbers of tests and the largest step so far are carried from
+    range to range.  Neither a large family nor a frequent p-value lands in one task.
     """
     names = as_list(family)
-    tested = F.col(p).isNotNull()
-    group = Window.partitionBy(*(names or [F.lit(0)]), tested)
-    down = group.orderBy(p).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    factor = F.count(F.lit(1)).over(group) - F.row_number().over(group.orderBy(p)) + 1
-    stepped = df.withColumn("_step", factor * F.col(p))
-    adjusted = F.least(F.lit(1.0), F.max("_step").over(down))
-    return stepped.withColumn(into, F.when(tested, adjusted)).drop("_step")
+    tests = cut_lineage(df)
+    counted = tests.filter(F.col(p).isNotNull()).groupBy(*names, F.col(p).alias("_p")).agg(F.count("*").alias("_k"))
+    ranged = in_ranges(counted, names, ["_p"])
+    sizes = F.sum("_k").alias("_m")
+    sizes = ranged.groupBy(*names).agg(sizes) if names else ranged.agg(sizes)
+    ranked = attach(running(ranged, names, ["_p"], "_upto", F.col("_k")), sizes, names)
+    # The first of equal values has the largest factor: all tests but those before it.
+    step = (F.col("_m") - F.col("_upto") + F.col("_k")) * F.col("_p")
+    stepped = running(ranked, names, ["_p"], "_step", step, "max")
+    adjusted = stepped.select(*names, F.col("_p").alias(p), F.least(F.lit(1.0), F.col("_step")).alias(into))
+    rest = tests.drop(into) if into in tests.columns else tests
+    return join_groups(rest, adjusted, [*names, p], "left")

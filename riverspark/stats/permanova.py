@@ -1,11 +1,7 @@
 """Permutation analysis of variance on Euclidean distances.
 
 For Euclidean distances the pseudo-F statistic needs only group sums, so no
-distance matrix is built.  A permutation deals the factor levels, in fixed
-numbers, to the rows in the order of a hash of (seed, permutation, row id).  A group
-with many rows is never put in that order as a whole: its rows are counted in hash
-buckets, buckets inside one level are summed as they are, and only the few buckets
-that a level boundary cuts are ranked row by row.
+distance matrix is built; ``permuting`` has the sums of every permutation.
 """
 
 from __future__ import annotations
@@ -22,10 +18,10 @@ from riverspark.operators.clean import unordered_pairs
 from riverspark.session import cut_lineage
 from riverspark.stats.attach import attach
 from riverspark.stats.holm import holm
+from riverspark.stats.permuting import partitions, permuted_sums, sums_by_level, two_levels
 
 # Permuted statistics this close below the observed one count as equal.
 TOLERANCE = 1.5e-8
-_PREFIX_SPACE = 1 << 20  # five hexadecimal digits
 
 
 def _numbered(responses: Sequence[str]) -> list[str]:
@@ -75,12 +71,6 @@ def _statistic() -> Column:
     )
 
 
-def _level_sums(rows: DataFrame, keys: Sequence[str], xs: Sequence[str]) -> DataFrame:
-    return rows.groupBy(*keys, "_level").agg(
-        row_count().alias("_n_level"), *(F.sum(x).alias(x) for x in xs)
-    )
-
-
 def _degrees() -> list[Column]:
     return [
         (F.col("_a") - 1).cast("int").alias("df_factor"),
@@ -97,7 +87,7 @@ def permanova_f(
     xs = _numbered(responses)
     rows = _standard(df, factor, responses, {c: c for c in families_by})
     families = _families(rows, families_by, xs)
-    sums = _level_sums(_centred(rows, families, families_by, xs), families_by, xs)
+    sums = sums_by_level(_centred(rows, families, families_by, xs), families_by, xs)
     between = _between(xs).alias("_ssb")
     between = sums.groupBy(*families_by).agg(between) if families_by else sums.agg(between)
     return attach(between, families, families_by).select(
@@ -105,113 +95,6 @@ def permanova_f(
     )
 
 
-# How rows are put in a random order: hash of (seed, permutation, id), and the first
-# 20 bits of that order as a number.
-_DRAWS = {
-    "xxhash64": (
-        lambda seed, perm, ident: F.xxhash64(F.lit(seed), perm, ident),
-        lambda order: F.shiftright(order, 44) + _PREFIX_SPACE // 2,
-    ),
-    "md5": (
-        lambda seed, perm, ident: F.md5(F.concat_ws(":", F.lit(seed), perm.cast("string"), ident)),
-        lambda order: F.conv(F.left(order, F.lit(5)), 16, 10).cast("long"),
-    ),
-}
-
-
-def _deal(
-    rows: DataFrame, by: Sequence[str], partitions: int, n_perm: int, seed: str, draw: str
-) -> DataFrame:
-    """Every row once per permutation, with its place in the hash order.
-
-    Rows are spread by their id before they are repeated: neither the cores nor the
-    later shuffle on (unit, permutation) then depend on how rows fall into families.
-    """
-    order, _ = _DRAWS[draw]
-    return (
-        rows.repartition(partitions, *by, "_id")
-        .withColumn("_perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
-        .withColumn("_order", order(seed, F.col("_perm"), F.col("_id")))
-    )
-
-
-def _level_at(lo: Column, hi: Column) -> Column:
-    """Level whose rank range holds the ranks above ``lo`` up to ``hi``, else NULL."""
-    fits = F.filter("_levels", lambda r: (r["lo"] <= lo) & (hi <= r["hi"]))
-    return F.get(fits, F.lit(0))["level"]
-
-
-def _sums_ranked(dealt: DataFrame, cell: Sequence[str], by: Sequence[str], xs: Sequence[str]) -> DataFrame:
-    """Level sums when rows are ranked inside cells; ``_lo`` is the rank before a cell."""
-    rank = F.row_number().over(Window.partitionBy(*cell).orderBy("_order", "_id"))
-    placed = dealt.withColumn("_place", rank + F.col("_lo"))
-    named = placed.withColumn("_level", _level_at(F.col("_place") - 1, F.col("_place")))
-    return _level_sums(named, [*by, "_perm"], xs)
-
-
-def _sums_bucketed(
-    dealt: DataFrame,
-    units: DataFrame,
-    by: Sequence[str],
-    unit: Sequence[str],
-    xs: Sequence[str],
-    draw: str,
-) -> DataFrame:
-    """Level sums by counting hash buckets first and ranking only the cut ones."""
-    cell = [*unit, "_perm", "_bucket"]
-    _, prefix = _DRAWS[draw]
-    bucket = F.floor(prefix(F.col("_order")) * F.col("_buckets") / _PREFIX_SPACE)
-    dealt = dealt.withColumn("_bucket", bucket.cast("int")).drop("_buckets")
-    # At most 2^20 buckets per unit and permutation are windowed.
-    along = Window.partitionBy(*unit, "_perm").orderBy("_bucket")
-    counted = (
-        dealt.groupBy(*cell)
-        .agg(row_count().alias("_k"), *(F.sum(x).alias(x) for x in xs))
-        .withColumn("_hi", F.sum("_k").over(along))
-        .withColumn("_lo", F.col("_hi") - F.col("_k"))
-    )
-    levels = units.select(*unit, "_levels")
-    counted = attach(counted, levels, unit).withColumn(
-        "_level", _level_at(F.col("_lo"), F.col("_hi"))
-    )
-    counted = cut_lineage(counted.drop("_levels", "_hi"))
-    inside = counted.filter(F.col("_level").isNotNull()).select(
-        *by, "_perm", "_level", F.col("_k").alias("_n_level"), *xs
-    )
-    cut = counted.filter(F.col("_level").isNull()).select(*cell, "_lo")
-    split = _sums_ranked(attach(dealt.join(cut, cell, "inner"), levels, unit), cell, by, xs)
-    return (
-        inside.unionByName(split)
-        .groupBy(*by, "_perm", "_level")
-        .agg(F.sum("_n_level").alias("_n_level"), *(F.sum(x).alias(x) for x in xs))
-    )
-
-
-def _units(rows: DataFrame, unit: Sequence[str], rows_per_bucket: int) -> DataFrame:
-    """Per permutation unit: rank range of each level and number of hash buckets."""
-    levels = rows.groupBy(*unit, "_level").agg(row_count().alias("_k"))
-    entries = F.array_sort(F.collect_list(F.struct("_level", "_k")))
-    gathered = levels.groupBy(*unit).agg(entries.alias("_e")) if unit else levels.agg(entries.alias("_e"))
-
-    def total(upto: Column) -> Column:
-        return F.aggregate(
-            F.slice("_e", F.lit(1), upto), F.lit(0).cast("bigint"), lambda acc, e: acc + e["_k"]
-        )
-
-    ranges = F.transform(
-        "_e",
-        lambda e, i: F.struct(
-            e["_level"].alias("level"), total(i).alias("lo"), total(i + 1).alias("hi")
-        ),
-    )
-    wanted = F.ceil(total(F.size("_e")) / F.lit(rows_per_bucket))
-    return gathered.select(
-        *unit,
-        ranges.alias("_levels"),
-        F.least(wanted, F.lit(_PREFIX_SPACE)).cast("int").alias("_buckets"),
-    )
-
-
 def permanova(
     df: DataFrame,
     ident: str,
@@ -222,7 +105,7 @@ def permanova(
     strata: str | None = None,
     n_perm: int = 999,
     seed: str = "0",
-    rows_per_bucket: int = 4096,
+    whole_rows: int = 4096,
     draw: str = "xxhash64",
 ) -> DataFrame:
     """K6, K7: pseudo-F with a permutation p-value, for one or many families at once.
@@ -230,35 +113,25 @@ def permanova(
     ``by`` splits the rows into independent tests.  ``strata`` restricts the
     permutation to rows of the same stratum.  ``ident`` identifies a row within its
     family.  Rows with a NULL are left out.  The test reads its rows several times,
-    so their narrow table is written once to the checkpoint folder.  ``draw`` names
+    so their narrow table is written to the checkpoint folder.  ``draw`` names
     the hash that orders the rows: ``xxhash64`` is fast, ``md5`` can be repeated
-    outside Spark.
+    outside Spark.  Families or strata of at most ``whole_rows`` rows are ranked in
+    one task each; larger ones are never gathered or sorted.
     """
     families_by = as_list(by)
-    unit = [*families_by, *(["_stratum"] if strata else [])]
     xs = _numbered(responses)
     keep = {c: c for c in families_by} | {"_id": ident}
     if strata:
         keep["_stratum"] = strata
     rows = _standard(df, factor, responses, keep).withColumn("_id", F.col("_id").cast("string"))
-    rows = cut_lineage(rows)
-    families = _families(rows, families_by, xs)
-    units = _units(rows, unit, rows_per_bucket)
-    centred = _centred(rows, families, families_by, xs)
-    spark = df.sparkSession
-    partitions = max(
-        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Spread by id: the work per permutation then does not depend on how rows fall into files or families.
+    rows = cut_lineage(rows if strata else rows.repartition(partitions(df.sparkSession), *families_by, "_id"))
+    families = cut_lineage(_families(rows, families_by, xs))
+    centred = cut_lineage(_centred(rows, families, families_by, xs)) if families_by else _centred(rows, families, [], xs)
+    sums = permuted_sums(
+        centred, families_by, xs, strata=strata is not None, n_perm=n_perm, seed=seed, draw=draw, whole_rows=whole_rows
     )
-    bare = centred.drop("_level")
-    if units.filter("_buckets > 1").isEmpty():
-        ready = attach(bare, units.select(*unit, "_levels"), unit).withColumn("_lo", F.lit(0))
-        dealt = _deal(ready, families_by, partitions, n_perm, seed, draw)
-        sums = _sums_ranked(dealt, [*unit, "_perm"], families_by, xs)
-    else:
-        ready = attach(bare, units.select(*unit, "_buckets"), unit)
-        dealt = _deal(ready, families_by, partitions, n_perm, seed, draw)
-        sums = _sums_bucketed(dealt, units, families_by, unit, xs, draw)
-    observed = _level_sums(centred, families_by, xs).withColumn("_perm", F.lit(0))
+    observed = sums_by_level(centred, families_by, xs).withColumn("_perm", F.lit(0))
     between = (
         sums.unionByName(observed).groupBy(*families_by, "_perm").agg(_between(xs).alias("_ssb"))
     )
@@ -285,17 +158,6 @@ def _summary(statistics: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def _pairs_wide(rows: DataFrame, by: Sequence[str], xs: Sequence[str]) -> DataFrame:
-    """One row per stratum: values at its lower (``_a``) and higher (``_b``) level."""
-    return rows.groupBy(*by, "_stratum").agg(
-        row_count().alias("_k"),
-        F.min("_level").alias("_first"),
-        F.max("_level").alias("_last"),
-        *(F.min_by(x, "_level").alias(f"_a{x}") for x in xs),
-        *(F.max_by(x, "_level").alias(f"_b{x}") for x in xs),
-    )
-
-
 def permanova_strata(
     df: DataFrame,
     factor: str,
@@ -321,7 +183,7 @@ def permanova_strata(
     )
     keep = {c: c for c in families_by} | {"_stratum": strata}
     rows = _standard(df, factor, responses, keep)
-    pairs = _pairs_wide(rows, families_by, xs)
+    pairs = two_levels(rows, [*families_by, "_stratum"], xs)
     most = int(math.floor(math.log2(max(n_perm, 1))))
     checks = [
         row_count().alias("_strata"),
