@@ -203,13 +203,17 @@ SS = " + ".join(f"VAR_POP({x})" for x in RESPONSES)
 MEANS = ", ".join(f"AVG({x}) AS m_{x}" for x in RESPONSES)
 CENTRED = ", ".join(f"{x} - m_{x} AS {x}" for x in RESPONSES)
 
-ONE_FAMILY = f"""{VECTORS},
-fam AS (SELECT COUNT(*) AS n, COUNT(DISTINCT label) AS a, COUNT(*) * ({SS}) AS ss, {MEANS} FROM vectors),
-c AS (SELECT CAST(vec_id AS VARCHAR) AS id, label AS g, {CENTRED} FROM vectors, fam),
+def _one_family_sql(level: str) -> str:
+    return f"""{VECTORS},
+fam AS (SELECT COUNT(*) AS n, COUNT(DISTINCT {level}) AS a, COUNT(*) * ({SS}) AS ss, {MEANS} FROM vectors),
+c AS (SELECT CAST(vec_id AS VARCHAR) AS id, {level} AS g, {CENTRED} FROM vectors, fam),
 {_level_sums_sql('obs', 'c', '')}, {_between_sql('obs_b', 'obs', '')},
 f0 AS (SELECT {F_SQL} AS f_stat, {DF_SQL} FROM obs_b, fam)"""
 
 
+ONE_FAMILY = _one_family_sql("label")
+
+
 @register("permanova_f", f"WITH {ONE_FAMILY} SELECT df_factor, df_residual, df_total, round(f_stat, 6) AS f_stat FROM f0")
 def permanova_f(spark, folder):
     found = permanova.permanova_f(vectors(spark, folder), "label", RESPONSES)
@@ -219,7 +223,8 @@ def permanova_f(spark, folder):
 N_PERM = 199
 
 
-PERMANOVA_P = f"""WITH {ONE_FAMILY},
+def _permanova_sql(level: str) -> str:
+    return f"""WITH {_one_family_sql(level)},
 bounds AS (SELECT g, SUM(k) OVER (ORDER BY g) - k AS lo, SUM(k) OVER (ORDER BY g) AS hi FROM obs),
 perms AS (SELECT UNNEST(range(1, {N_PERM + 1})) AS perm),
 dealt AS (SELECT perm, {', '.join(RESPONSES)}, row_number() OVER (PARTITION BY perm
@@ -232,6 +237,9 @@ SELECT df_factor, df_residual, df_total, round(f_stat, 6) AS f_stat,
   CAST({N_PERM} AS INT) AS n_perm FROM f0"""
 
 
+PERMANOVA_P = _permanova_sql("label")
+
+
 @register("permanova_p", PERMANOVA_P)
 def permanova_p(spark, folder):
     found = permanova.permanova(
@@ -677,12 +685,22 @@ def component_scores(spark, folder):
     return scores.select("vec_id", "label", "dim1", "dim2", "dim3")
 
 
+FACTORS = {"label": "label", "third": "vec_id % 3", "sign": "CASE WHEN x3 > 0.01 THEN 'high' WHEN x3 < -0.01 THEN 'low' END"}
+
+
+KNOWN = VECTORS.replace("vectors AS", "every AS", 1) + ", vectors AS (SELECT * FROM every WHERE ({}) IS NOT NULL)"
+
+
 @register(
     "factor_tests",
-    PERMANOVA_P.replace("SELECT df_factor", "SELECT 'label' AS factor, df_factor"),
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS factor, * FROM ({_permanova_sql(level).replace(VECTORS, KNOWN.format(level))})"
+        for name, level in FACTORS.items()
+    ),
 )
 def factor_tests(spark, folder):
-    found = plans.factor_tests(vectors(spark, folder), "vec_id", ["label"], RESPONSES, N_PERM, "md5")
+    rows = vectors(spark, folder).withColumns({n: F.expr(e) for n, e in FACTORS.items() if n != "label"})
+    found = plans.factor_tests(rows, "vec_id", list(FACTORS), RESPONSES, N_PERM, "md5")
     return found.withColumn("f_stat", F.round("f_stat", 6))
 
 

@@ -33,15 +33,14 @@ def factor_tests(
     n_perm: int = 999,
     draw: str = "xxhash64",
 ) -> DataFrame:
-    """One overall test per factor, stacked."""
-    return append(
-        *(
-            permanova(df, ident, f, responses, n_perm=n_perm, draw=draw).select(
-                F.lit(f).alias("factor"), "*"
-            )
-            for f in factors
-        )
-    )
+    """One overall test per factor, all in one job.
+
+    Rows are repeated per factor, with its level as text; a NULL level leaves a row
+    out of the test of that factor only.
+    """
+    levels = F.array(*(F.struct(F.lit(f).alias("factor"), F.col(f).cast("string").alias("_member")) for f in factors))
+    members = df.select(ident, *responses, F.inline(levels))
+    return permanova(members, ident, "_member", responses, by="factor", n_perm=n_perm, draw=draw)
 
 
 def period_tests(
