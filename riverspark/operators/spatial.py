@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riverspark.columns import join_groups
+from riverspark.session import cut_lineage
+
 
 def polygon_edges(vertices: DataFrame, poly: str, ring: str, seq: str, x: str, y: str) -> DataFrame:
     """Edge table of closed rings from a vertex table.
@@ -23,76 +28,136 @@ def polygon_edges(vertices: DataFrame, poly: str, ring: str, seq: str, x: str, y
     )
 
 
+#: A cell is cut into this many rows and columns at once.
+_FAN = 8
+
+
+def _crossings(edge, x: Column, y: Column, to_x: Column, to_y: Column) -> Column:
+    """How often an edge crosses the way from a point to the right, up to ``to_x``, and from there up to ``to_y``."""
+    dx, dy = edge["x2"] - edge["x1"], edge["y2"] - edge["y1"]
+    across = (edge["y1"] > y) != (edge["y2"] > y)
+    at_x = edge["x1"] + F.try_divide((y - edge["y1"]) * dx, dy)
+    along = (edge["x1"] > to_x) != (edge["x2"] > to_x)
+    at_y = edge["y1"] + F.try_divide((to_x - edge["x1"]) * dy, dx)
+    right = F.when(across & (x < at_x) & (at_x <= to_x), 1).otherwise(0)
+    return right + F.when(along & (y < at_y) & (at_y <= to_y), 1).otherwise(0)
+
+
+def _touches(edge, low: tuple[Column, Column], high: tuple[Column, Column]) -> Column:
+    """Whether an edge may meet a box: their extents overlap, and corners lie on both sides of the edge's line."""
+    dx, dy = edge["x2"] - edge["x1"], edge["y2"] - edge["y1"]
+    sides = [(cy - edge["y1"]) * dx - (cx - edge["x1"]) * dy for cx in (low[0], high[0]) for cy in (low[1], high[1])]
+    slack = (F.abs(dx) + F.abs(dy)) * (high[0] - low[0] + high[1] - low[1]) * 1e-9
+    return (
+        (F.least(edge["x1"], edge["x2"]) <= high[0]) & (F.greatest(edge["x1"], edge["x2"]) >= low[0])
+        & (F.least(edge["y1"], edge["y2"]) <= high[1]) & (F.greatest(edge["y1"], edge["y2"]) >= low[1])
+        & (F.least(*sides) <= slack) & (F.greatest(*sides) >= -slack)
+    )
+
+
+@dataclass(frozen=True)
+class Quadtree:
+    """Cells ``poly, level, cx, cy, odd, edges``: all that meet a polygon's boundary or lie inside it.
+
+    ``odd`` tells whether the upper right corner is inside the polygon, ``edges``
+    are the polygon's edges in the cell, NULL where it has none there.
+    """
+
+    cells: DataFrame
+    levels: tuple[int, ...]
+    low: tuple[float, float]
+    size: tuple[float, float]
+
+    def place(self, level: int, x: Column, y: Column) -> Column:
+        count = float(_FAN**level)
+        cx, cy = (F.floor((c - lo) / size * count).cast("long") for c, lo, size in zip((x, y), self.low, self.size))
+        return F.struct(F.lit(level).alias("level"), cx.alias("cx"), cy.alias("cy"))
+
+
+def _corner(low, size, level, cx, cy):
+    count = F.pow(F.lit(float(_FAN)), level)
+    return F.lit(low[0]) + cx * F.lit(size[0]) / count, F.lit(low[1]) + cy * F.lit(size[1]) / count
+
+
+def quadtree(edges: DataFrame, poly: str = "poly_id", capacity: int = 64, deepest: int = 8) -> Quadtree:
+    """Cut the box around all polygons until no cell holds more than ``capacity`` edges, ``deepest`` times at most.
+
+    Each step cuts crowded cells into 8 by 8.  A corner of a new cell is inside a
+    polygon if the corner of the old cell is, unless the way between both crosses
+    the boundary an odd number of times; that way stays in the old cell, so its own
+    edges decide.  New cells without edges are inside as a whole or left out.
+    """
+    ends = F.array(*(F.struct(F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y")) for i in (1, 2)))
+    extent = edges.select(F.inline(ends)).agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if extent[0] is None:
+        none = edges.select(poly).withColumns({c: F.lit(0).cast("long") for c in ("level", "cx", "cy")})
+        entry = "array<struct<x1:double,y1:double,x2:double,y2:double>>"
+        none = none.withColumns({"odd": F.lit(False), "edges": F.lit(None).cast(entry)}).filter("false")
+        return Quadtree(none, (), (0.0, 0.0), (1.0, 1.0))
+    spans = [float(hi - lo) or 1.0 for lo, hi in ((extent[0], extent[1]), (extent[2], extent[3]))]
+    # A margin that is no round part of the box keeps vertices off the cells' borders.
+    low = (extent[0] - 0.01703 * spans[0], extent[2] - 0.01409 * spans[1])
+    size = (1.0371 * spans[0], 1.0317 * spans[1])
+    key = ["level", "cx", "cy"]
+    edge = {c: F.col(c) for c in ("x1", "y1", "x2", "y2")}
+    open_ = edges.select(poly, *(F.col(c).cast("double").alias(c) for c in edge)).dropna()
+    open_ = open_.withColumns({c: F.lit(0).cast("long") for c in key}).withColumn("odd", F.lit(False))
+    found, levels = [], []
+    for level in range(1, deepest + 1):
+        at = F.lit(level)
+        whole = _corner(low, size, F.col("level"), F.col("cx") + 1, F.col("cy") + 1)
+        split = open_.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(_FAN * _FAN - 1))))
+        split = split.withColumns(
+            {"_cx": F.col("cx") * _FAN + F.col("_part") % _FAN, "_cy": F.col("cy") * _FAN + F.floor(F.col("_part") / _FAN)}
+        )
+        box = _corner(low, size, at, F.col("_cx"), F.col("_cy")), _corner(low, size, at, F.col("_cx") + 1, F.col("_cy") + 1)
+        split = split.withColumns({"_way": _crossings(edge, *box[1], *whole), "_in": _touches(edge, *box)})
+        split = split.select(
+            poly, *edge, "odd", "_way", "_in", at.cast("long").alias("level"), F.col("_cx").alias("cx"), F.col("_cy").alias("cy")
+        )
+        odd = F.first("odd") != (F.sum("_way") % 2 == 1)
+        cells = split.groupBy(poly, *key).agg(odd.alias("odd"), F.count_if("_in").alias("_n"))
+        cells = cut_lineage(cells.filter(F.col("odd") | (F.col("_n") > 0)))
+        crowd = cells.groupBy(*key).agg(F.sum("_n").alias("_all"))
+        cells = cells.join(crowd, key)
+        more = F.lit(level < deepest) & (F.col("_all") > capacity)
+        inside = cells.filter(F.col("_n") == 0).select(poly, *key, "odd", F.lit(None).alias("edges"))
+        held = split.filter("_in").drop("odd", "_way", "_in")
+        held = join_groups(held, cells.filter(F.col("_n") > 0).select(poly, *key, "odd", more.alias("_more")), [poly, *key])
+        listed = F.collect_list(F.struct(*edge)).alias("edges")
+        leaves = held.filter(~F.col("_more")).groupBy(poly, *key, "odd").agg(listed)
+        found += [inside, leaves]
+        levels.append(level)
+        if crowd.filter(more).isEmpty():
+            break
+        open_ = cut_lineage(held.filter("_more").drop("_more"))
+    tree = found[1]
+    for part in found[:1] + found[2:]:
+        tree = tree.unionByName(part)
+    return Quadtree(cut_lineage(tree), tuple(levels), low, size)
+
+
 def points_in_region(
-    points: DataFrame, edges: DataFrame, x: str, y: str, poly: str = "poly_id", bands: int = 64
+    points: DataFrame, edges: DataFrame, x: str, y: str, poly: str = "poly_id", capacity: int = 64
 ) -> DataFrame:
     """The points inside each polygon, with the polygon's id added.
 
-    The box around all polygons is cut into ``bands`` by ``bands`` cells, and a
-    point meets the polygons of its own cell only.  Cells that no edge touches are
-    decided once, by their centre; only points in touched cells are tested
-    against edges, those of their row of cells.  A point is inside when a ray to
-    the right crosses the boundary an odd number of times.
+    A point meets the polygons of the cells of a ``quadtree`` it lies in.  Cells
+    inside a polygon need no test; elsewhere a point is inside if the way to the
+    corner of its leaf crosses the polygon's edges there an odd number of times,
+    the corner counted in.  A leaf holds ``capacity`` edges or fewer, unless more
+    meet in one spot.  Points without a coordinate are in no polygon.
     """
-    box = edges.agg(
-        F.min(F.least("x1", "x2")).alias("x_lo"),
-        F.max(F.greatest("x1", "x2")).alias("x_hi"),
-        F.min(F.least("y1", "y2")).alias("y_lo"),
-        F.max(F.greatest("y1", "y2")).alias("y_hi"),
-    )
-    side = {c: box.select(c).scalar() for c in box.columns}
-
-    def cell(c, axis):
-        lo, hi = side[f"{axis}_lo"], side[f"{axis}_hi"]
-        place = F.floor(F.try_divide((c - lo) * bands, hi - lo))
-        return F.coalesce(F.least(place, F.lit(bands - 1)), F.lit(0)).cast("int")
-
-    def span(axis):
-        a, b = F.col(f"{axis}1"), F.col(f"{axis}2")
-        return F.explode(F.sequence(cell(F.least(a, b), axis), cell(F.greatest(a, b), axis)))
-
-    def odd(edges_col):
-        def crosses(e):
-            straddles = (e["y1"] > F.col(y)) != (e["y2"] > F.col(y))
-            at = e["x1"] + (F.col(y) - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"])
-            return straddles & (F.col(x) < at)
-
-        return F.coalesce(F.size(F.filter(edges_col, crosses)), F.lit(0)) % 2 == 1
-
-    rows = (
-        edges.filter(F.col("y1") != F.col("y2"))
-        .withColumn("_cy", span("y"))
-        .groupBy(poly, "_cy")
-        .agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges"))
-    )
-    touched = edges.withColumn("_cx", span("x")).select(poly, "_cx", "y1", "y2")
-    touched = touched.withColumn("_cy", span("y")).select(poly, "_cx", "_cy").distinct()
-    index = F.sequence(F.lit(0), F.lit(bands - 1))
-
-    def centre(axis):
-        lo, hi = side[f"{axis}_lo"], side[f"{axis}_hi"]
-        return lo + (F.col(f"_c{axis}") + 0.5) * (hi - lo) / bands
-
-    # The number of cells is bounded by the arguments and the polygons.
-    grid = edges.select(poly).distinct().withColumn("_cx", F.explode(index)).withColumn("_cy", F.explode(index))
-    inner = (
-        grid.join(touched, [poly, "_cx", "_cy"], "left_anti")
-        .withColumns({x: centre("x"), y: centre("y")})
-        .join(rows, [poly, "_cy"])
-        .filter(odd("_edges"))
-        .select(poly, "_cx", "_cy", F.lit(False).alias("_edge"))
-    )
-    cells = touched.select(poly, "_cx", "_cy", F.lit(True).alias("_edge")).union(inner)
-    inside_box = F.col(x).between(side["x_lo"], side["x_hi"]) & F.col(y).between(side["y_lo"], side["y_hi"])
-    located = (
-        points.filter(inside_box)
-        .withColumns({"_cx": cell(F.col(x), "x"), "_cy": cell(F.col(y), "y")})
-        .join(cells, ["_cx", "_cy"])
-    )
-    rows = rows.select(F.col(poly).alias("_poly"), F.col("_cy").alias("_row"), "_edges")
-    own_row = (F.col(poly) == F.col("_poly")) & (F.col("_cy") == F.col("_row")) & F.col("_edge")
-    return (
-        located.join(rows, own_row, "left")
-        .filter(~F.col("_edge") | odd("_edges"))
-        .drop("_cx", "_cy", "_edge", "_poly", "_row", "_edges")
-    )
+    tree = quadtree(edges, poly, capacity)
+    if not tree.levels:
+        return points.join(tree.cells.select(poly), F.lit(False))
+    px, py = F.col(x).cast("double"), F.col(y).cast("double")
+    places = F.array(*(tree.place(level, px, py) for level in tree.levels))
+    held = px.between(tree.low[0], tree.low[0] + tree.size[0]) & py.between(tree.low[1], tree.low[1] + tree.size[1])
+    located = points.filter(held).select("*", F.explode(places).alias("_cell"))
+    same = F.col("_cell") == F.struct(F.col("_t.level").cast("int").alias("level"), "_t.cx", "_t.cy")
+    met = located.join(tree.cells.alias("_t"), same)
+    corner = _corner(tree.low, tree.size, F.col("_cell.level"), F.col("_cell.cx") + 1, F.col("_cell.cy") + 1)
+    crossed = F.aggregate("_t.edges", F.lit(0), lambda n, e: n + _crossings(e, px, py, *corner))
+    inside = F.col("_t.odd") != (F.coalesce(crossed, F.lit(0)) % 2 == 1)
+    return met.filter(inside).select(*(points[c] for c in points.columns), F.col(f"_t.{poly}").alias(poly))

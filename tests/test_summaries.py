@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from riverspark.operators import spatial, summaries
 
@@ -72,8 +73,8 @@ def test_hull_of_partial_hulls_holds_all_points(spark):
     assert (out.g == "pair").sum() == 2
 
 
-@pytest.mark.parametrize("bands", [1, 7, 64])
-def test_points_in_ring_with_hole_and_vertex_levels(spark, bands):
+@pytest.mark.parametrize("capacity", [2, 5, 64])
+def test_points_in_ring_with_hole_and_vertex_levels(spark, capacity):
     ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
     hole = [(1.0, 1.0), (3.0, 1.0), (3.0, 3.0), (1.0, 3.0)]
     vertices = [("a", 0, i, *p) for i, p in enumerate(ring)] + [("a", 1, i, *p) for i, p in enumerate(hole)]
@@ -85,5 +86,49 @@ def test_points_in_ring_with_hole_and_vertex_levels(spark, bands):
         (6, 3.5, 3.0), (7, 2.0, 9.0), (8, None, 1.0), (9, -1.0, 4.0), (10, 2.0, 3.5),
     ]
     points = spark.createDataFrame(rows, "id int, x double, y double")
-    got = spatial.points_in_region(points, edges, "x", "y", bands=bands)
+    got = spatial.points_in_region(points, edges, "x", "y", capacity=capacity)
     assert sorted(r.id for r in got.collect()) == [1, 5, 6, 10]
+
+
+def rays(points, edges):
+    """Polygons whose edges a ray to the right crosses an odd number of times, by point."""
+    found = set()
+    for i, px, py in points:
+        count = {}
+        for poly, x1, y1, x2, y2 in edges:
+            if (y1 > py) != (y2 > py) and px < x1 + (py - y1) * (x2 - x1) / (y2 - y1):
+                count[poly] = count.get(poly, 0) + 1
+        found |= {(i, poly) for poly, n in count.items() if n % 2}
+    return found
+
+
+@pytest.mark.parametrize("capacity", [8, 40])
+def test_points_in_many_polygons(spark, capacity):
+    rng = np.random.default_rng(3)
+    vertices = []
+    for poly in range(14):
+        angles = np.sort(rng.uniform(0, 2 * np.pi, 60 if poly else 400))
+        reach = rng.uniform(0.2, 1.0, len(angles)) * (3.0 if poly % 3 == 0 else 0.4)
+        cx, cy = rng.uniform(-2, 2, 2)
+        for i, (a, r) in enumerate(zip(angles, reach)):
+            vertices.append((f"p{poly}", 0, i, float(cx + r * np.cos(a)), float(cy + r * np.sin(a))))
+    square = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
+    vertices += [("grid", 3 * i + j, k, x + i - 1, y + j - 1) for i in range(3) for j in range(3) for k, (x, y) in enumerate(square)]
+    v = spark.createDataFrame(vertices, "poly string, ring int, seq int, x double, y double")
+    edges = spatial.polygon_edges(v, "poly", "ring", "seq", "x", "y")
+    points = [(i, *map(float, p)) for i, p in enumerate(rng.uniform(-4, 4, (400, 2)))]
+    points += [(500 + i, 0.25 * (i % 17) - 2, 0.5 * (i // 17) - 2) for i in range(100)]
+    table = spark.createDataFrame([(*p, "l", 1) for p in points], "id int, x double, y double, level string, cx int")
+    got = spatial.points_in_region(table, edges, "x", "y", "poly", capacity)
+    expected = rays(points, [tuple(r) for r in edges.select("poly", "x1", "y1", "x2", "y2").collect()])
+    assert got.columns == ["id", "x", "y", "level", "cx", "poly"]
+    assert sorted((r.id, r.poly) for r in got.collect()) == sorted(expected) and len(expected) > 300
+    tree = spatial.quadtree(edges, "poly", capacity)
+    most = tree.cells.groupBy("level", "cx", "cy").agg(F.sum(F.size("edges")).alias("n")).agg(F.max("n")).first()[0]
+    assert most <= capacity and len(tree.levels) > 1
+
+
+def test_no_polygons(spark):
+    points = spark.createDataFrame([(1, 0.5, 0.5)], "id int, x double, y double")
+    edges = spark.createDataFrame([], "poly_id string, x1 double, y1 double, x2 double, y2 double")
+    assert spatial.points_in_region(points, edges, "x", "y").collect() == []
