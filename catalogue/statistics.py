@@ -394,6 +394,13 @@ T_P = """CASE WHEN df % 2 = 0 THEN 1 - sin(th) * list_sum(list_transform(range(0
     lambda j: exp(lgamma(j + 1) + lgamma(1.5) - lgamma(j + 1.5)) * pow(cos(th), 2 * j + 1))), 0)) END"""
 
 
+#: Upper tail of F: sums of beta terms, onto the tail of t where df1 is odd (th from sqrt(df1 * f)).
+F_P = f"""CASE WHEN df1 % 2 = 0 THEN pow(x, a) * list_sum(list_transform(range(0, CAST(df1 // 2 AS BIGINT)),
+    lambda j: pow(1 - x, j) * exp(lgamma(a + j) - lgamma(a) - lgamma(j + 1))))
+  ELSE {T_P} + COALESCE(list_sum(list_transform(range(0, CAST((df1 - 1) // 2 AS BIGINT)),
+    lambda j: exp(a * ln(x) + (j + 0.5) * ln(1 - x) + lgamma(a + j + 0.5) - lgamma(a) - lgamma(j + 1.5)))), 0) END"""
+
+
 COVARIATES = ["l_quantity", "l_discount", "l_tax"]
 FLAGS = ["A", "N", "R"]
 
@@ -518,6 +525,40 @@ def ols_group_slopes(spark, folder):
     )
 
 
+COVARIANCES = {
+    ("(Intercept)", "(Intercept)"): "fa",
+    ("(Intercept)", "l_linestatus[O]"): "-fa",
+    ("(Intercept)", "l_quantity"): "fab",
+    ("(Intercept)", "l_quantity:l_linestatus[O]"): "-fab",
+    ("l_linestatus[O]", "l_linestatus[O]"): "fa + oa",
+    ("l_linestatus[O]", "l_quantity"): "-fab",
+    ("l_linestatus[O]", "l_quantity:l_linestatus[O]"): "fab + oab",
+    ("l_quantity", "l_quantity"): "fb",
+    ("l_quantity", "l_quantity:l_linestatus[O]"): "-fb",
+    ("l_quantity:l_linestatus[O]", "l_quantity:l_linestatus[O]"): "fb + ob",
+}
+
+
+@register(
+    "ols_covariance",
+    f"""WITH {INTERACTION},
+c AS (SELECT MAX(CASE WHEN f = 'F' THEN va END) AS fa, MAX(CASE WHEN f = 'F' THEN vb END) AS fb,
+  MAX(CASE WHEN f = 'O' THEN va END) AS oa, MAX(CASE WHEN f = 'O' THEN vb END) AS ob,
+  MAX(CASE WHEN f = 'F' THEN cab END) AS fab, MAX(CASE WHEN f = 'O' THEN cab END) AS oab
+  FROM (SELECT g.f, va, vb, -mx * vb AS cab FROM v JOIN g ON g.f = v.f))
+"""
+    + " UNION ALL ".join(
+        f"""SELECT '{a}' AS row, '{b}' AS "column", round({value}, 6) + 0.0 AS value FROM c"""
+        for (first, second), value in COVARIANCES.items()
+        for a, b in dict.fromkeys([(first, second), (second, first)])
+    ),
+)
+def ols_covariance(spark, folder):
+    lines = table(spark, folder, "lineitem")
+    model = ols.ols_fit(lines, "l_extendedprice", ["l_quantity"], "l_linestatus", ["F", "O"])
+    return ols.ols_covariance(spark, model).withColumn("value", F.round("value", 6) + 0.0)
+
+
 @register("ols_interactions_full")
 def ols_interactions_full(spark, folder):
     model = ols.ols_fit(
@@ -651,14 +692,16 @@ grp AS (SELECT variable, class, COUNT(*) AS n, AVG(d) AS da, AVG(m) AS ma,
 tot AS (SELECT variable, SUM(n) AS n, COUNT(*) AS g, SUM(dw) AS dw, SUM(mw) AS mw,
   SUM(n * da * da) - SUM(n * da) ** 2 / SUM(n) AS db, SUM(n * ma * ma) - SUM(n * ma) ** 2 / SUM(n) AS mb,
   SUM(n * da) ** 2 / SUM(n) AS d0 FROM grp GROUP BY 1)
-SELECT variable, term, CAST(df1 AS BIGINT) AS df1, CAST(n - g AS BIGINT) AS df2, round(f, 6) AS f_stat FROM (
+SELECT variable, term, CAST(df1 AS BIGINT) AS df1, CAST(df AS BIGINT) AS df2, round(f, 6) AS f_stat,
+  round({F_P}, 6) + 0.0 AS p FROM (SELECT *, n - g AS df, (n - g) / 2.0 AS a, (n - g) / (n - g + df1 * f) AS x,
+  atan(sqrt(df1 * f / (n - g))) AS th FROM (
   SELECT variable, n, g, 'group' AS term, g - 1 AS df1, (mb / (g - 1)) / (mw / (n - g)) AS f FROM tot
   UNION ALL SELECT variable, n, g, 'period', 1, d0 / (dw / (n - g)) FROM tot
-  UNION ALL SELECT variable, n, g, 'group:period', g - 1, (db / (g - 1)) / (dw / (n - g)) FROM tot)""",
+  UNION ALL SELECT variable, n, g, 'group:period', g - 1, (db / (g - 1)) / (dw / (n - g)) FROM tot))""",
 )
 def paired_anova(spark, folder):
     found = paired.paired_anova(differences(spark, folder), "class", by="variable")
-    return found.drop("p").withColumn("f_stat", F.round("f_stat", 6))
+    return found.withColumns({"f_stat": F.round("f_stat", 6), "p": F.round("p", 6) + 0.0})
 
 
 @register(
@@ -742,11 +785,11 @@ EFFECTS = " UNION ALL ".join(f"SELECT * FROM {_effects_sql(y)}" for y in ("l_ext
 
 
 @register(
-    "climate_effects",
+    "climate_effect_of_one",
     f"""SELECT response, f AS l_linestatus, 'l_quantity_z' AS term, round(b, 4) + 0.0 AS estimate,
   round(b - q * sqrt(s2 / sxx), 3) + 0.0 AS lower, round(b + q * sqrt(s2 / sxx), 3) + 0.0 AS upper FROM ({EFFECTS})""",
 )
-def climate_effects(spark, folder):
+def climate_effect_of_one(spark, folder):
     lines = moments.zscore(table(spark, folder, "lineitem"), ["l_quantity"])
     found = plans.climate_effects(
         lines, ["l_extendedprice", "l_tax"], ["l_quantity_z"], "l_linestatus", ["F", "O"]
@@ -757,6 +800,43 @@ def climate_effects(spark, folder):
     )
 
 
+def _effects_of_three_sql(y: str) -> str:
+    """Slopes of one response on three standardised covariates per line status, pooled variance, by cofactors."""
+    z = ", ".join(f"({c} - AVG({c}) OVER ()) / STDDEV_SAMP({c}) OVER () AS z{i}" for i, c in enumerate(COVARIATES, 1))
+    pairs = [(1, 1), (1, 2), (1, 3), (2, 2), (2, 3), (3, 3)]
+    products = ", ".join(f"COUNT(*) * COVAR_POP(z{i}, z{j}) AS a{i}{j}" for i, j in pairs)
+    sums = ", ".join(f"COUNT(*) * COVAR_POP(z{i}, y) AS b{i}" for i in (1, 2, 3))
+    return f"""(WITH z AS (SELECT l_linestatus, {y} AS y, {z} FROM lineitem),
+g AS (SELECT l_linestatus, COUNT(*) AS n, {products}, {sums}, COUNT(*) * VAR_POP(y) AS yy FROM z GROUP BY 1),
+c AS (SELECT *, a22 * a33 - a23 * a23 AS c11, a11 * a33 - a13 * a13 AS c22, a11 * a22 - a12 * a12 AS c33,
+  a13 * a23 - a12 * a33 AS c12, a12 * a23 - a13 * a22 AS c13, a12 * a13 - a11 * a23 AS c23 FROM g),
+d AS (SELECT *, a11 * c11 + a12 * c12 + a13 * c13 AS det FROM c),
+s AS (SELECT *, (c11 * b1 + c12 * b2 + c13 * b3) / det AS s1, (c12 * b1 + c22 * b2 + c23 * b3) / det AS s2,
+  (c13 * b1 + c23 * b2 + c33 * b3) / det AS s3 FROM d),
+r AS (SELECT *, SUM(yy - s1 * b1 - s2 * b2 - s3 * b3) OVER () / (SUM(n) OVER () - 8) AS v, SUM(n) OVER () - 8 AS df,
+  1.959963984540054 AS k FROM s),
+q AS (SELECT *, k + (k**3 + k) / (4.0 * df) + (5 * k**5 + 16 * k**3 + 3 * k) / (96.0 * df * df) AS q FROM r)
+{" UNION ALL ".join(f"SELECT '{y}' AS response, l_linestatus, '{c}_z' AS term, s{i} AS b, q * sqrt(v * c{i}{i} / det) AS half FROM q"
+                     for i, c in enumerate(COVARIATES, 1))})"""
+
+
+@register(
+    "climate_effects",
+    f"""SELECT response, l_linestatus, term, round(b, 4) + 0.0 AS estimate, round(b - half, 3) + 0.0 AS lower,
+  round(b + half, 3) + 0.0 AS upper
+FROM ({" UNION ALL ".join(f"SELECT * FROM {_effects_of_three_sql(y)}" for y in ("l_extendedprice", "l_linenumber"))})""",
+)
+def climate_effects(spark, folder):
+    lines = moments.zscore(table(spark, folder, "lineitem"), COVARIATES)
+    found = plans.climate_effects(
+        lines, ["l_extendedprice", "l_linenumber"], [f"{c}_z" for c in COVARIATES], "l_linestatus", ["F", "O"]
+    )
+    return found.withColumns(
+        {"estimate": F.round("estimate", 4) + 0.0}
+        | {c: F.round(c, 3) + 0.0 for c in ("lower", "upper")}
+    )
+
+
 @register(
     "regression_table",
     f"""WITH g AS ({EFFECTS}),

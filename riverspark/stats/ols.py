@@ -6,10 +6,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riverspark.columns import as_list
+from riverspark.session import cut_lineage
 from riverspark.stats.attach import attach
 from riverspark.stats.distributions import t_p_value, t_quantile, t_two_sided
 
@@ -82,6 +84,47 @@ def _products(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return sums.select("_response", F.inline(F.array(*entries)))
 
 
+def _merged(blocks: list[np.ndarray], width: int) -> np.ndarray:
+    """Triangular factor of stacked blocks; no product of columns is formed, so no digits go with their squares."""
+    return np.linalg.qr(np.vstack([np.zeros((0, width)), *blocks]), mode="r")
+
+
+def triangles(rows: DataFrame, columns: dict[str, Column], fan_in: int = 32) -> dict[str, np.ndarray]:
+    """Triangular factor of the matrix of all columns, per response.
+
+    A task reduces its rows to one factor, and factors are merged in a tree of
+    ``fan_in``; the driver sees one p by p factor per response.
+    """
+    width = len(columns)
+    matrix = rows.select("_response", F.array(*(c.cast("double") for c in columns.values())).alias("_rows"))
+    schema = "_response string, _rows array<double>"
+
+    def entries(found: dict[str, np.ndarray]) -> pa.Table:
+        flat = pa.array([r.ravel().tolist() for r in found.values()], pa.list_(pa.float64()))
+        return pa.table({"_response": pa.array(list(found), pa.string()), "_rows": flat})
+
+    def local(batches):
+        found: dict[str, np.ndarray] = {}
+        for batch in batches:
+            names = batch.column(0).dictionary_encode()
+            values = batch.column(1).flatten().to_numpy().reshape(-1, width)
+            for code, name in enumerate(names.dictionary.to_pylist()):
+                mine = values[names.indices.to_numpy() == code]
+                found[name] = _merged([*([found[name]] if name in found else []), mine], width)
+        yield from entries(found).to_batches()
+
+    def merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        blocks = [np.reshape(v, (-1, width)) for v in table.column("_rows").to_pylist()]
+        merged = entries({key[0].as_py(): _merged(blocks, width)})
+        return merged.append_column("_part", pa.array([key[1].as_py()], pa.int32()))
+
+    parts = cut_lineage(matrix.mapInArrow(local, schema).withColumn("_part", F.spark_partition_id()))
+    while (parts.groupBy("_response").count().agg(F.max("count")).first()[0] or 0) > 1:
+        numbered = parts.withColumn("_part", F.floor(F.col("_part") / fan_in).cast("int"))
+        parts = cut_lineage(numbered.groupBy("_response", "_part").applyInArrow(merge, schema + ", _part int"))
+    return {r["_response"]: np.reshape(r["_rows"], (-1, width)) for r in parts.collect()}
+
+
 def normal_equations(
     df: DataFrame,
     y: str,
@@ -107,40 +150,42 @@ def ols_fits(
 ) -> dict[str, OlsModel]:
     """One fit per response, all from the same two passes.
 
-    The first pass takes the means of complete rows, the second sums products of
-    centred values, so that large means cost no digits.  The driver solves p by p
-    systems and moves the intercepts back.
+    The first pass takes the means of complete rows, the second a triangular factor
+    of the centred columns, so that neither large means nor nearly collinear
+    covariates cost digits.  The driver solves p by p systems and moves the
+    intercepts back.  Terms without rows, and terms that others determine, are errors.
     """
     terms = list(design(covariates, factor, levels))
-    position = {t: i for i, t in enumerate([*terms, "y"])}
+    position = {t: i for i, t in enumerate(terms)}
     p = len(terms)
     rows = _inputs(df, ys, covariates, factor, levels)
     means = rows.groupBy("_response").agg(
-        F.avg("_y").alias("_mean_y"), *(F.avg(c).alias(f"_mean_{i}") for i, c in enumerate(covariates))
+        F.count("*").alias("_n"),
+        F.avg("_y").alias("_mean_y"),
+        *(F.avg(c).alias(f"_mean_{i}") for i, c in enumerate(covariates)),
     )
     centred = attach(rows, means, ["_response"]).withColumns(
         {c: F.col(c) - F.col(f"_mean_{i}") for i, c in enumerate(covariates)}
     )
-    columns = design(covariates, factor, levels) | {"y": F.col("_y") - F.col("_mean_y")}
     found = {r["_response"]: r for r in means.collect()}
-    grams = {y: np.zeros((p + 1, p + 1)) for y in found}
-    for r in _products(centred, columns).collect():
-        i, j = position[r["row"]], position[r["column"]]
-        grams[r["_response"]][i, j] = grams[r["_response"]][j, i] = r["value"]
+    factors = triangles(centred, design(covariates, factor, levels) | {"y": F.col("_y") - F.col("_mean_y")})
     models = {}
     for y in ys:
-        if y not in grams:
+        if y not in found:
             raise ValueError(f"no complete rows for {y}")
-        gram, mean = grams[y], found[y]
-        n = int(round(gram[0, 0]))
-        absent = [t for t, d in zip(terms, np.diag(gram)) if d <= 0]
+        triangle, mean, n = factors[y], found[y], found[y]["_n"]
+        length = np.sqrt((triangle[:, :p] ** 2).sum(axis=0))
+        absent = [t for t, d in zip(terms, length) if d <= 0]
         if absent or n <= p:
             raise ValueError(f"{y}: {n} rows for {p} terms, none for {absent}")
-        # Unit diagonal before inverting, as products differ by orders of magnitude.
-        scale = 1 / np.sqrt(np.diag(gram)[:p])
-        inverse = np.linalg.inv(gram[:p, :p] * np.outer(scale, scale)) * np.outer(scale, scale)
-        estimates = inverse @ gram[:p, p]
-        sigma2 = max(gram[p, p] - estimates @ gram[:p, p], 0.0) / (n - p)
+        own = triangle[:p, :p]
+        dependent = [t for t, d in zip(terms, np.abs(np.diag(own)) / length) if d < 1e-13]
+        if dependent:
+            raise ValueError(f"{y}: {dependent} follow from the terms before them")
+        root = np.linalg.solve(own, np.eye(p))
+        inverse = root @ root.T
+        estimates = root @ triangle[:p, p]
+        sigma2 = float((triangle[p:, p] ** 2).sum()) / (n - p)
         # Intercepts at zero instead of the means of the covariates.
         move = np.eye(p)
         for k, c in enumerate(covariates):

@@ -291,3 +291,38 @@ def test_large_degrees_of_freedom(spark):
     table = moments.correlation_table(spark.range(50).selectExpr("id", "id * id AS sq", "pmod(id * 7, 11) AS m"), ["id", "sq", "m"])
     rows = {(r.var1, r.var2): r for r in table.collect()}
     assert rows["id", "sq"].lower < rows["id", "sq"].r < rows["id", "sq"].upper and rows["id", "sq"].p < 1e-9
+
+
+def test_nearly_collinear_covariates_keep_their_digits(spark):
+    rng = np.random.default_rng(31)
+    x = rng.normal(size=900)
+    near = x + 1e-6 * rng.normal(size=900)
+    y = 2.0 + 3.0 * x - 1.5 * near + 0.1 * rng.normal(size=900)
+    rows = [tuple(map(float, r)) for r in zip(x, near, y)]
+    df = spark.createDataFrame(rows, "x double, near double, y double").repartition(9)
+    model = ols.ols_fit(df, "y", ["x", "near"])
+    design = np.column_stack([np.ones(900), x, near])
+    expected = np.linalg.lstsq(design, y, rcond=None)[0]
+    assert model.estimates == pytest.approx(expected, rel=1e-8)
+    residual = y - design @ expected
+    assert model.sigma2 == pytest.approx(residual @ residual / 897, rel=1e-10)
+    # Products of columns would have lost them.
+    gram = design.T @ design
+    assert np.abs(np.linalg.solve(gram, design.T @ y) / expected - 1).max() > 1e-8
+
+
+@pytest.mark.parametrize("fan_in", [2, 3, 32])
+def test_triangles_merge_in_a_tree(spark, fan_in):
+    rng = np.random.default_rng(4)
+    values = rng.normal(size=(200, 3))
+    rows = [(("a", "b")[i % 5 == 0], *map(float, v)) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "_response string, p double, q double, r double").repartition(11)
+    found = ols.triangles(df, {c: F.col(c) for c in "pqr"}, fan_in)
+    for name, own in (("a", values[np.arange(200) % 5 != 0]), ("b", values[::5])):
+        assert found[name].T @ found[name] == pytest.approx(own.T @ own, rel=1e-10)
+
+
+def test_dependent_terms_are_an_error(spark):
+    df = spark.createDataFrame([(float(i), float(2 * i), float(i * i)) for i in range(20)], "x double, z double, y double")
+    with pytest.raises(ValueError, match="follow from"):
+        ols.ols_fit(df, "y", ["x", "z"])
