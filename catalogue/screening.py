@@ -20,7 +20,7 @@ from catalogue.views import (
     table,
 )
 from riverspark.functions import CFS_TO_M3S, convert
-from riverspark.operators import clean, screens
+from riverspark.operators import clean, intervals, screens
 from riverspark.plans.flow import screened_flow
 from riverspark.sources import append, daily_values, read_many, stack_tables
 
@@ -148,7 +148,7 @@ SELECT station, CAST(COUNT(*) AS BIGINT) AS n,
 FROM dense GROUP BY 1 HAVING (COUNT(*) - COUNT(discharge)) / CAST(COUNT(*) AS DOUBLE) > 0.05""",
 )
 def missing_share(spark, folder):
-    share = screens.missing_share(dense(brand_series(spark, folder)), "station", "discharge", 0.05)
+    share = intervals.record_share(_months(brand_series(spark, folder)), "station", 0.05)
     return share.withColumn("share", F.round("share", 8))
 
 
@@ -166,14 +166,18 @@ MONTHLY = """monthly AS (
 SELECT station, year, month, round(discharge, 6) AS discharge, n_missing, date FROM monthly""",
 )
 def monthly_mean_gap_tolerant(spark, folder):
-    monthly = screens.monthly_mean(dense(brand_series(spark, folder)), "station", "date", "discharge")
+    monthly = _months(brand_series(spark, folder)).drop("n")
     return monthly.withColumn("discharge", F.round("discharge", 6))
 
 
+def _months(series, k=10):
+    """One row per station and month of its record, from the observed days."""
+    observed = intervals.observed_months(series, "station", "date", "discharge")
+    return intervals.record_months(observed, "station", "discharge", k)
+
+
 def _order_months(spark, folder, k=22):
-    return screens.monthly_mean(
-        dense(order_series(spark, folder)), "station", "date", "discharge", k
-    )
+    return _months(order_series(spark, folder), k).drop("n")
 
 
 ORDER_MONTHS = f"{ORDERS}, {dense_sql('s_orders')}, {MONTHLY.format(k=22)}"
@@ -256,8 +260,8 @@ FROM dense d WHERE NOT EXISTS (SELECT 1 FROM rejected r WHERE r.station = d.stat
 )
 def select_stations(spark, folder):
     nations = table(spark, folder, "nation").withColumnRenamed("n_name", "station")
-    kept = screens.select_stations(
-        dense(nation_series(spark, folder)),
+    kept = screens.select_records(
+        nation_series(spark, folder),
         "station",
         "date",
         "discharge",

@@ -38,12 +38,7 @@ def apply_trim_rules(df: DataFrame, rules: DataFrame, key: str, date: str) -> Da
     ``rules`` has ``key``, ``min_date`` and optionally ``inclusive`` (default
     true).  Several rules of one key all apply; keys without a rule are untouched.
     """
-    if "inclusive" not in rules.columns:
-        rules = rules.withColumn("inclusive", F.lit(True))
-    first_day = F.when(F.col("inclusive"), F.col("min_date")).otherwise(
-        F.date_add("min_date", 1)
-    )
-    earliest = rules.groupBy(key).agg(F.max(first_day).alias("_first_day"))
+    earliest = first_good_days(rules, key)
     return (
         df.join(earliest, key, "left")
         .filter(F.col("_first_day").isNull() | (F.col(date) >= F.col("_first_day")))
@@ -51,6 +46,16 @@ def apply_trim_rules(df: DataFrame, rules: DataFrame, key: str, date: str) -> Da
     )
 
 
+def first_good_days(rules: DataFrame, key: str) -> DataFrame:
+    """The first day that all trim rules of a key leave, as ``_first_day``."""
+    if "inclusive" not in rules.columns:
+        rules = rules.withColumn("inclusive", F.lit(True))
+    first_day = F.when(F.col("inclusive"), F.col("min_date")).otherwise(
+        F.date_add("min_date", 1)
+    )
+    return rules.groupBy(key).agg(F.max(first_day).alias("_first_day"))
+
+
 def clip_by_period_bounds(
     df: DataFrame, year: str, period: str, bounds: dict[str, tuple[str, str]]
 ) -> DataFrame:

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from riverspark.columns import as_list
 from riverspark.functions import mid_month, missing_count, row_count
-from riverspark.operators.clean import drop_keys
+from riverspark.operators import intervals
+from riverspark.operators.clean import apply_trim_rules, clip_period, drop_keys, first_good_days, keep_keys
+from riverspark.operators.series import densify_daily
+from riverspark.session import cut_lineage
 
 
 def series_range(df: DataFrame, key: str | Iterable[str], date: str) -> DataFrame:
@@ -30,7 +33,11 @@ def eligible_by_range(
     df: DataFrame, key: str | Iterable[str], date: str, start_before, end_after
 ) -> DataFrame:
     """Ranges of the keys that start early enough and end late enough."""
-    ranges = series_range(df, key, date)
+    return in_time(series_range(df, key, date), start_before, end_after)
+
+
+def in_time(ranges: DataFrame, start_before, end_after) -> DataFrame:
+    """Ranges that start before one day and end after another."""
     return ranges.filter(
         (F.col("start") < F.lit(start_before)) & (F.col("end") > F.lit(end_after))
     )
@@ -55,6 +62,11 @@ def monthly_mean(
     df: DataFrame, key: str | Iterable[str], date: str, value: str, max_missing: int = 10
 ) -> DataFrame:
     """Mean per month, NULL when more than ``max_missing`` of its days are NULL."""
+    return _months(df, key, date, value, max_missing).drop("n")
+
+
+def _months(df: DataFrame, key: str | Iterable[str], date: str, value: str, max_missing: int) -> DataFrame:
+    """:func:`monthly_mean` of a densified series, with the number of rows ``n``."""
     return (
         df.groupBy(
             *as_list(key), F.year(date).alias("year"), F.month(date).alias("month")
@@ -62,6 +74,7 @@ def monthly_mean(
         .agg(
             F.when(missing_count(value) <= max_missing, F.avg(value)).alias(value),
             missing_count(value).alias("n_missing"),
+            row_count().alias("n"),
         )
         .withColumn("date", mid_month("year", "month"))
     )
@@ -98,38 +111,81 @@ def gap_islands(
     return islands if min_len is None else islands.filter(F.col("n") > min_len)
 
 
-def select_stations(
-    df: DataFrame,
+def _rejected(
+    months: DataFrame,
     key: str,
-    date: str,
     value: str,
     *,
     max_share: float = 0.3,
     max_month_share: float = 0.3,
-    max_missing_days: int = 10,
     max_year_step: int = 4,
     max_day_step: int = 70,
     min_len: int = 4,
     gap_before=None,
     pardon_gaps: DataFrame | None = None,
     reject: Sequence[DataFrame] = (),
-) -> DataFrame:
-    """Rows of the stations that pass all completeness screens.
-
-    ``df`` is a densified daily series.  A station fails when too many days, or
-    too many values of one calendar month, are missing, or when it has a long
-    island of missing months along the years or along the calendar.
-    ``gap_before`` ignores calendar islands that start later; ``pardon_gaps``
-    lists keys whose calendar islands are forgiven; ``reject`` adds key lists.
-    """
-    monthly = monthly_mean(df, key, date, value, max_missing_days)
-    void = monthly.filter(F.col(value).isNull())
-    by_day = missing_share(df, key, value, max_share)
-    by_month = missing_share(monthly, [key, "month"], value, max_month_share)
+) -> list[DataFrame]:
+    """The key lists of all completeness screens, from one row per key and month."""
+    void = months.filter(F.col(value).isNull())
+    by_day = intervals.record_share(months, key, max_share)
+    by_month = missing_share(months.drop("n", "n_missing"), [key, "month"], value, max_month_share)
     by_year_gap = gap_islands(void, [key, "month"], "year", max_year_step, min_len)
     by_gap = gap_islands(void, key, "date", max_day_step, min_len)
     if gap_before is not None:
         by_gap = by_gap.filter(F.col("gap_start") < F.lit(gap_before))
     if pardon_gaps is not None:
         by_gap = by_gap.join(pardon_gaps.select(key).distinct(), key, "left_anti")
-    return drop_keys(df, [by_day, by_month, by_year_gap, by_gap, *reject], key)
+    return [by_day, by_month, by_year_gap, by_gap, *reject]
+
+
+def select_stations(
+    df: DataFrame, key: str, date: str, value: str, *, max_missing_days: int = 10, **limits
+) -> DataFrame:
+    """Rows of the stations that pass all completeness screens.
+
+    ``df`` is a densified daily series.  A station fails when too many days
+    (``max_share``), or too many values of one calendar month
+    (``max_month_share``), are missing, or when it has a long island of missing
+    months along the years (``max_year_step``, ``min_len``) or along the calendar
+    (``max_day_step``).  ``gap_before`` ignores calendar islands that start later;
+    ``pardon_gaps`` lists keys whose calendar islands are forgiven; ``reject`` adds
+    key lists.
+    """
+    months = _months(df, key, date, value, max_missing_days)
+    return drop_keys(df, _rejected(months, key, value, **limits), key)
+
+
+def select_records(
+    raw: DataFrame,
+    key: str,
+    date: str,
+    value: str,
+    *,
+    lo=None,
+    hi=None,
+    trim_rules: DataFrame | None = None,
+    start_before=None,
+    end_after=None,
+    max_missing_days: int = 10,
+    reuse: bool = True,
+    **limits,
+) -> DataFrame:
+    """Daily series, one row per day, of the stations whose raw records pass all screens.
+
+    Equals :func:`select_stations` of the densified records between ``lo`` and
+    ``hi`` without bad starts (``apply_trim_rules``), for stations that start before
+    ``start_before`` and end after ``end_after``; but the screens read one row per
+    station and month, and calendars are built for the stations that pass only.
+    ``reuse`` writes those months once.
+    """
+    first_days = None if trim_rules is None else first_good_days(trim_rules, key)
+    parts = intervals.observed_months(raw, key, date, value, lo, hi, first_days)
+    parts = cut_lineage(parts) if reuse else parts
+    months = intervals.record_months(parts, key, value, max_missing_days, lo, hi, first_days)
+    kept = raw
+    if start_before is not None or end_after is not None:
+        ranges = intervals.record_ranges(parts, key)
+        kept = keep_keys(kept, in_time(ranges, start_before, end_after), key)
+    kept = drop_keys(kept, _rejected(months, key, value, **limits), key)
+    daily = clip_period(densify_daily(kept, key, date, value), date, lo, hi)
+    return daily if trim_rules is None else apply_trim_rules(daily, trim_rules, key, date)

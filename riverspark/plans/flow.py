@@ -29,23 +29,26 @@ def screened_flow(
 ) -> DataFrame:
     """Daily series, one row per day, of the stations fit for analysis.
 
-    Masks values by quality flag, fills the calendar with NULL days, keeps stations
-    whose record starts and ends in time, clips to the period, trims bad starts and
-    applies the completeness screens (see ``select_stations`` for their limits).
-    The screens read the daily table several times, so ``reuse`` writes it once.
+    Masks values by quality flag, keeps stations whose record starts and ends in
+    time, clips to the period, trims bad starts and applies the completeness screens
+    (see ``select_stations`` for their limits).  The screens read one row per
+    station and month, which ``reuse`` writes once; only stations that pass get a
+    calendar filled with NULL days.
     """
     masked = clean.mask_by_flag(raw, value, flag, allowed) if flag else raw
-    if start_before is not None or end_after is not None:
-        # The calendar runs from the first to the last value, so values tell the range.
-        observed = masked.filter(F.col(value).isNotNull())
-        eligible = screens.eligible_by_range(observed, key, date, start_before, end_after)
-        masked = clean.keep_keys(masked, eligible, key)
-    daily = series.densify_daily(masked, key, date, value)
-    daily = clean.clip_period(daily, date, *period)
-    if trim_rules is not None:
-        daily = clean.apply_trim_rules(daily, trim_rules, key, date)
-    daily = cut_lineage(daily) if reuse else daily
-    return screens.select_stations(daily, key, date, value, **screen_limits)
+    return screens.select_records(
+        masked,
+        key,
+        date,
+        value,
+        lo=period[0],
+        hi=period[1],
+        trim_rules=trim_rules,
+        start_before=start_before,
+        end_after=end_after,
+        reuse=reuse,
+        **screen_limits,
+    )
 
 
 def flow_regime(
