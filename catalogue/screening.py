@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -22,7 +23,8 @@ from catalogue.views import (
 from riverspark.functions import CFS_TO_M3S, convert
 from riverspark.operators import clean, intervals, screens
 from riverspark.plans.flow import screened_flow
-from riverspark.sources import append, daily_values, read_many, stack_tables
+from riverspark.session import shared_folder
+from riverspark.sources import append, daily_values, read_csv_skip, read_many, stack_tables, write_bucketed, write_table
 
 DATE = dt.date
 
@@ -571,3 +573,34 @@ def sorted_series(spark, folder):
     placed = Window.partitionBy("station").orderBy("date")
     rows = brand_series(spark, folder).withColumn("place", F.row_number().over(placed))
     return rows.withColumn("discharge", F.round("discharge", 2)).orderBy("station", "date")
+
+
+@register(
+    "annual_peaks",
+    f"""WITH {BRAND}, y AS (SELECT *, CAST(year(date) AS INT) AS year FROM s_brand),
+tops AS (SELECT station, year, MAX(discharge) AS top, CAST(COUNT(*) AS BIGINT) AS n_days FROM y GROUP BY 1, 2)
+SELECT station, year, date, round(discharge, 2) AS discharge, n_days
+FROM y JOIN tops USING (station, year) WHERE discharge = top""",
+)
+def annual_peaks(spark, folder):
+    """Series and yearly maxima written in the same buckets, then joined without an exchange."""
+    tag = uuid.uuid4().hex
+    series = brand_series(spark, folder).withColumn("year", F.year("date"))
+    series = write_bucketed(series, f"series_{tag}", ["station", "year"], 8, "date")
+    tops = series.groupBy("station", "year").agg(F.max("discharge").alias("top"), F.count(F.lit(1)).alias("n_days"))
+    tops = write_bucketed(tops, f"tops_{tag}", ["station", "year"], 8)
+    peaks = series.join(tops, ["station", "year"]).filter("discharge = top")
+    return peaks.select("station", "year", "date", F.round("discharge", 2).alias("discharge"), "n_days")
+
+
+@register(
+    "text_round_trip",
+    """SELECT o_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate, o_totalprice, o_orderpriority FROM orders""",
+)
+def text_round_trip(spark, folder):
+    """Orders written as text with a head line in each file, and scanned again behind it."""
+    path = f"{shared_folder(spark)}/orders-{uuid.uuid4().hex}"
+    orders = table(spark, folder, "orders").withColumn("o_orderdate", F.to_date("o_orderdate"))
+    orders = orders.select("o_orderkey", "o_orderdate", "o_totalprice", "o_orderpriority")
+    write_table(orders, path, "csv")
+    return read_csv_skip(spark, path, 1, orders.schema, header=False)

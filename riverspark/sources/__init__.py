@@ -5,6 +5,7 @@ from riverspark.sources.tables import (
     read_many,
     read_table,
     stack_tables,
+    write_bucketed,
     write_table,
 )
 
@@ -15,5 +16,6 @@ __all__ = [
     "read_many",
     "read_table",
     "stack_tables",
+    "write_bucketed",
     "write_table",
 ]

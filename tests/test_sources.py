@@ -10,6 +10,7 @@ from riverspark.sources import (
     read_many,
     read_table,
     stack_tables,
+    write_bucketed,
     write_table,
 )
 
@@ -90,3 +91,18 @@ def test_daily_values_keep_parameter_and_stations(spark):
     wanted = spark.createDataFrame([("a",), ("a",)], "station string")
     assert [r.v for r in daily_values(df, wanted).collect()] == [1.0]
     assert daily_values(df).count() == 2
+
+
+def test_bucketed_tables_join_without_an_exchange(spark):
+    days = spark.range(4000).selectExpr("concat('s', id % 3) as s", "cast(2000 + id % 7 as int) as year", "id", "id % 11 as v")
+    left = write_bucketed(days, "bucketed_days", ["s", "year"], 4, "id")
+    right = write_bucketed(days.groupBy("s", "year").max("v"), "bucketed_tops", ["s", "year"], 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = left.join(right, ["s", "year"]).groupBy("s", "year").count()
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.agg({"count": "sum"}).first()[0] == 4000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    again = write_bucketed(days.limit(10), "bucketed_days", ["s", "year"], 4)
+    assert again.count() == 10
