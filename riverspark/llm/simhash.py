@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riverspark.llm.common import column, slices, spread, texts, whole_groups
+from riverspark.llm.common import column, in_small_batches, slices, spread, texts, whole_groups
 from riverspark.llm.components import components
 from riverspark.session import cut_lineage
 
@@ -42,14 +42,20 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """``doc_id`` and ``fp`` of every row; no shuffle."""
+    return _with_fingerprints(texts(docs, id_col, text_col), width)
+
+
+def _with_fingerprints(rows: DataFrame, width: int) -> DataFrame:
+    """``fp`` in place of the column ``text``."""
+    kept = [c for c in rows.columns if c != "text"]
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                fps = [fingerprint(t, width) for t in column(part, "text")]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+                fps = pa.array([fingerprint(t, width) for t in column(part, "text")], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.select(kept).columns, fps], [*kept, "fp"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in (*kept, "fp")))
 
 
 def gray_rank(code: Column) -> Column:
@@ -218,3 +224,33 @@ def near_duplicates(
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
     )
+
+
+def one_of_each_group(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, most_differences: int = 3
+) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: one row of each group stays, all columns as they are.
+
+    Groups are made of rows, by their own fingerprints: an id with two unlike texts
+    belongs to two groups, and may stay in one and go in the other.  The smallest
+    id of a group stays; of rows that share it, those of one text, and of these
+    one row, chosen by the rows' hashes alone.  Rows without id belong to no group
+    and stay; NULL and empty texts are one group.  An empty table gives no rows.
+    """
+    known = docs.filter(F.col(id_col).isNotNull())
+    key = F.xxhash64(text_col).alias("key")
+    rows = in_small_batches(known).select(F.col(id_col).cast("long").alias("doc_id"), key, F.col(text_col).alias("text"))
+    marked = cut_lineage(_with_fingerprints(rows, width))
+    codes = marked.select("fp", F.col("fp").alias("doc_id")).distinct()
+    groups = components(fingerprint_links(codes, most_differences)).withColumnRenamed("node", "fp")
+    grouped = marked.join(groups, "fp", "left").groupBy(F.coalesce("component", "fp"))
+    least = grouped.agg(F.min(F.struct("doc_id", "key")).alias("least")).select(
+        F.col("least.doc_id").alias("_least_id"), F.col("least.key").alias("_least_key")
+    )
+    same = (F.col(id_col).cast("long") == F.col("_least_id")) & (F.xxhash64(text_col) == F.col("_least_key"))
+    kept = known.join(least, same, "left_semi")
+    place = F.row_number().over(
+        Window.partitionBy(F.col(id_col), F.xxhash64(text_col)).orderBy(F.xxhash64(*docs.columns))
+    )
+    first = kept.select("*", place.alias("_place_of_row")).filter("_place_of_row = 1").drop("_place_of_row")
+    return first.union(docs.filter(F.col(id_col).isNull()))

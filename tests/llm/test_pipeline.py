@@ -5,6 +5,7 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from llm.helpers import SCHEMA, rows_of, sentences, slow_components, slow_fingerprint
@@ -66,6 +67,26 @@ def test_stages_in_order(spark, folder):
     assert set(totals) == set(clean) and all(a == b for a, b in totals.values())
 
 
+@pytest.mark.parametrize("cut", [1, 5])
+def test_one_of_each_group_judges_rows(spark, cut):
+    t, u, v, w = (sentences(900 + i, 160) for i in range(4))
+    near = next(x for x in (f"{t} {sentences(i, 1)}" for i in range(99)) if 0 < bits(x, t) <= 3)
+    rows = [(2, t, "a"), (5, t, "a"), (5, u, "b"), (6, v, "c"), (6, w, "c"), (6, w, "c"), (6, w, "d"), (2, near, "a"), (9, near, "a")]
+    rows += [(None, t, "a"), (None, t, "a"), (20, None, "n"), (21, "", "n"), (20, "", "n")]
+    docs = spark.createDataFrame(rows_of(rows), SCHEMA)
+    got = corpus_pipeline.one_of_each_group(spark, docs.repartition(cut), "").collect()
+    kept = [(r.doc_id, r.text) for r in got]
+    assert sum(k in ((2, t), (2, near)) for k in kept) == 1 and (9, near) not in kept and (5, t) not in kept
+    assert [kept.count(k) for k in ((5, u), (6, v), (6, w), (None, t))] == [1, 1, 1, 2]
+    assert len(kept) == 7 and sum(d == 20 for d, _ in kept) == 1
+    again = corpus_pipeline.one_of_each_group(spark, docs.orderBy(F.desc("lang")).coalesce(1), "").collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def bits(a, b):
+    return (slow_fingerprint(a) ^ slow_fingerprint(b)).bit_count()
+
+
 def test_run_gives_the_last_stage(spark, folder):
     path, _, _ = folder
     out = corpus_pipeline.run(spark, path)
