@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,11 +14,13 @@ from riverspark.llm.blocks import (
     cut_blocks,
     keyed,
     meeting_blocks,
+    mix,
     range_batch,
     range_hashes,
     runs,
 )
 from riverspark.llm.common import slices, spread, whole_groups
+from riverspark.session import cut_lineage
 
 
 def byte_cutter(width: int, gram: int):
@@ -116,33 +117,44 @@ def _string_ranges(batches, width: int):
             yield range_batch(out)
 
 
-def _crowded_ranges(blocks: DataFrame, width: int) -> DataFrame:
-    """The same for buckets of any size: whole blocks, then single windows, meet by a 128-bit digest."""
-
-    def digests(batches):
-        for batch in batches:
-            for part in slices(batch, 1_000_000):
-                out = []
-                for doc, key, first, packed in zip(*(c.to_pylist() for c in part.columns)):
-                    for i in range(len(packed) - width + 1):
-                        out.append((xxhash.xxh3_128_digest(packed[i : i + width]), doc, key, first + i))
-                if out:
-                    window, *rest = zip(*out)
-                    arrays = [pa.array(window, pa.binary()), *(pa.array(np.array(x, np.int64)) for x in rest)]
-                    yield pa.RecordBatch.from_arrays(arrays, ["window", "doc_id", "key", "start"])
-
+def _whole_blocks(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks of crowded buckets that repeat an earlier one, as ranges; and the first block of each kind."""
     low = F.min(F.struct("doc_id", "start")).alias("low")
     later = F.expr("struct(doc_id, start) > low")
     blocks = blocks.withColumns({"digest": F.unhex(F.md5("packed")), "start": F.get("first", F.lit(0))})
-    blocks = blocks.join(blocks.groupBy("digest").agg(low), "digest")
+    blocks = blocks.join(blocks.groupBy("bucket", "digest").agg(low), ["bucket", "digest"])
     # Every place counts behind the first one of the earliest document.
     again = F.when(later, F.col("first")).otherwise(F.slice("first", F.lit(2), F.size("first")))
     whole = blocks.select("doc_id", "key", again.alias("first"), "n").filter(F.size("first") > 0)
-    firsts = blocks.filter(~later).select("doc_id", "key", "start", "packed")
-    windows = firsts.mapInArrow(digests, "window binary, doc_id long, key long, start long")
-    single = windows.join(windows.groupBy("window").agg(low), "window").filter(later)
-    one = F.lit(1).cast("long").alias("n")
-    return whole.union(single.select("doc_id", "key", F.array("start").alias("first"), one))
+    return whole, blocks.filter(~later).select("bucket", "doc_id", "key", "start", "packed")
+
+
+def _split_buckets(firsts: DataFrame, width: int, gram: int, crowd: int) -> DataFrame:
+    """Blocks of crowded buckets cut again, by minimisers of more bytes; columns as ``meeting_blocks`` has them.
+
+    Equal windows of one bucket still meet, and blocks that shared no more than the
+    shorter minimiser part.  Buckets of one block are left out.
+    """
+    cut = byte_cutter(width, gram)
+    names = ["bucket", "doc_id", "key", "first", "n", "packed"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary()]
+
+    def again(batches):
+        for batch in batches:
+            for part in slices(batch, 1_000_000):
+                out = []
+                for old, doc, key, start, packed in zip(*(c.to_pylist() for c in part.columns)):
+                    first, n, bucket, pack = cut(packed)
+                    new = mix(bucket.view(np.uint64) ^ np.array([old], np.int64).view(np.uint64)).view(np.int64)
+                    for b, f, m in zip(new.tolist(), first.tolist(), n.tolist()):
+                        out.append((b, doc, key, [start + f], m, pack(f, m)))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
+
+    made = firsts.mapInArrow(again, "bucket long, doc_id long, key long, first array<long>, n long, packed binary")
+    made = cut_lineage(made)
+    met = made.groupBy("bucket").agg(F.count("*").alias("met")).filter("met > 1")
+    return cut_lineage(made.join(met, "bucket").withColumn("crowded", F.col("met") > crowd).drop("met"))
 
 
 def repeated_strings(docs: DataFrame, width: int = 100, gram: int = 32, crowd: int = 5000) -> DataFrame:
@@ -151,14 +163,28 @@ def repeated_strings(docs: DataFrame, width: int = 100, gram: int = 32, crowd: i
     Earlier means a smaller doc_id, or a smaller position in the same document.
     Spark deals positions out so that equal strings meet: each goes with its
     minimiser, and minimisers that occur once are dropped before anything
-    travels.  What meets is ranked by prefix doubling.  Buckets of more than
-    ``crowd`` blocks are never brought together but aggregated by digest.
+    travels.  What meets is ranked by prefix doubling.  Of a bucket of more than
+    ``crowd`` blocks the blocks that repeat as a whole are aggregated, and the
+    others are cut again by minimisers of twice as many bytes, until buckets are
+    small; minimisers of ``width`` bytes are the windows themselves, and then all
+    blocks of a bucket are alike.
     """
     blocks = meeting_blocks(docs, byte_cutter(width, gram), two_docs=False, crowd=crowd, bits=27)
-    packed = blocks.filter("not crowded").select("bucket", "doc_id", "key", "first", "n", "packed")
-    dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
-    ranges = dealt.mapInArrow(lambda batches: _string_ranges(batches, width), RANGE)
-    return ranges.union(_crowded_ranges(blocks.filter("crowded"), width))
+    found = None
+    while True:
+        packed = blocks.filter("not crowded").select("bucket", "doc_id", "key", "first", "n", "packed")
+        dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
+        ranges = dealt.mapInArrow(lambda batches: _string_ranges(batches, width), RANGE)
+        found = ranges if found is None else found.union(ranges)
+        crowded = blocks.filter("crowded")
+        if crowded.isEmpty():
+            return found
+        whole, firsts = _whole_blocks(crowded)
+        found = found.union(whole)
+        if gram == width:
+            return found
+        gram = min(width, 2 * gram)
+        blocks = _split_buckets(firsts, width, gram, crowd)
 
 
 def remove_repeated_strings(
