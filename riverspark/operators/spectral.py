@@ -15,11 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from riverspark.columns import as_list, join_groups
 from riverspark.functions import row_count
 from riverspark.operators.series import SEGMENT, fill_linear
+from riverspark.session import cut_lineage
 
 HARMONICS = 3
 DAYS_PER_YEAR = 365.25
@@ -175,42 +175,106 @@ def spectral_metrics(
     )
 
 
-def spectrum(prepared: DataFrame, key: str) -> DataFrame:
+def spectrum(prepared: DataFrame, key: str, whole_days: int = 100_000) -> DataFrame:
     """Amplitude of every frequency bin per key.
 
     A group is one gap-free daily series, so it has at most one row per calendar
-    day (366 per year) however many raw rows stood behind it.
+    day (366 per year) however many raw rows stood behind it.  A series of more than
+    ``whole_days`` days is never held by one task: it is dealt out in columns, and
+    transformed by columns and rows (``_columns``).
     """
-    key_type = prepared.schema[key].dataType
-    schema = T.StructType(
-        [
-            T.StructField(key, key_type),
-            T.StructField("bin", T.IntegerType()),
-            T.StructField("per_year", T.DoubleType()),
-            T.StructField("amplitude", T.DoubleType()),
-        ]
+    kind = prepared.schema[key].dataType.simpleString()
+    rows = prepared.filter("t < n_days").select(F.col(key).alias("key"), "t", "n_days", "n_years", "y")
+    across = F.pow(F.lit(2), F.ceil(F.ceil(F.log2(F.col("n_days") * 2 - 1)) / 2)).cast("int")
+    rows = rows.withColumn("_across", F.when(F.col("n_days") > whole_days, across).otherwise(1))
+    rows = rows.withColumn("_place", F.col("t") % F.col("_across"))
+    same = ["key", "n_days", "n_years", "_across"]
+    shape = f"key {kind}, n_days int, n_years int, _across int, _place int, _row int, re double, im double, bre double, bim double"
+    first = cut_lineage(rows.groupBy(*same, "_place").applyInArrow(_columns, shape))
+    short, long = first.filter("_across = 1"), first.filter("_across > 1")
+    found = short.select("key", "n_days", "n_years", F.col("_row").alias("bin"), F.col("re").alias("size"))
+    if not long.isEmpty():
+        turned = [*same, F.col("_row").alias("_place"), F.col("_place").alias("_row"), "re", "im", "bre", "bim"]
+        product = long.select(*turned).groupBy(*same, "_place").applyInArrow(_rows_multiplied, shape)
+        last = product.select(*turned).groupBy(*same, "_place").applyInArrow(
+            _columns_back, f"key {kind}, n_days int, n_years int, bin int, size double"
+        )
+        found = found.unionByName(last)
+    n = F.col("n_days")
+    scale = F.when(F.col("bin") * 2 == n, 1.0).otherwise(2.0) / n
+    return found.select(
+        F.col("key").alias(key), "bin", (F.col("bin") / F.col("n_years")).alias("per_year"), (F.col("size") * scale).alias("amplitude")
     )
 
-    def transform(table: pa.Table) -> pa.Table:
-        table = table.sort_by("t")
-        y = table["y"].to_numpy()
-        n, years = len(y), table["n_years"][0].as_py()
-        amplitude = np.abs(np.fft.rfft(y)[1:]) * 2.0 / n
-        if n % 2 == 0:
-            amplitude[-1] /= 2.0
-        bins = np.arange(1, len(amplitude) + 1, dtype=np.int32)
-        return pa.table(
-            {
-                key: pa.repeat(table[key][0], len(bins)),
-                "bin": bins,
-                "per_year": bins / float(years),
-                "amplitude": amplitude,
-            }
-        )
 
-    return (
-        prepared.filter("t < n_days").select(key, "t", "n_years", "y").groupBy(key).applyInArrow(transform, schema)
-    )
+def _chirp(t: np.ndarray, n: int) -> np.ndarray:
+    """exp(i pi t^2 / n), the angle reduced in whole numbers."""
+    return np.exp(1j * np.pi * (t.astype(np.int64) ** 2 % (2 * n)) / n)
+
+
+def _shape(key) -> tuple[int, int, int, int]:
+    """Days, columns and rows of the padded table, and the column or row this group holds."""
+    n, across, place = (key[i].as_py() for i in (1, 3, 4))
+    padded = 1 << (2 * n - 2).bit_length()
+    return n, across, padded // across, place
+
+
+def _entries(key, place, row, *parts: np.ndarray) -> pa.Table:
+    """A group's rows for the next shuffle; absent parts are zero."""
+    size = len(row)
+    table = {name: pa.repeat(key[i], size) for i, name in enumerate(("key", "n_days", "n_years", "_across"))}
+    table |= {"_place": pa.array(np.full(size, place, np.int32)), "_row": pa.array(row.astype(np.int32))}
+    values = [np.zeros(size)] * 4
+    values[: 2 * len(parts)] = [x for part in parts for x in (part.real, part.imag)]
+    return pa.table(table | dict(zip(("re", "im", "bre", "bim"), map(pa.array, values))))
+
+
+def _columns(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """A short series whole; else one column of a long one.
+
+    For a long series of n days the transform is a convolution with a chirp, so any
+    n will do: values times a chirp are padded to a power of two and laid out in
+    rows of ``_across``.  Transforms of columns, a turn of each entry, and transforms
+    of rows give the transform of the whole; the same for the chirp.
+    """
+    n, across, down, place = _shape(key)
+    table = table.sort_by("t")
+    t, y = table["t"].to_numpy(), table["y"].to_numpy()
+    if across == 1:
+        size = np.abs(np.fft.rfft(y)[1:])
+        return _entries(key, place, np.arange(1, len(size) + 1), size)
+    values = np.zeros(down, complex)
+    values[t // across] = y * _chirp(t, n).conj()
+    at = np.arange(down, dtype=np.int64) * across + place
+    back = down * across - at
+    chirp = np.where(at < n, _chirp(np.minimum(at, n), n), np.where(back < n, _chirp(np.minimum(back, n), n), 0))
+    turn = np.exp(-2j * np.pi * np.arange(down) * place / (down * across))
+    return _entries(key, place, np.arange(down), np.fft.fft(values) * turn, np.fft.fft(chirp) * turn)
+
+
+def _in_order(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    table = table.sort_by("_row")
+    re, im, bre, bim = (table[c].to_numpy() for c in ("re", "im", "bre", "bim"))
+    return re + 1j * im, bre + 1j * bim
+
+
+def _rows_multiplied(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """One row of both transforms, their product, and the first half of the way back."""
+    _, across, down, row = _shape(key)
+    values, chirp = _in_order(table)
+    product = np.fft.ifft(np.fft.fft(values) * np.fft.fft(chirp))
+    turn = np.exp(2j * np.pi * np.arange(across) * row / (down * across))
+    return _entries(key, row, np.arange(across), product * turn)
+
+
+def _columns_back(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """One column of the convolution: sizes of the bins in it, whose phases do not matter."""
+    n, across, down, place = _shape(key)
+    size = np.abs(np.fft.ifft(_in_order(table)[0]))
+    bins = np.arange(down) * across + place
+    kept = (bins >= 1) & (bins <= n // 2)
+    same = {name: pa.repeat(key[i], int(kept.sum())) for i, name in enumerate(("key", "n_days", "n_years"))}
+    return pa.table(same | {"bin": pa.array(bins[kept].astype(np.int32)), "size": pa.array(size[kept])})
 
 
 def seasonal_flag(spectra: DataFrame, key: str, top: int = 5) -> DataFrame:

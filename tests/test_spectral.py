@@ -96,6 +96,22 @@ def test_spectrum_and_flag(flow):
     assert {r.seasonal for r in spectral.seasonal_flag(noise, "s").collect()} == {"no"}
 
 
+@pytest.mark.parametrize("sizes", [(731, 1096, 2557, 4096), (367, 5000)])
+def test_spectrum_of_series_split_over_tasks(spark, sizes):
+    rng = np.random.default_rng(17)
+    series = {f"s{n}": rng.normal(size=n) for n in sizes}
+    rows = [(s, t, len(y), len(y) // 365, float(v)) for s, y in series.items() for t, v in enumerate([*y, 9.0])]
+    ready = spark.createDataFrame(rows, "s string, t int, n_days int, n_years int, y double")
+    whole = spectral.spectrum(ready, "s").orderBy("s", "bin").toPandas()
+    split = spectral.spectrum(ready, "s", whole_days=1000).orderBy("s", "bin").toPandas()
+    assert (whole[["s", "bin", "per_year"]] == split[["s", "bin", "per_year"]]).all(axis=None)
+    np.testing.assert_allclose(split.amplitude, whole.amplitude, atol=1e-12)
+    for s, y in series.items():
+        size = np.abs(np.fft.rfft(y)[1:]) * 2 / len(y)
+        size[-1] /= 2 if len(y) % 2 == 0 else 1
+        np.testing.assert_allclose(split.amplitude[split.s == s], size, atol=1e-12)
+
+
 def test_missing_and_dry_days_are_filled_or_refused(spark, flow):
     df, _, _ = flow
     holed = df.selectExpr("s", "date", "CASE WHEN day(date) = 3 THEN 0 WHEN day(date) = 5 THEN NULL ELSE q END AS q")
