@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riverspark.llm.common import column, slices, texts
+from riverspark.session import cut_lineage
 
 #: Letters that are one character and two bytes in any normal form, besides a-z and A-Z.
 _LATIN = "\xc0-\xd6\xd8-\xf6\xf8-\xff"
@@ -137,7 +138,8 @@ def context_limits(histogram: DataFrame, band: int = 256) -> DataFrame:
     Suffix sums run inside bands of ``band`` lengths and once over the band
     totals, so no task holds all lengths.
     """
-    rows = histogram.withColumn("band", F.floor(F.col("length") / band))
+    # Written once: the texts behind it are encoded for one of the two uses below only.
+    rows = cut_lineage(histogram).withColumn("band", F.floor(F.col("length") / band))
     tokens = F.sum(F.col("docs") * F.col("length"))
     # The window below sees one row per band: the longest text over ``band``.
     bands = rows.groupBy("band").agg(F.sum("docs").alias("d"), tokens.alias("t"))
