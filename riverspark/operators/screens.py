@@ -180,10 +180,12 @@ def select_records(
     """
     first_days = None if trim_rules is None else first_good_days(trim_rules, key)
     parts = intervals.observed_months(raw, key, date, value, lo, hi, first_days)
-    parts = cut_lineage(parts) if reuse else parts
+    bounded = start_before is not None or end_after is not None
+    parts = cut_lineage(parts) if reuse and bounded else parts
     months = intervals.record_months(parts, key, value, max_missing_days, lo, hi, first_days)
+    months = cut_lineage(months) if reuse else months
     kept = raw
-    if start_before is not None or end_after is not None:
+    if bounded:
         ranges = intervals.record_ranges(parts, key)
         kept = keep_keys(kept, in_time(ranges, start_before, end_after), key)
     kept = drop_keys(kept, _rejected(months, key, value, **limits), key)
