@@ -6,7 +6,6 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +22,7 @@ from riverspark.llm.blocks import (
     runs,
 )
 from riverspark.llm.common import slices, whole_groups
+from riverspark.session import cut_lineage
 
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -82,45 +82,71 @@ def _window_ranges(batches, width: int):
             yield range_batch(out)
 
 
-def _crowded_ranges(blocks: DataFrame, width: int) -> DataFrame:
-    """The same for buckets of any size: whole blocks, then single windows, meet by a 128-bit digest."""
+def _whole_blocks(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks of crowded buckets that an earlier document has too, as ranges; and the blocks of the earliest one."""
+    blocks = blocks.withColumn("digest", F.unhex(F.md5("packed")))
+    low = blocks.groupBy("bucket", "digest").agg(F.min("doc_id").alias("low"))
+    blocks = blocks.join(low, ["bucket", "digest"])
+    whole = blocks.filter("doc_id > low").select("doc_id", "key", "first", "n")
+    # Rows that repeat a document have its ranges, so one of them stands for all.
+    firsts = blocks.filter("doc_id = low").dropDuplicates(["bucket", "digest", "doc_id", "key", "first"])
+    return whole, firsts.select("bucket", "doc_id", "key", "first", "packed")
 
-    def digests(batches):
-        for batch in batches:
-            out = []
-            for doc, key, first, packed in zip(*(c.to_pylist() for c in batch.columns)):
-                words = packed.split(b" ")
-                for i in range(len(words) - width + 1):
-                    window = xxhash.xxh3_128_digest(b" ".join(words[i : i + width]))
-                    out.append((window, doc, key, [f + i for f in first]))
-            if out:
-                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-                arrays = [pa.array(x, kind) for x, kind in zip(zip(*out), kinds)]
-                yield pa.RecordBatch.from_arrays(arrays, ["window", "doc_id", "key", "first"])
 
-    blocks = blocks.withColumn("digest", F.unhex(F.md5("packed")))
-    low = blocks.groupBy("digest").agg(F.min("doc_id").alias("low"))
-    blocks = blocks.join(low, "digest")
-    later = blocks.filter("doc_id > low").select("doc_id", "key", "first", "n")
-    firsts = blocks.filter("doc_id = low").select("doc_id", "key", "first", "packed")
-    windows = firsts.mapInArrow(digests, "window binary, doc_id long, key long, first array<long>")
-    low = windows.groupBy("window").agg(F.min("doc_id").alias("low"))
-    single = windows.join(low, "window").filter("doc_id > low")
-    return later.union(single.select("doc_id", "key", "first", F.lit(1).cast("long").alias("n")))
+def _split_buckets(firsts: DataFrame, width: int, gram: int, crowd: int) -> DataFrame:
+    """Blocks of crowded buckets cut again, by minimisers of more words; columns as ``meeting_blocks`` has them.
+
+    Equal windows of one bucket still meet, and blocks that shared no more than the
+    shorter minimiser part.  Buckets of one document are left out.
+    """
+    cut = word_cutter(width, gram)
+    names = ["bucket", "doc_id", "key", "first", "n", "packed"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary()]
+
+    def again(batches):
+        for batch in batches:
+            for part in slices(batch, 1_000_000):
+                out = []
+                for old, doc, key, places, packed in zip(*(c.to_pylist() for c in part.columns)):
+                    first, n, bucket, pack = cut(packed)
+                    new = mix(bucket.view(np.uint64) ^ np.array([old], np.int64).view(np.uint64)).view(np.int64)
+                    for b, f, m in zip(new.tolist(), first.tolist(), n.tolist()):
+                        out.append((b, doc, key, [p + f for p in places], m, pack(f, m)))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
+
+    made = firsts.mapInArrow(again, "bucket long, doc_id long, key long, first array<long>, n long, packed binary")
+    made = cut_lineage(made)
+    size = made.groupBy("bucket").agg(F.count("*").alias("met"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    met = size.filter("low < high").select("bucket", (F.col("met") > crowd).alias("crowded"))
+    return cut_lineage(made.join(met, "bucket"))
 
 
 def repeated_windows(docs: DataFrame, width: int = 50, gram: int = 8, crowd: int = 2000) -> DataFrame:
     """Ranges ``first``, ``n`` of windows whose words also start in a document with a smaller doc_id.
 
     ``docs`` has ``doc_id``, ``text`` and ``key``.  Windows of a bucket are
-    sorted and compared in full.  Buckets of more than ``crowd`` blocks are never
-    brought together: their blocks and windows are aggregated by digest.
+    sorted and compared in full.  Of a bucket of more than ``crowd`` blocks the
+    blocks that repeat as a whole are aggregated, and the others are cut again by
+    minimisers of twice as many words, until buckets are small; minimisers of
+    ``width`` words are the windows themselves, and then all blocks of a bucket are alike.
     """
     blocks = meeting_blocks(docs, word_cutter(width, gram), two_docs=True, crowd=crowd)
-    packed = blocks.filter("not crowded").select("bucket", "doc_id", "key", "first", "n", "packed")
-    dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
-    ranges = dealt.mapInArrow(lambda batches: _window_ranges(batches, width), RANGE)
-    return ranges.union(_crowded_ranges(blocks.filter("crowded"), width))
+    found = None
+    while True:
+        packed = blocks.filter("not crowded").select("bucket", "doc_id", "key", "first", "n", "packed")
+        dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
+        ranges = dealt.mapInArrow(lambda batches: _window_ranges(batches, width), RANGE)
+        found = ranges if found is None else found.union(ranges)
+        crowded = blocks.filter("crowded")
+        if crowded.isEmpty():
+            return found
+        whole, firsts = _whole_blocks(crowded)
+        found = found.union(whole)
+        if gram == width:
+            return found
+        gram = min(width, 2 * gram)
+        blocks = _split_buckets(firsts, width, gram, crowd)
 
 
 def remove_repeated_windows(

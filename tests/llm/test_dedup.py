@@ -50,7 +50,7 @@ def test_long_chain_of_links(spark):
     assert {r.component for r in components(links).collect()} == {0}
 
 
-@pytest.mark.parametrize("crowd", [1, 2000])
+@pytest.mark.parametrize("crowd", [1, 2, 6, 2000])
 def test_windows(docs, crowd):
     got = substrings.remove_repeated_windows(docs, crowd=crowd).collect()
     expected = slow_windows([(d, t) for d, t, _ in corpus()])
