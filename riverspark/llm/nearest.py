@@ -212,15 +212,17 @@ def nearest(
     first searches its own cell; its k-th distance then decides, by the same
     test, which other cells it visits.  Vectors that are NULL, empty, zero or
     hold NULL or non-finite components, and rows without id, take no part;
-    neighbours have the query's length and another vec_id; repeated queries are
-    answered once; with fewer than ``k`` candidates all are returned.
+    neighbours have the query's length and another vec_id; with fewer than ``k``
+    candidates all are returned.  Rows that repeat id and vector count once; an id
+    with several vectors is a candidate with each of them, and asks with the
+    smallest one in array order, whatever the order of rows.
     """
     spark = vectors.sparkSession
     copies = Window.partitionBy("v").orderBy("vec_id")
     points = usable(vectors, id_col, vector_col).distinct()
     points = points.withColumn("_n", F.row_number().over(copies)).filter(F.col("_n") <= k + 1).drop("_n")
     points = cut_lineage(points)
-    asked = usable(queries, id_col, vector_col).dropDuplicates(["vec_id"])
+    asked = usable(queries, id_col, vector_col).groupBy("vec_id").agg(F.min("v").alias("v"))
     sizes = {r["s"]: r["n"] for r in points.groupBy(F.size("v").alias("s")).agg(F.count("*").alias("n")).collect()}
     sample = bounded_sample(points, ["vec_id"], sample_rows).toArrow().combine_chunks()
     shown = {
