@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,14 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return in_small_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
+def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """``df`` without the columns of these names, in any case where the session ignores case."""
+    exact = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+    fold = str if exact else str.lower
+    gone = {fold(n) for n in names}
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if fold(c) not in gone))
+
+
 def bounded_sample(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
     """Rows of the ``most`` smallest hashes of ``keys``, one row for each."""
     return sample_and_rest(rows, keys, most)[0]

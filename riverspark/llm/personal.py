@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riverspark.llm.common import in_small_batches, slices
+from riverspark.llm.common import in_small_batches, slices, without
 
 #: In the order of the result.  The first four are found by pattern and check alone.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
@@ -135,8 +135,7 @@ def personal_data(
     ``docs`` with the new names are replaced.
     """
     new = [spans_col, *([redacted_col] if redacted_col else [])]
-    docs = in_small_batches(docs)
-    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in new or c == text_col))
+    docs = without(in_small_batches(docs), [n for n in new if n != text_col])
     replaces = redacted_col == text_col
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from riverspark.llm.blocks import bitmap, has_bit
 from riverspark.llm.charlm import Known, ShardedModel, count_grams, fit_shards, looked_up
-from riverspark.llm.common import in_small_batches, sample_and_rest, slices
+from riverspark.llm.common import in_small_batches, sample_and_rest, slices, without
+from riverspark.session import shared_folder
 
 ORDER = 5
 _STRETCH = 200_000
@@ -74,10 +76,14 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, bits: int = 26) -> DataFr
 
     A bitmap of fixed size holds the labelled ids, so that the texts of other
     rows are dropped before the join.  Labels grow with the documents: the join
-    never broadcasts them, also where they happen to be few.
+    never broadcasts them, also where they happen to be few.  A document has one
+    label: it is toxic if any of its rows in ``labels`` says so, NULLs say nothing.
+    Documents that repeat a doc_id each have its label.  The result is written once,
+    as it is read for the sample, the counts and the decision.
     """
     labels = labels.filter("doc_id is not null and toxic is not null")
-    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr("string(int(toxic != 0))").alias("label"))
+    labels = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic") != 0).alias("toxic"))
+    labels = labels.select("doc_id", F.expr("string(int(toxic))").alias("label"))
     sent = docs.sparkSession.sparkContext.broadcast(bitmap(labels.select(F.xxhash64("doc_id").alias("h")), "h", bits))
 
     def keep(batches):
@@ -86,7 +92,10 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, bits: int = 26) -> DataFr
 
     rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.withColumn("h", F.xxhash64("doc_id"))
-    return rows.mapInArrow(keep, "doc_id long, text string, h long").join(labels.hint("merge"), "doc_id").drop("h")
+    known = rows.mapInArrow(keep, "doc_id long, text string, h long").join(labels.hint("merge"), "doc_id").drop("h")
+    folder = f"{shared_folder(docs.sparkSession)}/labelled-{uuid.uuid4().hex}"
+    known.write.option("compression", "zstd").parquet(folder)
+    return docs.sparkSession.read.schema("doc_id long, text string, label string").parquet(folder)
 
 
 def train(
@@ -118,8 +127,7 @@ def score_texts(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> Data
     NULL and texts without a letter get the share of toxic rows among those
     learned from, at most 0.49.  Columns of ``docs`` with the new names are replaced.
     """
-    docs = in_small_batches(docs)
-    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")))
+    docs = without(in_small_batches(docs), ("score", "predicted"))
 
     def run(batches):
         for batch in batches:
