@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riverspark.llm.blocks import bitmap, has_bit, keyed, mix, range_hashes
 from riverspark.llm.common import slices
+from riverspark.session import cut_lineage
 
 #: Words are runs of ASCII letters and digits and of anything beyond ASCII; A-Z are lower-cased.
 _WORDS = bytes(
@@ -51,7 +52,11 @@ def signature_length(size: int, threshold: float) -> int:
 
 
 def item_shingles(items: DataFrame, id_col: str, text_col: str, width: int, threshold: float) -> DataFrame:
-    """Distinct shingles of each item: ``item_id``, ``shingle``, ``hash``, ``size`` and ``signed`` (in its signature)."""
+    """Distinct shingles of each item: ``item_id``, ``shingle``, ``hash``, ``size`` and ``signed`` (in its signature).
+
+    Any choice of so many shingles is safe.  Those of fewest items come first, then
+    those of smallest hash, so that a phrase of many items signs none that has others.
+    """
 
     def run(batches):
         for batch in batches:
@@ -59,18 +64,20 @@ def item_shingles(items: DataFrame, id_col: str, text_col: str, width: int, thre
             for item, text, key in zip(*(c.to_pylist() for c in batch.columns)):
                 parts = Shingles(text, width)
                 strings = {parts.string(i): int(h) for i, h in enumerate(parts.hashes.view(np.int64))}
-                ranked = sorted(strings, key=lambda s: (strings[s] % 2**64, s))
-                signed = signature_length(len(ranked), threshold)
-                out += [(item, key, s, strings[s], len(ranked), i < signed) for i, s in enumerate(ranked)]
+                size, length = len(strings), signature_length(len(strings), threshold)
+                out += [(item, key, s, h, size, length) for s, h in strings.items()]
             if out:
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
-                names = ["item_id", "item_key", "shingle", "hash", "size", "signed"]
+                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+                names = ["item_id", "item_key", "shingle", "hash", "size", "length"]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
 
     rows = items.select(F.col(id_col).cast("long"), F.col(text_col), F.xxhash64(text_col)).distinct()
-    return rows.mapInArrow(
-        run, "item_id long, item_key long, shingle string, hash long, size long, signed boolean"
-    )
+    schema = "item_id long, item_key long, shingle string, hash long, size long, length long"
+    shingles = cut_lineage(rows.mapInArrow(run, schema))
+    holders = shingles.groupBy("shingle").agg(F.count("*").alias("holders"))
+    order = Window.partitionBy("item_id", "item_key").orderBy("holders", "hash", "shingle")
+    ranked = shingles.join(holders, "shingle").withColumn("signed", F.row_number().over(order) <= F.col("length"))
+    return cut_lineage(ranked.select("item_id", "item_key", "shingle", "hash", "size", "signed"))
 
 
 def _matches(
@@ -104,9 +111,15 @@ def _matches(
                     yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "shingle"])
 
     hits = keyed(docs, id_col, text_col).mapInArrow(probe, "doc_id long, key long, shingle string").distinct()
-    pairs = hits.join(shingles, "shingle").groupBy("doc_id", "key", "item_id", "item_key", "size")
-    shared = pairs.agg(F.count("*").alias("shared"), F.max("signed").alias("signed"))
-    return shared.filter(F.col("signed") & (F.col("shared") >= threshold * F.col("size") - 1e-9))
+    hits = cut_lineage(hits)
+    pair = ["doc_id", "key", "item_id", "item_key"]
+    # Signatures propose pairs; only their shingles are counted.
+    pairs = hits.join(shingles.filter("signed"), "shingle").select(*pair).distinct()
+    same_item = F.expr("p.item_id <=> s.item_id and p.item_key = s.item_key")
+    asked = pairs.alias("p").join(shingles.alias("s"), same_item).select("p.*", "s.shingle", "s.size")
+    met = F.expr("a.doc_id <=> h.doc_id and a.key <=> h.key and a.shingle = h.shingle")
+    shared = asked.alias("a").join(hits.alias("h"), met, "left_semi").groupBy(*pair, "size").agg(F.count("*").alias("shared"))
+    return shared.filter(F.col("shared") >= threshold * F.col("size") - 1e-9)
 
 
 def contaminated(
@@ -126,12 +139,12 @@ def contaminated(
     that the document has anywhere.  Columns: ``doc_id``, ``item_id``,
     ``shared``, ``item_shingles``, ``containment``.
 
-    An item's signature is its smallest shingle hashes, as many as its size
-    class needs so that no document above the threshold can miss them all;
-    banded whole-text signatures would lose short items inside long documents.
+    An item's signature is its smallest shingle hashes, rarest shingles first, as
+    many as its size class needs so that no document above the threshold can miss
+    them all; banded whole-text signatures would lose short items inside long documents.
     The signatures of all items go into a bitmap of fixed size that documents
-    probe with every shingle; shingle strings then meet in a join, and the exact
-    count decides.
+    probe with every shingle.  A pair is a document and an item of which it holds a
+    signed shingle; the exact count over the item's shingles decides.
 
     NULL, empty and short texts, and items under ``width`` words, match nothing;
     repeated rows give one pair; a document without id comes back with a NULL

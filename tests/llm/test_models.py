@@ -109,6 +109,25 @@ def test_toxicity(spark):
     assert {r.predicted for r in nothing} == {0}
 
 
+def test_one_label_for_each_document(spark):
+    rows = [(1, "a b", None), (1, "c d", None), (2, "e", None), (3, "f", None), (None, "g", None)]
+    labels = [(1, 1), (1, 0), (1, 1), (2, 0), (2, None), (2, 0), (3, None), (None, 1), (9, 1)]
+    known = toxicity.labelled_texts(
+        spark.createDataFrame(rows_of(rows), SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int")
+    )
+    assert sorted(map(tuple, known.collect())) == [(1, "a b", "1"), (1, "c d", "1"), (2, "e", "0")]
+
+
+def test_names_that_differ_in_case_are_replaced(spark):
+    docs = spark.createDataFrame([(1, "some words", "x", 2, "y")], "doc_id long, text string, Score string, PREDICTED int, Lang_Pred string")
+    learned = docs.selectExpr("text", "'en' AS label")
+    found = language.identify(docs, language.train(learned))
+    assert found.columns == ["doc_id", "text", "PREDICTED", "lang_pred", "score", "rejected"] and found.count() == 1
+    known = docs.selectExpr("text", "'0' AS label")
+    scored = toxicity.score_texts(docs, toxicity.train(known, known))
+    assert scored.columns == ["doc_id", "text", "Lang_Pred", "score", "predicted"] and scored.count() == 1
+
+
 def test_folds(spark):
     rows = spark.createDataFrame([(i,) for i in (0, 7, 123456789, -3)], "doc_id long")
     from riverspark.llm.common import fold_of

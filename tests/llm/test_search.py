@@ -5,9 +5,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from llm.helpers import SCHEMA, corpus, rows_of, sentences
-from riverspark.llm import contamination, nearest, personal
+from riverspark.llm import contamination, nearest, personal, queries
 
 ITEMS = "item_id long, text string, source string, score string"
 
@@ -57,6 +58,20 @@ def test_without_contaminated(spark):
     assert contamination.contaminated(table.limit(0), bench).collect() == []
 
 
+def test_common_phrase_proposes_no_pairs(spark):
+    """A phrase of all items and all documents signs no item, so it brings no pairs of documents and items."""
+    phrase = "one phrase that all of them share"
+    items = [(i, f"{phrase} {sentences(4000 + i, 30)}", "s", "x") for i in range(40)]
+    docs = [(d, f"{sentences(d, 60)} {phrase} {sentences(90 + d, 60)}", "en") for d in range(60)]
+    docs += [(100 + i, f"{sentences(500 + i, 40)} {items[i][1]}", "en") for i in range(5)]
+    bench = spark.createDataFrame(items, ITEMS)
+    shingles = contamination.item_shingles(bench, "item_id", "text", 5, 0.8)
+    common = [r for r in shingles.collect() if r.shingle in phrase]
+    assert len(common) == 3 * 40 and not any(r.signed for r in common)
+    got = contamination.contaminated(spark.createDataFrame(rows_of(docs), SCHEMA), bench).collect()
+    assert {(r.doc_id, r.item_id, r.containment) for r in got} == {(100 + i, i, 1.0) for i in range(5)}
+
+
 def test_signature_cannot_be_missed():
     for size in range(1, 400):
         lacking = size - -(-size * 4 // 5)
@@ -153,6 +168,42 @@ def test_nearest(spark, chunk):
     assert nearest.nearest(table.limit(0), table.limit(0)).collect() == []
 
 
+def test_nearest_of_repeated_ids(spark):
+    """An id with two vectors asks with the smaller one and may be found with both, in any order of rows."""
+    draw = np.random.default_rng(8)
+    rows = [(i, draw.normal(size=6).tolist()) for i in range(300)]
+    rows += [(i % 100, draw.normal(size=6).tolist()) for i in range(120)] + rows[:30]
+    first = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    lists = []
+    for table in (first.coalesce(1), first.orderBy(F.desc("embedding")).repartition(4)):
+        found = nearest.nearest(table, table.filter("vec_id % 50 = 0"), sure=1.0).collect()
+        lists.append(sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found))
+    assert lists[0] == lists[1]
+    distinct = sorted({(i, tuple(v)) for i, v in rows})
+    for query in range(0, 300, 50):
+        own = min(v for i, v in distinct if i == query)
+        true = slow_nearest(distinct, (query, own))
+        mine = [(score, vec) for q, _, vec, score in lists[0] if q == query]
+        assert [v for _, v in mine] == [v for _, v in true]
+        assert np.allclose([s for s, _ in mine], [s for s, _ in true], rtol=1e-12)
+
+
+def test_nearest_finds_most_of_the_test_vectors(spark):
+    """Recall of the registered query against a full scan."""
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids = np.array([r.vec_id for r in vectors])
+    data = np.array([r.embedding for r in vectors], np.float64)
+    got = {}
+    for r in queries.QUERIES["op10_nearest"](spark, "/root/testdata/sf0.1").collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = []
+    for at in np.flatnonzero(ids % 100 == 0):
+        far = ((data - data[at]) ** 2).sum(axis=1)
+        far[at] = np.inf
+        hits.append(len(got[ids[at]] & set(ids[np.lexsort((ids, far))[:10]].tolist())) / 10)
+    assert len(hits) == len(got) and np.mean(hits) >= 0.9
+
+
 def test_chi_square():
     draw = np.random.default_rng(1).normal(size=(200_000, nearest.PROJECTIONS))
     for x in (2.0, 8.0, 15.0):
