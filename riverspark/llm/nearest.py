@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from riverspark.llm.common import bounded_sample
 from riverspark.session import cut_lineage
 
-PROJECTIONS = 8
+PROJECTIONS = 16
 _LEAF = 32
+_STEP = 64  # points verified before the stopping test is asked again
 
 
 def projection(size: int, seed: int = 42) -> np.ndarray:
@@ -29,6 +30,31 @@ def chi_square(x: np.ndarray | float) -> np.ndarray | float:
     return 1 - np.exp(-half) * sum(half**i / math.factorial(i) for i in range(PROJECTIONS // 2))
 
 
+def quantile(sure: float) -> float:
+    """Where ``chi_square`` reaches ``sure``; infinite for 1."""
+    if sure >= 1:
+        return math.inf
+    low, high = 0.0, 1000.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square(middle) < sure else (low, middle)
+    return high
+
+
+def _bound(limit: float, far: float, point: np.ndarray) -> float:
+    """Squared projected distance beyond which the search for points within ``far`` ends.
+
+    Equal vectors are projected in different batches, so a rounding error is allowed for.
+    """
+    return (limit * far * far if far > 0 else 0.0) + 1e-24 * float(point @ point)
+
+
+def _gaps(low: np.ndarray, high: np.ndarray, point: np.ndarray) -> np.ndarray:
+    """Squared distance from a point to boxes; 0 where numbers overflow, so that nothing is lost."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        return np.nan_to_num((np.maximum(0, np.maximum(low - point, point - high)) ** 2).sum(axis=1), nan=0.0, posinf=np.inf)
+
+
 @dataclass
 class Cells:
     """A kd-tree over projected space whose leaves are cells; node i has children 2i + 1 and 2i + 2."""
@@ -47,7 +73,7 @@ class Cells:
 
     def gaps(self, point: np.ndarray) -> np.ndarray:
         """Squared projected distance from a point to every cell."""
-        return (np.maximum(0, np.maximum(self.low - point, point - self.high)) ** 2).sum(axis=1)
+        return _gaps(self.low, self.high, point)
 
 
 def fit_cells(sample: np.ndarray, depth: int) -> Cells:
@@ -85,34 +111,54 @@ class Tree:
             ranked = rows[np.argpartition(part[:, np.ptp(part, axis=0).argmax()], len(rows) // 2)]
             pending += [ranked[: len(rows) // 2], ranked[len(rows) // 2 :]]
         order = np.concatenate(order)
-        self.ids, self.vectors, points = ids[order], vectors[order], points[order]
+        self.ids, self.vectors, self.points = ids[order], vectors[order], points[order]
         self.ends = np.cumsum(ends)
         self.starts = self.ends - ends
-        self.low = np.minimum.reduceat(points, self.starts)
-        self.high = np.maximum.reduceat(points, self.starts)
+        self.low = np.minimum.reduceat(self.points, self.starts)
+        self.high = np.maximum.reduceat(self.points, self.starts)
+        self.verified = 0
 
-    def nearest(self, own: int, vector: np.ndarray, point: np.ndarray, k: int, within: float, sure: float):
+    def nearest(self, own: int, vector: np.ndarray, point: np.ndarray, k: int, within: float, limit: float):
         """Up to ``k`` nearest ids and distances, but none beyond ``within``.
 
-        Leaves come in order of their projected distance r.  A point nearer than
-        the k-th distance d found so far projects beyond r with a probability of
-        1 - chi_square(r^2 / d^2) at most; the search ends when that is small.
+        Points come in order of their projected distance r: leaves are opened by the
+        distance of their boxes, and an opened point waits until no unopened leaf can
+        hold a nearer one.  A point nearer than the k-th distance d found so far projects
+        beyond r with a probability of 1 - chi_square(r^2 / d^2) at most; the search ends
+        when r^2 / d^2 is over ``limit``, the quantile of the wanted certainty.
         """
-        gaps = (np.maximum(0, np.maximum(self.low - point, point - self.high)) ** 2).sum(axis=1)
+        gaps = _gaps(self.low, self.high, point)
         order = np.argsort(gaps, kind="stable")
+        gaps = np.r_[gaps[order], np.inf]
         ids, found = np.zeros(0, np.int64), np.zeros(0)
-        for at in range(0, len(order), 4):
-            far = min(within, found[k - 1] if len(found) >= k else np.inf)
-            gap = gaps[order[at]]
-            if gap > 0 and (far == 0 or chi_square(gap / far**2) >= sure):
-                break
-            rows = np.concatenate([np.arange(self.starts[i], self.ends[i]) for i in order[at : at + 4]])
+        waiting, apart = np.zeros(0, np.int64), np.zeros(0)
+        at, width, bound = 0, 4, _bound(limit, within, point)
+        while at < len(order) and not gaps[at] > bound:
+            opened = order[at : at + width]
+            at, width = at + len(opened), 2 * width
+            rows = np.concatenate([np.arange(self.starts[i], self.ends[i]) for i in opened])
             rows = rows[self.ids[rows] != own]
-            apart = np.sqrt(((self.vectors[rows] - vector) ** 2).sum(axis=1))
-            near = apart <= far
-            ids, found = np.r_[ids, self.ids[rows][near]], np.r_[found, apart[near]]
-            best = np.lexsort((ids, found))[:k]
-            ids, found = ids[best], found[best]
+            shown = _gaps(self.points[rows], self.points[rows], point)
+            waiting, apart = np.r_[waiting, rows], np.r_[apart, shown]
+            ranked = np.argsort(apart, kind="stable")
+            waiting, apart = waiting[ranked], apart[ranked]
+            done = 0
+            while True:
+                ready = np.searchsorted(apart, min(bound, gaps[at]), side="right")
+                if done >= ready:
+                    break
+                rows = waiting[done : min(ready, done + _STEP)]
+                done += len(rows)
+                self.verified += len(rows)
+                far = np.sqrt(((self.vectors[rows] - vector) ** 2).sum(axis=1))
+                near = far <= (found[k - 1] if len(found) >= k else within)
+                if near.any():
+                    ids, found = np.r_[ids, self.ids[rows][near]], np.r_[found, far[near]]
+                    best = np.lexsort((ids, found))[:k]
+                    ids, found = ids[best], found[best]
+                    if len(found) >= k:
+                        bound = _bound(limit, min(within, found[k - 1]), point)
+            waiting, apart = waiting[done:], apart[done:]
         return ids, found
 
 
@@ -147,7 +193,7 @@ def _place(rows: DataFrame, trees: dict[int, tuple[int, Cells]]) -> DataFrame:
     return rows.mapInArrow(run, "vec_id long, v array<double>, cell long")
 
 
-def _search(points: DataFrame, asked: DataFrame, k: int, sure: float) -> DataFrame:
+def _search(points: DataFrame, asked: DataFrame, k: int, limit: float) -> DataFrame:
     """The ``k`` nearest of each chunk for the queries sent to it.
 
     ``points`` has ``chunk``, ``vec_id``, ``v``; ``asked`` has the same and
@@ -177,7 +223,7 @@ def _search(points: DataFrame, asked: DataFrame, k: int, sure: float) -> DataFra
                     tree = Tree(table.column("vec_id").to_numpy(), vectors, vectors @ projection(vectors.shape[1]))
                 ids, vectors, within = part.column(2).to_numpy(), _matrix(part.column(3)), part.column(4).to_numpy()
                 shown = vectors @ projection(vectors.shape[1])
-                found = [tree.nearest(*row, k, far, sure) for *row, far in zip(ids, vectors, shown, within)]
+                found = [tree.nearest(*row, k, far, limit) for *row, far in zip(ids, vectors, shown, within)]
                 many = [len(near) for near, _ in found]
                 if sum(many):
                     arrays = [np.repeat(ids, many), *(np.concatenate(x) for x in zip(*found))]
@@ -194,7 +240,7 @@ def nearest(
     vectors: DataFrame,
     queries: DataFrame,
     k: int = 10,
-    sure: float = 0.985,
+    sure: float = 0.97,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     chunk_rows: int = 4096,
@@ -210,7 +256,7 @@ def nearest(
     Of equal vectors only the ``k`` + 1 smallest ids take part, as no answer can
     need more.  A cell is searched in chunks of about ``chunk_rows``.  A query
     first searches its own cell; its k-th distance then decides, by the same
-    test, which other cells it visits.  Vectors that are NULL, empty, zero or
+    test, which other cells it visits and which of their points it verifies.  Vectors that are NULL, empty, zero or
     hold NULL or non-finite components, and rows without id, take no part;
     neighbours have the query's length and another vec_id; with fewer than ``k``
     candidates all are returned.  Rows that repeat id and vector count once; an id
@@ -218,6 +264,7 @@ def nearest(
     smallest one in array order, whatever the order of rows.
     """
     spark = vectors.sparkSession
+    limit = quantile(sure)
     copies = Window.partitionBy("v").orderBy("vec_id")
     points = usable(vectors, id_col, vector_col).distinct()
     points = points.withColumn("_n", F.row_number().over(copies)).filter(F.col("_n") <= k + 1).drop("_n")
@@ -267,7 +314,7 @@ def nearest(
                             go = home[i : i + 1]
                         else:
                             gaps = cells.gaps(shown[i])
-                            go = (chi_square(gaps / far**2) < sure) if far > 0 else gaps == 0
+                            go = gaps <= _bound(limit, far, shown[i])
                             go[home[i]] = False
                             go = np.flatnonzero(go)
                         for cell in (base + go).tolist():
@@ -283,12 +330,12 @@ def nearest(
     dealt = placed.mapInArrow(chunks, "chunk long, vec_id long, v array<double>")
     schema = "chunk long, vec_id long, v array<double>, within double"
     far = F.lit(float("inf")).alias("within")
-    home = _search(dealt, asked.select("vec_id", "v", far).mapInArrow(visits(True), schema), k, sure)
+    home = _search(dealt, asked.select("vec_id", "v", far).mapInArrow(visits(True), schema), k, limit)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     home = cut_lineage(home.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank"))
     reach = home.groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("d"))
     reach = reach.filter(F.col("n") >= k).select(F.col("query_id").alias("vec_id"), "d")
     onward = asked.join(reach, "vec_id", "left").select("vec_id", "v", F.coalesce("d", F.lit(float("inf"))).alias("within"))
-    away = _search(dealt, onward.mapInArrow(visits(False), schema), k, sure)
+    away = _search(dealt, onward.mapInArrow(visits(False), schema), k, limit)
     ranked = home.union(away).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -204,7 +204,37 @@ def test_nearest_finds_most_of_the_test_vectors(spark):
     assert len(hits) == len(got) and np.mean(hits) >= 0.9
 
 
+def test_stopping_test_leaves_points_out():
+    """The search verifies in projected order, stops early, and still finds nearly all; with limit infinite, all."""
+    draw = np.random.default_rng(5)
+    centres = draw.normal(size=(20, 32)) * 2
+    data = np.repeat(centres, 200, axis=0) + 0.2 * draw.normal(size=(4000, 32))
+    shown = data @ nearest.projection(32)
+    hits = {0.97: 0, 1.0: 0}
+    for sure in hits:
+        tree, limit = nearest.Tree(np.arange(4000), data, shown), nearest.quantile(sure)
+        for at in range(0, 4000, 100):
+            far = np.sqrt(((data - data[at]) ** 2).sum(axis=1))
+            far[at] = np.inf
+            true = np.lexsort((np.arange(4000), far))[:10]
+            ids, found = tree.nearest(at, data[at], shown[at], 10, np.inf, limit)
+            assert len(ids) == 10 and np.array_equal(found, far[ids]) and (np.diff(found) >= 0).all()
+            hits[sure] += len(set(ids) & set(true))
+            if sure == 1:
+                bounded, _ = tree.nearest(at, data[at], shown[at], 10, found[4], limit)
+                assert bounded.tolist() == ids[: len(bounded)].tolist() and found[4] == found[len(bounded) - 1]
+        if sure < 1:
+            assert tree.verified < 0.1 * 4000 * 40
+    assert hits[1.0] == 400 and hits[0.97] >= 380
+
+
+def test_quantile():
+    assert nearest.quantile(1.0) == float("inf")
+    for sure in (0.5, 0.9, 0.97):
+        assert abs(nearest.chi_square(nearest.quantile(sure)) - sure) < 1e-9
+
+
 def test_chi_square():
     draw = np.random.default_rng(1).normal(size=(200_000, nearest.PROJECTIONS))
-    for x in (2.0, 8.0, 15.0):
+    for x in (8.0, 15.0, 25.0):
         assert abs(((draw**2).sum(axis=1) <= x).mean() - nearest.chi_square(x)) < 0.01
