@@ -16,7 +16,7 @@ from riverspark.session import cut_lineage
 
 PROJECTIONS = 16
 _LEAF = 32
-_STEP = 64  # points verified before the stopping test is asked again
+_STEP = 32  # points verified before the stopping test is first asked; then twice as many each time
 
 
 def projection(size: int, seed: int = 42) -> np.ndarray:
@@ -132,13 +132,14 @@ class Tree:
         gaps = np.r_[gaps[order], np.inf]
         ids, found = np.zeros(0, np.int64), np.zeros(0)
         waiting, apart = np.zeros(0, np.int64), np.zeros(0)
-        at, width, bound = 0, 4, _bound(limit, within, point)
+        at, width, step, bound = 0, 4, _STEP, _bound(limit, within, point)
         while at < len(order) and not gaps[at] > bound:
             opened = order[at : at + width]
-            at, width = at + len(opened), 2 * width
+            at, width = at + len(opened), 4 * width
             rows = np.concatenate([np.arange(self.starts[i], self.ends[i]) for i in opened])
             rows = rows[self.ids[rows] != own]
-            shown = _gaps(self.points[rows], self.points[rows], point)
+            with np.errstate(over="ignore", invalid="ignore"):
+                shown = np.nan_to_num(((self.points.take(rows, axis=0) - point) ** 2).sum(axis=1), nan=0.0, posinf=np.inf)
             waiting, apart = np.r_[waiting, rows], np.r_[apart, shown]
             ranked = np.argsort(apart, kind="stable")
             waiting, apart = waiting[ranked], apart[ranked]
@@ -147,10 +148,13 @@ class Tree:
                 ready = np.searchsorted(apart, min(bound, gaps[at]), side="right")
                 if done >= ready:
                     break
-                rows = waiting[done : min(ready, done + _STEP)]
-                done += len(rows)
+                rows = waiting[done : min(ready, done + step)]
+                done, step = done + len(rows), 2 * step
                 self.verified += len(rows)
-                far = np.sqrt(((self.vectors[rows] - vector) ** 2).sum(axis=1))
+                diff = self.vectors.take(rows, axis=0)
+                diff -= vector
+                diff *= diff
+                far = np.sqrt(diff.sum(axis=1))
                 near = far <= (found[k - 1] if len(found) >= k else within)
                 if near.any():
                     ids, found = np.r_[ids, self.ids[rows][near]], np.r_[found, far[near]]
