@@ -19,6 +19,7 @@ from riverspark.functions import (
 )
 from riverspark.operators import clean, climate, reshape, screens
 from riverspark.plans.climate import catchment_covariates, local_rollups, monthly_table
+from riverspark.session import cut_lineage
 from riverspark.sources import append
 
 TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -189,6 +190,25 @@ def has_duplicates(spark, folder):
     return found.withColumns({name: one.scalar() for name, one in more.items()})
 
 
+@register(
+    "observed_checks",
+    """SELECT COUNT(*) AS seen, COUNT(*) - COUNT(DISTINCT (l_suppkey, l_shipdate)) AS repeats,
+  COUNT(*) FILTER (note IS NULL) AS nulls, COUNT(*) FILTER (l_quantity > 10) AS written
+FROM (SELECT *, CASE WHEN l_quantity > 40 THEN l_linestatus END AS note FROM lineitem) q""",
+)
+def observed_checks(spark, folder):
+    lines = table(spark, folder, "lineitem").select(
+        "l_suppkey", "l_shipdate", "l_quantity", F.expr("CASE WHEN l_quantity > 40 THEN l_linestatus END AS note")
+    ).withColumn("year", F.year("l_shipdate"))
+    checked, seen = clean.observe_checks(lines, ["l_suppkey", "year"], "l_shipdate", "note")
+    written = cut_lineage(checked.filter("l_quantity > 10"))
+    found = seen.get
+    return written.agg(F.count(F.lit(1)).alias("written")).select(
+        *(F.lit(found[a]).cast("long").alias(b) for a, b in {"rows": "seen", "repeats": "repeats", "nulls_note": "nulls"}.items()),
+        "written",
+    )
+
+
 def wide(spark, folder):
     """Daily sums per station in wide form; ``view`` plays precipitation."""
     daily = climate.rollup_climate(

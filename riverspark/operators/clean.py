@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from riverspark.columns import as_list, join_groups
@@ -248,6 +248,33 @@ def has_nulls(df: DataFrame, columns: str | Iterable[str] | None = None) -> bool
     return nulls_found(df, columns).first()[0]
 
 
+def observe_checks(
+    df: DataFrame,
+    within: str | Iterable[str],
+    order: str,
+    columns: str | Iterable[str] | None = None,
+) -> tuple[DataFrame, Observation]:
+    """The same checks on the pass that reads or writes ``df`` anyway.
+
+    Returns the table and its observation; after the first action on the table (or on
+    what is built from it) ``get`` holds ``rows``, ``repeats`` (rows whose ``order``
+    value occurred before in their group ``within``) and ``nulls_<column>`` for
+    ``columns`` (default: all).  NULL is a value like others in groups and orders.  A
+    table that is dealt by ``within`` already is not shuffled again; otherwise name
+    columns that split hot groups, such as key and year.  Counts are exact for an
+    undisturbed run; a stage that runs again may count rows twice, so compare with 0.
+    """
+    names = as_list(columns) or df.columns
+    inside = Window.partitionBy(*as_list(within)).orderBy(order)
+    again = F.lag(order).over(inside).eqNullSafe(F.col(order)) & (F.row_number().over(inside) > 1)
+    seen = Observation()
+    metrics = {"repeats": F.col("_again")} | {f"nulls_{c}": F.col(c).isNull() for c in names}
+    checked = df.withColumn("_again", again).observe(
+        seen, row_count().alias("rows"), *(F.count_if(test).alias(name) for name, test in metrics.items())
+    )
+    return checked.drop("_again"), seen
+
+
 def min_group_size(df: DataFrame, keys: str | Iterable[str], n: int, exact: bool = False) -> DataFrame:
     """Rows of groups with more than ``n`` rows (or exactly ``n``).
 

@@ -60,6 +60,7 @@ def flow_regime(
     reference_peak: DataFrame | None = None,
     max_na: int | None = None,
     reuse: bool = True,
+    strict: bool = False,
 ) -> DataFrame:
     """One row of regime metrics per key, from raw daily values.
 
@@ -67,9 +68,20 @@ def flow_regime(
     default each key's own peak is used.  Several branches read the gap-filled
     series and its signal; with ``reuse`` both daily tables are written once to the
     checkpoint folder instead of being derived from the raw table for each branch.
+
+    ``strict`` refuses NULL keys and days that occur twice (among values above 0 of keys
+    with a whole year).  They are counted while the series is written, so it needs ``reuse``.
     """
+    if strict and not reuse:
+        raise ValueError("strict needs reuse")
     ready = spectral.prepare_flow(daily, key, date, value, max_na)
+    if strict:
+        ready, seen = clean.observe_checks(ready, [key, series.SEGMENT], date, key)
     ready = cut_lineage(ready) if reuse else ready
+    if strict:
+        found = seen.get
+        if found["repeats"] or found[f"nulls_{key}"]:
+            raise ValueError(f"{found['repeats']} repeated days, {found[f'nulls_{key}']} rows without {key}")
     signal = spectral.seasonal_signal(ready, key, date)
     signal = cut_lineage(signal) if reuse else signal
     peak = spectral.seasonal_peak(signal, key) if reference_peak is None else reference_peak

@@ -78,6 +78,24 @@ def test_top_by_ties_dedupe_and_group_size(spark):
     assert clean.has_nulls(df) and not clean.has_nulls(df, "k")
 
 
+def test_checks_ride_on_the_pass_that_writes(spark, tmp_path):
+    days = [("a", 2, 1.0), ("a", 2, None), ("a", 2, 3.0), ("a", 3, 1.0), ("b", 2, 1.0), (None, None, 1.0), (None, None, 2.0)]
+    df = spark.createDataFrame(days, "k string, d int, v double")
+    checked, seen = clean.observe_checks(df, "k", "d")
+    checked.write.parquet(str(tmp_path / "out"))
+    assert seen.get == {"rows": 7, "repeats": 3, "nulls_k": 2, "nulls_d": 2, "nulls_v": 1}
+    assert rows(spark.read.parquet(str(tmp_path / "out"))) == rows(df)
+    checked, seen = clean.observe_checks(df.limit(0), "k", "d", "v")
+    assert checked.columns == ["k", "d", "v"] and checked.count() == 0
+    assert seen.get == {"rows": 0, "repeats": 0, "nulls_v": 0}
+
+
+def test_checks_add_no_exchange_to_a_table_dealt_by_its_key(spark):
+    df = spark.range(1000).selectExpr("id % 3 AS k", "id AS d").repartition("k")
+    checked, _ = clean.observe_checks(df, "k", "d")
+    assert checked._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def test_losers_of_a_rank_are_dropped_before_the_shuffle(spark):
     df = spark.range(1000).selectExpr("id % 3 AS k", "id AS v")
     plan = clean.dedupe(df, "k", ["v"])._jdf.queryExecution().executedPlan().toString()

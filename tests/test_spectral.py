@@ -86,6 +86,18 @@ def test_null_key_is_a_series(flow):
     assert rows[None].n_floods == rows["calm"].n_floods
 
 
+def test_strict_regime_refuses_repeated_days_and_null_keys(flow):
+    df, _, _ = flow
+    calm = df.filter("s = 'calm'")
+    assert flow_regime(calm, "s", "date", "q", strict=True).count() == 1
+    with pytest.raises(ValueError, match="5 repeated days, 0 rows"):
+        flow_regime(calm.union(calm.orderBy("date").limit(5)), "s", "date", "q", strict=True)
+    with pytest.raises(ValueError, match="0 repeated days, [1-9]"):
+        flow_regime(calm.selectExpr("CAST(NULL AS STRING) AS s", "date", "q"), "s", "date", "q", strict=True)
+    with pytest.raises(ValueError, match="reuse"):
+        flow_regime(calm, "s", "date", "q", reuse=False, strict=True)
+
+
 def test_spectrum_and_flag(flow):
     _, ready, truth = flow
     spectra = spectral.spectrum(ready, "s").cache()
