@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riverspark.llm.charlm import Known, ShardedModel, count_grams, fit_shards, looked_up
-from riverspark.llm.common import bounded_sample, in_small_batches, slices, without
+from riverspark.llm.common import column, in_small_batches, slices, without
 
 UNDETERMINED = "und"
 ORDER = 4
@@ -42,28 +42,45 @@ def cross_entropy(model: Known, packed: np.ndarray) -> np.ndarray:
     return total / len(packed)
 
 
-def train(labelled: DataFrame, calibration_rows: int = 2000, shard_bytes: int = 64_000_000) -> Identifier:
+def train(labelled: DataFrame, shard_bytes: int = 64_000_000) -> Identifier:
     """Models of all values of ``label`` from all rows of ``text`` and ``label``; NULLs teach nothing.
 
-    Counts cover every row, and no gram is left out.  The rejection limit is fitted on at most
-    ``calibration_rows`` different texts, those with the smallest hashes: the largest
-    cross-entropy under the own language among them, half as much again, and
-    for short texts four standard deviations of a letter more.
+    Counts cover every row, and no gram is left out.  The rejection limit is fitted on every
+    text of 100 letters or more: the largest cross-entropy under the own language
+    among them, half as much again, and for short texts four standard deviations
+    of a letter more.
     """
     labelled = labelled.filter("text is not null and label is not null").select("text", "label")
     model = fit_shards(count_grams(labelled, ORDER), ORDER, shard_bytes=shard_bytes)
-    some = bounded_sample(labelled, ["text", "label"], calibration_rows).toArrow()
-    worst = {}
-    found = looked_up(model, some.column("text").to_pylist())
-    for (packed, known), label in zip(found, some.column("label").to_pylist()):
-        if len(packed) >= 100 and label in model.labels:
-            entropy = float(cross_entropy(known, packed)[model.labels.index(label)])
-            worst[label] = max(worst.get(label, 0.0), entropy)
+    worst = largest_entropies(labelled, model)
     usual = max(worst.values(), default=np.log(65536))
     limit = np.array([1.5 * worst.get(label, usual) for label in model.labels])
     return Identifier(model, limit, np.full(len(limit), 4 * 3.0))
 
 
+def largest_entropies(labelled: DataFrame, model: ShardedModel, least_letters: int = 100) -> dict[str, float]:
+    """The largest cross-entropy under the own label, per label, of all texts of so many letters.
+
+    Tasks keep one number per label.
+    """
+
+    def run(batches):
+        worst: dict[str, float] = {}
+        for batch in batches:
+            for part in slices(batch):
+                texts = looked_up(model, column(part, "text"))
+                for (packed, known), label in zip(texts, column(part, "label")):
+                    if len(packed) >= least_letters:
+                        entropy = float(cross_entropy(known, packed)[model.labels.index(label)])
+                        worst[label] = max(worst.get(label, 0.0), entropy)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(worst), pa.string()), pa.array(list(worst.values()), pa.float64())], ["label", "entropy"]
+        )
+
+    found = in_small_batches(labelled).mapInArrow(run, "label string, entropy double")
+    return {r["label"]: r["most"] for r in found.groupBy("label").agg(F.max("entropy").alias("most")).collect()}
+
+
 def identify(
     docs: DataFrame,
     identifier: Identifier,

@@ -88,6 +88,21 @@ def test_languages(spark):
     assert language.identify(docs.limit(0), language.train(learned)).collect() == []
 
 
+def test_rejection_limit_covers_every_learned_text(spark):
+    plain = [(f"{i} {'mn' * 80}", "plain") for i in range(2400)]
+    draw = random.Random(3)
+    odd = [("".join(draw.choices("abcdefgh", k=30_000)), "plain") for _ in range(12)]
+    hashed = spark.createDataFrame(odd, "text string, label string").withColumn("h", F.xxhash64("text", "label"))
+    # A text that a sample of the smallest hashes would leave out.
+    text = hashed.orderBy(F.desc("h")).first().text
+    learned = spark.createDataFrame([*plain, (text, "plain"), (text, None), (None, "plain")], "text string, label string")
+    found = language.train(learned)
+    (entropy,) = language.largest_entropies(learned.filter(F.col("text") == text).dropna(), found.model).values()
+    assert found.limit[0] == pytest.approx(1.5 * entropy)
+    asked = spark.createDataFrame([(text, 1), ("ΩΨΦ ΔΓΘ ΞΠΣ " * 40, 2)], "text string, doc_id long")
+    assert {r.doc_id: r.rejected for r in language.identify(asked, found).collect()} == {1: False, 2: True}
+
+
 def test_toxicity(spark):
     plain = [(i, sentences(i, 120), 0) for i in range(600)]
     toxic = []
