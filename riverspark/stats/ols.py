@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from riverspark.columns import as_list
 from riverspark.session import cut_lineage
-from riverspark.stats.attach import attach
 from riverspark.stats.distributions import t_p_value, t_quantile, t_two_sided
 
 INTERCEPT = "(Intercept)"
@@ -164,15 +163,19 @@ def ols_fits(
         F.avg("_y").alias("_mean_y"),
         *(F.avg(c).alias(f"_mean_{i}") for i, c in enumerate(covariates)),
     )
-    centred = attach(rows, means, ["_response"]).withColumns(
-        {c: F.col(c) - F.col(f"_mean_{i}") for i, c in enumerate(covariates)}
-    )
     found = {r["_response"]: r for r in means.collect()}
-    factors = triangles(centred, design(covariates, factor, levels) | {"y": F.col("_y") - F.col("_mean_y")})
-    models = {}
     for y in ys:
         if y not in found:
             raise ValueError(f"no complete rows for {y}")
+
+    def mean_of(name: str) -> Column:
+        """The response's own mean as a constant: a join on so few responses would gather all rows of one."""
+        return F.element_at(F.create_map(*(F.lit(x) for y in found for x in (y, found[y][name]))), F.col("_response"))
+
+    centred = rows.withColumns({c: F.col(c) - mean_of(f"_mean_{i}") for i, c in enumerate(covariates)})
+    factors = triangles(centred, design(covariates, factor, levels) | {"y": F.col("_y") - mean_of("_mean_y")})
+    models = {}
+    for y in ys:
         triangle, mean, n = factors[y], found[y], found[y]["_n"]
         length = np.sqrt((triangle[:, :p] ** 2).sum(axis=0))
         absent = [t for t, d in zip(terms, length) if d <= 0]

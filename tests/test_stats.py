@@ -277,6 +277,28 @@ def test_regression_is_stable_under_shifts(spark):
     assert table["y", "x:g[v]"].kind == "interaction" and table["far", "x"].kind == "main"
 
 
+def test_regression_joins_no_rows_to_the_means(spark, monkeypatch):
+    """Rows of one response must not meet in one task, as they do where its mean is joined to them."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 2))
+    rows = [(float(a), float(b), float(a - b), None if i % 7 == 0 else float(a + 3), "uv"[i % 2]) for i, (a, b) in enumerate(x)]
+    df = spark.createDataFrame(rows, "x double, w double, y double, z double, g string").repartition(6)
+    seen, inner = [], ols.triangles
+
+    def watched(centred, columns, *more):
+        seen.append(centred._jdf.queryExecution().toString())
+        return inner(centred, columns, *more)
+
+    monkeypatch.setattr(ols, "triangles", watched)
+    fits = ols.ols_fits(df, ["y", "z"], ["x", "w"], "g", ["u", "v"])
+    assert len(seen) == 1 and "Join" not in seen[0]
+    assert (fits["y"].n, fits["z"].n) == (400, 342)
+    np.testing.assert_allclose(fits["y"].estimates, [0, 0, 1, -1, 0, 0], atol=1e-12)
+    np.testing.assert_allclose(fits["z"].estimates, [3, 0, 1, 0, 0, 0], atol=1e-12)
+    with pytest.raises(ValueError, match="no complete rows for q"):
+        ols.ols_fits(df.withColumn("q", F.lit(None).cast("double")), ["y", "q"], ["x"])
+
+
 def test_levels_of_one_subject_stay_without_a_test(spark):
     rows = [(f"s{i}", p, float(i + (p == "new") * 3 + i % 3), "big" if i else "small") for i in range(6) for p in ("old", "new")]
     df = spark.createDataFrame(rows, "s string, p string, v double, c string")
