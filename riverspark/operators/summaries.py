@@ -16,6 +16,19 @@ from riverspark.functions import row_count
 from riverspark.session import cut_lineage
 
 
+#: Tables of so few groups may be broadcast.
+_FEW_GROUPS = 10_000
+
+
+def _per_group(groups: DataFrame) -> DataFrame:
+    """A table of a few rows per group, written once.
+
+    Where groups are few it is broadcast: a join would sort all rows of a group in one task.
+    """
+    groups = cut_lineage(groups)
+    return F.broadcast(groups) if groups.count() <= _FEW_GROUPS else groups
+
+
 def exact_quantiles(
     df: DataFrame,
     group: str | Iterable[str],
@@ -41,9 +54,11 @@ def exact_quantiles(
     )
     rows = cut_lineage(rows) if reuse else rows
     # One row per group, with arrays whose length the arguments fix.
-    brackets = rows.groupBy(*keys).agg(
-        row_count().alias("_n"),
-        F.array_distinct(F.percentile_approx("_v", steps, accuracy)).alias("_cuts"),
+    brackets = _per_group(
+        rows.groupBy(*keys).agg(
+            row_count().alias("_n"),
+            F.array_distinct(F.percentile_approx("_v", steps, accuracy)).alias("_cuts"),
+        )
     )
     ranged = join_groups(rows, brackets, keys).select(
         *keys, "_n", "_v", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_range")
@@ -58,7 +73,7 @@ def exact_quantiles(
             for e in (F.floor((F.col("_n") - 1) * p) + 1, F.ceil((F.col("_n") - 1) * p) + 1)
         )
     )
-    located = (
+    located = _per_group(
         sizes.withColumn("_hi", F.sum("_size").over(along))
         .withColumn("_lo", F.col("_hi") - F.col("_size"))
         .withColumn(
@@ -113,7 +128,7 @@ def box_summary(df: DataFrame, group: str | Iterable[str], value: str, reach: fl
     spread = (F.col("q3") - F.col("q1")) * reach
     inside = F.col(value).between(F.col("q1") - spread, F.col("q3") + spread)
     return (
-        join_groups(df, quartiles, keys)
+        join_groups(df, _per_group(quartiles), keys)
         .groupBy(*keys, "n", "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, F.col(value))).alias("lower"),
@@ -165,7 +180,7 @@ def density_grid(
         frame = join_groups(frame, iqr, keys).withColumn("_h", width)
     else:
         frame = frame.withColumn("_h", F.lit(float(bandwidth)))
-    frame = frame.filter("_h > 0 AND _max > _min").drop("_sd")
+    frame = _per_group(frame.filter("_h > 0 AND _max > _min").drop("_sd"))
     step = (F.col("_max") - F.col("_min")) / (points - 1)
     place = (F.col("_v") - F.col("_min")) / step
     low = F.least(F.floor(place), F.lit(points - 1)).cast("int")

@@ -22,6 +22,18 @@ def test_quantiles_equal_numpy_with_ties_and_a_hot_group(spark):
         assert r.quantiles == pytest.approx(np.quantile(data[r.g], probs))
 
 
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_rows_of_few_groups_are_not_sorted_for_a_join(spark, monkeypatch, few):
+    monkeypatch.setattr(summaries, "_FEW_GROUPS", few)
+    rows = [(None if i % 3 == 0 else "g", float(i % 40)) for i in range(600)]
+    found = summaries.exact_quantiles(spark.createDataFrame(rows, "g string, v double"), "g", "v", [0.1, 0.5], accuracy=20)
+    joined = found._jdf.queryExecution().executedPlan().toString()
+    assert ("SortMergeJoin" in joined) == (few == 0)
+    for r in found.collect():
+        own = [v for g, v in rows if g == r.g]
+        assert r.n == len(own) and r.quantiles == pytest.approx(np.quantile(own, [0.1, 0.5]))
+
+
 def test_box_hides_outliers(spark):
     values = [1.0, 2.0, 3.0, 4.0, 5.0, 100.0]
     df = spark.createDataFrame([("a", v) for v in values], "g string, v double")
