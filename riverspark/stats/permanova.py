@@ -16,7 +16,7 @@ from riverspark.columns import as_list
 from riverspark.functions import row_count
 from riverspark.operators.clean import unordered_pairs
 from riverspark.session import cut_lineage
-from riverspark.stats.attach import attach
+from riverspark.stats.attach import attach, per_group
 from riverspark.stats.holm import holm
 from riverspark.stats.permuting import partitions, permuted_sums, sums_by_level, two_levels
 
@@ -87,6 +87,7 @@ def permanova_f(
     xs = _numbered(responses)
     rows = _standard(df, factor, responses, {c: c for c in families_by})
     families = _families(rows, families_by, xs)
+    families = per_group(families, families_by) if families_by else families
     sums = sums_by_level(_centred(rows, families, families_by, xs), families_by, xs)
     between = _between(xs).alias("_ssb")
     between = sums.groupBy(*families_by).agg(between) if families_by else sums.agg(between)
@@ -126,7 +127,7 @@ def permanova(
     rows = _standard(df, factor, responses, keep).withColumn("_id", F.col("_id").cast("string"))
     # Spread by id: the work per permutation then does not depend on how rows fall into files or families.
     rows = cut_lineage(rows if strata else rows.repartition(partitions(df.sparkSession), *families_by, "_id"))
-    families = cut_lineage(_families(rows, families_by, xs))
+    families = per_group(_families(rows, families_by, xs), families_by)
     centred = cut_lineage(_centred(rows, families, families_by, xs)) if families_by else _centred(rows, families, [], xs)
     sums = permuted_sums(
         centred, families_by, xs, strata=strata is not None, n_perm=n_perm, seed=seed, draw=draw, whole_rows=whole_rows

@@ -149,7 +149,9 @@ def _ranked(
     *, n_perm: int, seed: str, draw: str,
 ) -> DataFrame:
     """Units of few rows: dealt out by unit once, then repeated and ranked inside the task."""
-    ready = join_groups(rows.drop("_level"), units.select(*unit, "_levels"), unit)
+    # A join would sort all rows by unit first, those of large units too.
+    few = (units.agg(F.sum(F.size("_levels"))).first()[0] or 0) <= _SMALL
+    ready = join_groups(rows.drop("_level"), F.broadcast(units) if few else units, unit).drop("_n")
     ready = ready.repartition(partitions(rows.sparkSession), *unit)
     repeated = ready.select("*", _permutations(n_perm))
     repeated = repeated.withColumn("_order", DRAWS[draw][0](seed, F.col("_perm"), F.col("_id")))
@@ -168,17 +170,22 @@ def _selected(
     bare = rows.drop("_level")
     at = [*unit, "_perm"]
     ends = units.select(*unit, F.explode("_levels").alias("_l"), "_n").filter(F.col("_l.hi") < F.col("_n"))
+    few = ends.count() * n_perm <= _SMALL
     # One row per level end: the range of orders it lies in, and the rows before that range.
     start = prefix(F.lit("") if draw == "md5" else F.lit(0).cast("long"), 0)
     open_ = ends.select(
         *unit, _permutations(n_perm), F.col("_l.hi").alias("_rank"), F.lit(0).cast("long").alias("_before")
     ).withColumn("_range", start)
 
+    def repeated(listed: DataFrame) -> DataFrame:
+        """Every row once for each entry of its unit; rows are not shuffled to their unit where that can be avoided."""
+        found = attach(bare, F.broadcast(listed) if few and unit else listed, unit)
+        return found.select(*(c for c in found.columns if c != "_list"), F.inline("_list"))
+
     def inside(rounds: int) -> DataFrame:
         """Every row once for each permutation in which it lies in a range that holds a level end."""
         ranges = open_.groupBy(*at).agg(F.collect_set("_range").alias("ranges"))
-        listed = _listed(ranges, unit, F.struct("_perm", "ranges"), open_)
-        found = attach(bare, listed, unit).select(*unit, "_id", F.inline("_list"))
+        found = repeated(_listed(ranges, unit, F.struct("_perm", "ranges"))).select(*at, "_id", "ranges")
         found = found.withColumn("_order", order(seed, F.col("_perm"), F.col("_id")))
         found = found.withColumn("_range", prefix(F.col("_order"), rounds))
         return found.filter(F.array_contains("ranges", F.col("_range"))).drop("ranges")
@@ -205,18 +212,17 @@ def _selected(
     # Units with a single level have no ends, but permutations like others.
     every = units.select(*unit, _permutations(n_perm)).withColumn("_end", F.lit(None).cast(last.schema["_end"].dataType))
     found = every.unionByName(last).groupBy(*at).agg(F.array_sort(F.collect_list("_end")).alias("_ends"))
-    listed = cut_lineage(_listed(found, unit, F.struct("_perm", "_ends"), open_))
-    ready = attach(attach(bare, listed, unit), units.select(*unit, "_levels"), unit)
-    ready = ready.select(*unit, "_id", *xs, "_levels", F.inline("_list"))
-    ready = ready.withColumn("_order", order(seed, F.col("_perm"), F.col("_id")))
-    mine = F.size(F.filter("_ends", lambda e: e < F.struct("_order", "_id")))
+    listed = attach(_listed(found, unit, F.struct("_perm", "_ends")), units.select(*unit, "_levels"), unit)
+    # The hint to broadcast does not outlive a checkpoint, so it is given behind it.
+    ready = repeated(cut_lineage(listed))
+    # Behind a generator the hash is a value; else it would be computed again for each end.
+    at_row = F.struct(order(seed, F.col("_perm"), F.col("_id")).alias("_order"), "_id")
+    ready = ready.select("*", F.explode(F.array(at_row)).alias("_at"))
+    mine = F.size(F.filter("_ends", lambda e: e < F.col("_at")))
     return sums_by_level(ready.withColumn("_level", F.get("_levels", mine)["level"]), [*by, "_perm"], xs)
 
 
-def _listed(rows: DataFrame, unit: Sequence[str], entry: Column, ends: DataFrame) -> DataFrame:
-    """One row per unit with all its entries, broadcast where the number of level ends is known to be small."""
+def _listed(rows: DataFrame, unit: Sequence[str], entry: Column) -> DataFrame:
+    """One row per unit with all its entries."""
     entries = F.collect_list(entry).alias("_list")
-    if not unit:
-        return rows.agg(entries)
-    listed = rows.groupBy(*unit).agg(entries)
-    return F.broadcast(listed) if ends.count() <= _SMALL else listed
+    return rows.groupBy(*unit).agg(entries) if unit else rows.agg(entries)

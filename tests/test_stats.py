@@ -9,13 +9,17 @@ from riverspark.operators import clean, reshape, summaries
 from riverspark.plans import statistics as plans
 from riverspark.stats import moments, ols, paired, pca
 from riverspark.stats.distributions import f_upper, incomplete_beta, t_quantile, t_two_sided
+from riverspark.stats.attach import per_group
 from riverspark.stats.holm import holm
 from riverspark.stats.permanova import (
+    _centred,
+    _families,
     pairwise_permanova,
     permanova,
     permanova_f,
     permanova_strata,
 )
+from riverspark.stats.permuting import permuted_sums
 
 # Published p-values of two test families and their adjustments.
 ECOREGION_P = [0.018, 0.158, 0.17, 0.002]
@@ -105,6 +109,33 @@ def test_large_and_small_group_paths_agree(groups):
     assert other.f_stat == pytest.approx(whole.f_stat)
 
 
+def test_rows_are_not_dealt_to_their_family(spark):
+    """Joined by family, all rows of a factor were one task's: few families are broadcast, behind checkpoints too."""
+    rng = np.random.default_rng(8)
+    rows = [(f"f{i % 3}", str(i), f"g{i % 5}", float(rng.normal()), float(i % 7)) for i in range(300)]
+    df = spark.createDataFrame(rows, "f string, id string, g string, x double, y double").repartition(8)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = []
+        for whole_rows in (1, 4096):
+            df = df.withColumnRenamed("g", "_level").withColumnRenamed("id", "_id")
+            families = per_group(_families(df, ["f"], ["x", "y"]), ["f"])
+            centred = _centred(df, families, ["f"], ["x", "y"])
+            sums = permuted_sums(
+                centred, ["f"], ["x", "y"], strata=False, n_perm=9, seed="0", draw="md5", whole_rows=whole_rows
+            )
+            for part in (centred, sums):
+                plan = part._jdf.queryExecution().executedPlan().toString()
+                assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+            found.append({(r.f, r._perm, r._level): (r._n_level, r.x, r.y) for r in sums.collect()})
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert len(found[0]) == 3 * 9 * 5 and found[0].keys() == found[1].keys()
+    for key, values in found[0].items():
+        assert found[1][key] == pytest.approx(values, abs=1e-9)
+
+
 def test_pairs_of_groups_with_adjustment(groups):
     df, labels, x = groups
     got = {(r.var1, r.var2): r for r in pairwise_permanova(df, "id", "g", ["x", "y"], n_perm=50).collect()}
